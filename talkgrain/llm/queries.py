@@ -37,3 +37,37 @@ SELECT conv_id, count(*) AS n_turns,
                   '' ORDER BY turn NULLS FIRST, role, text) AS rendered
 FROM t SEMI JOIN kept USING (conv_id) GROUP BY conv_id
 """
+
+
+@query
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from talkgrain.llm.common import Scratch
+    from talkgrain.llm.mixing import mix
+
+    out = mix(table(spark, sf_dir, "documents"), Scratch(spark, "op4"))
+    return out.select("doc_id", "size", "source_size", "target", "taken", "position").orderBy("position")
+
+
+ORACLE["op4_mixing"] = r"""
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+                  CAST('0x' || left(md5(coalesce(CAST(doc_id AS VARCHAR), '') || 'mix-1'), 15) AS BIGINT) AS h FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+r AS (SELECT *, row_number() OVER (ORDER BY source IS NULL, encode(source)) - 1 AS rank FROM s),
+w AS (SELECT *, CASE rank % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight, 3 * source_size AS cap FROM r),
+f AS (SELECT *, sum(source_size) OVER () AS whole,
+             coalesce(sum(cap) OVER (ORDER BY CAST(cap AS DOUBLE) / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS full_before,
+             sum(weight) OVER (ORDER BY CAST(cap AS DOUBLE) / weight, rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS weight_left FROM w),
+g AS (SELECT *, cap * weight_left <= weight * (whole - full_before) AS is_full FROM f),
+o AS (SELECT *, whole - coalesce(sum(cap) FILTER (is_full) OVER (), 0) AS rest, sum(weight) FILTER (NOT is_full) OVER () AS open_weight FROM g),
+t AS (SELECT source, source_size, rank, CASE WHEN is_full THEN CAST(cap AS DOUBLE) ELSE CAST(weight * rest AS DOUBLE) / CAST(open_weight AS DOUBLE) END AS target FROM o),
+c AS (SELECT d.*, t.source_size, t.rank, t.target, CAST(floor(t.target) AS BIGINT) AS goal,
+             CAST(sum(d.size) OVER (PARTITION BY d.source ORDER BY h, doc_id, d.size ROWS UNBOUNDED PRECEDING) AS BIGINT) - d.size AS start
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+k AS (SELECT *, CASE WHEN source_size = 0 THEN 0 ELSE (goal // source_size) * size
+                 + greatest(0, least(size, goal % source_size - start)) END AS taken, least(1.0, start / target) AS u FROM c)
+SELECT doc_id, size, source_size, target, CAST(taken AS BIGINT) AS taken,
+       CASE WHEN taken > 0 THEN CASE rank % 3 WHEN 0 THEN least(1.0, 2 * u / (1.0 + sqrt(1.0)))
+            WHEN 1 THEN least(1.0, 2 * u / (0.5 + sqrt(0.5 * 0.5 + 2 * 1.0 * u)))
+            ELSE least(1.0, 2 * u / (1.5 + sqrt(greatest(0.0, 1.5 * 1.5 + 2 * -1.0 * u)))) END END AS position
+FROM k
+"""
