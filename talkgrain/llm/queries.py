@@ -71,3 +71,46 @@ SELECT doc_id, size, source_size, target, CAST(taken AS BIGINT) AS taken,
             ELSE least(1.0, 2 * u / (1.5 + sqrt(greatest(0.0, 1.5 * 1.5 + 2 * -1.0 * u)))) END END AS position
 FROM k
 """
+
+
+@query
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from talkgrain.llm.spotsigs import edited_fingerprints
+
+    return edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
+def _spotsigs_sql() -> str:
+    from talkgrain.llm.spotsigs import ANCHORS
+
+    common = ", ".join(f"'{a}'" for a in sorted(set(ANCHORS)))
+    return rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, lead(coalesce(text, '')) OVER w AS after,
+                  first_value(coalesce(text, '')) OVER w AS first_text FROM documents WINDOW w AS (ORDER BY doc_id DESC)),
+e AS (SELECT doc_id, text, coalesce(after, first_text) AS after, length(text) AS n, length(text) // 3 AS k FROM d),
+x AS (SELECT *, left(text, n - k) || left(after, k) AS edited FROM e),
+texts AS (SELECT doc_id, 'o' AS kind, text AS t FROM x UNION ALL SELECT doc_id, 'e', edited FROM x),
+tok AS (SELECT doc_id, kind, unnest(words) AS word, generate_subscripts(words, 1) AS i
+        FROM (SELECT doc_id, kind, regexp_extract_all(lower(t), '[\p{{L}}\p{{N}}]+') AS words FROM texts)),
+flag AS (SELECT *, word IN ({common}) AS common FROM tok),
+num AS (SELECT *, sum(CASE WHEN common THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, kind ORDER BY i) AS c FROM flag),
+content AS (SELECT doc_id, kind, c, word, lead(word) OVER (PARTITION BY doc_id, kind ORDER BY i) AS second FROM num WHERE NOT common),
+chain AS (SELECT a.doc_id, a.kind, a.word || ' ' || b.word || ' ' || b.second AS s FROM num a JOIN content b
+          ON a.doc_id = b.doc_id AND a.kind = b.kind AND b.c = a.c + 1 WHERE a.common AND b.second IS NOT NULL),
+sig AS (SELECT doc_id, kind, list_sort(list(DISTINCT left(md5(s), 8))) AS s FROM chain GROUP BY doc_id, kind),
+one AS (SELECT t.doc_id, t.kind, CASE WHEN sig.s IS NOT NULL THEN sig.s WHEN t = '' THEN CAST([] AS VARCHAR[])
+               WHEN len(regexp_extract_all(lower(t), '[\p{{L}}\p{{N}}]+')) = 0 THEN [left(md5(t), 8)]
+               ELSE [left(md5(array_to_string(regexp_extract_all(lower(t), '[\p{{L}}\p{{N}}]+'), ' ')), 8)] END AS s
+        FROM texts t LEFT JOIN sig USING (doc_id, kind)),
+p AS (SELECT x.doc_id, x.n, sha256(x.edited) AS sha, o.s AS o, e.s AS e,
+             coalesce(lead(o.s) OVER w, first_value(o.s) OVER w) AS nx
+      FROM x JOIN one o ON o.doc_id = x.doc_id AND o.kind = 'o' JOIN one e ON e.doc_id = x.doc_id AND e.kind = 'e'
+      WINDOW w AS (ORDER BY x.doc_id DESC))
+SELECT doc_id, n AS n_chars, sha AS edited_sha256, array_to_string(o, '') AS fingerprint, array_to_string(e, '') AS edited_fingerprint,
+       CASE WHEN len(o) = 0 AND len(e) = 0 THEN 1.0 ELSE CAST(len(list_intersect(o, e)) AS DOUBLE) / (len(o) + len(e) - len(list_intersect(o, e))) END AS near_edited,
+       CASE WHEN len(o) = 0 AND len(nx) = 0 THEN 1.0 ELSE CAST(len(list_intersect(o, nx)) AS DOUBLE) / (len(o) + len(nx) - len(list_intersect(o, nx))) END AS near_next
+FROM p
+"""
+
+
+ORACLE["op1_fingerprints"] = _spotsigs_sql()
