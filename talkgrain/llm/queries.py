@@ -114,3 +114,56 @@ FROM p
 
 
 ORACLE["op1_fingerprints"] = _spotsigs_sql()
+
+
+@query
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tested by held-out accuracy: SQL can't express the fit."""
+    from talkgrain.llm.quality import held_out, learn, scored
+
+    docs = table(spark, sf_dir, "documents")
+    ranker = learn(docs, table(spark, sf_dir, "labels"))
+    out = scored(docs, ranker)
+    return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= ranker.cut).cast("int").alias("predicted"))
+
+
+@query
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from talkgrain.llm.common import Scratch
+    from talkgrain.llm.url_filter import judge, page_outcomes
+
+    pages, scratch = table(spark, sf_dir, "pages"), Scratch(spark, "op3")
+    outcomes = page_outcomes(pages, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), scratch)
+    return judge(pages, outcomes, scratch)
+
+
+def _level_sql(name: str, rows: str, key: str) -> str:
+    return f"""
+{name}_m AS (SELECT round(greatest(1.0, least(1000.0, p * (1 - p) / greatest(1e-6, seen - noise) - 1)), 6) AS m FROM (
+  SELECT sum(base * n) / sum(n) AS p, sum(n * power(CAST(good AS DOUBLE) / n - base, 2)) / sum(n) AS seen, sum(base * (1 - base)) / sum(n) AS noise FROM {rows})),
+{name} AS (SELECT {key}, n, m, round((good + m * base) / (n + m), 9) AS rate FROM {rows}, {name}_m)"""
+
+
+ORACLE["op3_url_filter"] = rf"""
+WITH u AS (SELECT page_id, lower(regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1)) AS host, regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) AS path,
+  nullif(left(replace(replace(replace(replace(replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', ''''), '&#39;', ''''), '&amp;', '&'), 40), '') AS title FROM pages),
+marked AS (SELECT nullif(left(split_part(text, chr(10), 1), 40), '') AS title, quality = 1 AND coalesce(toxic, 0) = 0 AS good
+           FROM documents JOIN labels USING (doc_id) WHERE quality IS NOT NULL),
+titles AS (SELECT title, min(good) AS good FROM marked WHERE title IS NOT NULL GROUP BY title HAVING min(good) = max(good)),
+hosts AS (SELECT host, array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') AS domain, array_to_string(list_slice(string_split(host, '.'), -1, -1), '.') AS suffix,
+                 count(*) AS n, sum(CAST(good AS INT)) AS good FROM u JOIN titles USING (title) WHERE host <> '' GROUP BY host),
+s0 AS (SELECT suffix, sum(n) AS n, sum(good) AS good, (SELECT CAST(sum(good) AS DOUBLE) / sum(n) FROM hosts) AS base FROM hosts GROUP BY suffix),
+{_level_sql('s', 's0', 'suffix')},
+d0 AS (SELECT domain, h.n, h.good, s.rate AS base FROM (SELECT domain, suffix, sum(n) AS n, sum(good) AS good FROM hosts GROUP BY domain, suffix) h JOIN s USING (suffix)),
+{_level_sql('d', 'd0', 'domain')},
+h0 AS (SELECT host, hosts.n, hosts.good, d.rate AS base FROM hosts JOIN d USING (domain)),
+{_level_sql('h', 'h0', 'host')},
+known AS (SELECT host, round(least(1.0, rate + 1.645 * sqrt(rate * (1 - rate) / (n + m + 1))), 6) AS upper FROM h),
+r AS (SELECT page_id, host, path, CASE
+  WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/de/') THEN 'example.com/de/'
+  WHEN (host = 'example.net' OR ends_with(host, '.example.net')) AND starts_with(path, '/en/') THEN 'example.net/en/'
+  WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/'
+  WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/') THEN 'net/' END AS rule FROM u)
+SELECT page_id, r.host, path, rule, CASE WHEN rule IN ('example.com/de/', 'net/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
+  WHEN upper < 0.5 THEN 'block' ELSE 'allow' END AS verdict, upper FROM r LEFT JOIN known ON r.host = known.host
+"""
