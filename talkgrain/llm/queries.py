@@ -45,7 +45,7 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from talkgrain.llm.mixing import mix
 
     out = mix(table(spark, sf_dir, "documents"), Scratch(spark, "op4"))
-    return out.select("doc_id", "size", "source_size", "target", "taken", "position").orderBy("position")
+    return out.select("doc_id", "size", "source_size", "target", "taken", "position").orderBy("position", "doc_id")
 
 
 ORACLE["op4_mixing"] = r"""
