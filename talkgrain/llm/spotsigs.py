@@ -27,6 +27,7 @@ ANCHORS = (
 ).split()
 CHAIN = 2
 DIGITS = 8
+START, MARK = "\x02", "\x01"
 
 
 def _words(text: Column) -> Column:
@@ -41,15 +42,26 @@ def signatures(text: Column, anchors=tuple(ANCHORS), chain: int = CHAIN) -> Colu
     their words; texts without words, the whole text; the empty text has none.
     """
     text = F.coalesce(text, F.lit(""))
-    common = "(?:" + "|".join(sorted(set(anchors))) + ")"
-    skip = f"(?: {common}(?= ))*+"
-    follow = "".join(f"{skip} ([^ ]+)" for _ in range(chain))
     words = _words(text)
-    # The look-ahead leaves the chain unread, so that an anchor inside it is found, too.
-    chains = F.regexp_extract_all(words, F.lit(rf"(?<= )(?={common} )(?=([^ ]+{follow.replace('(', '(?:').replace('(?:?', '(?')}) )"), F.lit(1))
-    plain = F.transform(chains, lambda c: F.regexp_replace(c, rf"(?<= )(?:{common} )+", ""))
+    # A mark before each content word cuts the text into parts, each a content word and the common words after it (the first
+    # part has none before them). What follows a part's common words are the words that head the next parts.
+    content = rf"(?<= )(?=[^ ])(?!(?:{'|'.join(sorted(set(anchors)))}) )"
+    marked = F.concat(F.lit(START), F.regexp_replace(words, content, MARK))
+
+    def chains(parts: Column) -> Column:
+        def of(part: Column, i: Column) -> Column:
+            last = F.get(parts, i + chain)
+            heads = F.concat_ws(" ", *[F.substring_index(F.get(parts, i + k), " ", 1) for k in range(1, chain + 1)])
+            spots = F.array_distinct(F.filter(F.split(F.substring(part, F.lit(1) + F.instr(part, " "), F.length(part)), " "), lambda w: w != ""))
+            return F.when(last.isNull(), F.array().cast("array<string>")).otherwise(F.transform(spots, lambda w: F.concat(w, F.lit(" "), heads)))
+
+        return F.flatten(F.transform(parts, of))
+
+    # An array of one element, so that the parts are computed once and bound to the lambda's variable.
+    plain = F.get(F.transform(F.array(F.split(marked, MARK)), chains), F.lit(0))
     whole = F.trim(F.regexp_replace(words, " +", " "))
-    found = F.when(F.size(plain) > 0, plain).when(text == "", F.array().cast("array<string>")).when(whole == "", F.array(text)).otherwise(F.array(whole))
+    one = F.when(text == "", F.array().cast("array<string>")).when(whole == "", F.array(text)).otherwise(F.array(whole))
+    found = F.get(F.transform(F.array(plain), lambda p: F.when(F.size(p) > 0, p).otherwise(one)), F.lit(0))
     return F.array_sort(F.array_distinct(F.transform(found, lambda s: F.substring(F.md5(s), 1, DIGITS))))
 
 
