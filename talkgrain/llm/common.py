@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -56,13 +57,16 @@ class Scratch:
     def write(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}-{uuid.uuid4().hex[:8]}"
         df.write.option("compression", "zstd").parquet(path)
-        out = self.spark.read.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out
 
     def drop(self, *frames: DataFrame) -> None:
+        """Deletes tables, and lets Spark remove the shuffle files that nothing refers to any more."""
         for f in frames:
             _delete(self.spark, f._scratch_path)
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
 
 
 def components(edges: DataFrame, scratch: Scratch, max_rounds: int = 60) -> DataFrame:

@@ -167,3 +167,24 @@ r AS (SELECT page_id, host, path, CASE
 SELECT page_id, r.host, path, rule, CASE WHEN rule IN ('example.com/de/', 'net/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
   WHEN upper < 0.5 THEN 'block' ELSE 'allow' END AS verdict, upper FROM r LEFT JOIN known ON r.host = known.host
 """
+
+
+@query
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from talkgrain.llm.common import Scratch
+    from talkgrain.llm.substring_dedup import dedup
+
+    return dedup(table(spark, sf_dir, "documents"), Scratch(spark, "op6"), texts=False)
+
+
+ORACLE["op6_substring_dedup"] = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+x AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d),
+g AS (SELECT doc_id, i, array_to_string(w[i : i + 12], ' ') AS gram FROM x WHERE i + 12 <= len(w)),
+first AS (SELECT gram, min(doc_id) AS lo FROM g GROUP BY gram HAVING min(doc_id) <> max(doc_id)),
+hit AS (SELECT DISTINCT doc_id, i FROM g JOIN first USING (gram) WHERE doc_id > lo),
+gone AS (SELECT DISTINCT doc_id, i + j AS i FROM hit, (SELECT unnest(range(0, 13)) AS j)),
+kept AS (SELECT x.doc_id, count(*) AS n, string_agg(x.w[x.i], ' ' ORDER BY x.i) AS t FROM x ANTI JOIN gone ON x.doc_id = gone.doc_id AND x.i = gone.i GROUP BY x.doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
