@@ -188,3 +188,12 @@ kept AS (SELECT x.doc_id, count(*) AS n, string_agg(x.w[x.i], ' ' ORDER BY x.i)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
 FROM d LEFT JOIN kept USING (doc_id)
 """
+
+
+@query
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tested against brute force: SQL over all byte positions is too slow on whole tables."""
+    from talkgrain.llm.common import Scratch
+    from talkgrain.llm.suffix_dedup import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents"), Scratch(spark, "op5"), texts=False)
