@@ -218,3 +218,11 @@ cnt AS (SELECT a, count(*) AS n FROM link GROUP BY a)
 SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(b, vec_id)) AS component_id, vec_id = least(vec_id, coalesce(b, vec_id)) AS kept
 FROM v LEFT JOIN cnt ON cnt.a = vec_id LEFT JOIN low ON low.a = vec_id
 """
+
+
+@query
+def op7_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tested by exact round trip and against enumerated posteriors: SQL can't express the lattice."""
+    from talkgrain.llm.piece_sampling import encoded, load
+
+    return encoded(table(spark, sf_dir, "documents"), load())
