@@ -226,3 +226,27 @@ def op7_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     from talkgrain.llm.piece_sampling import encoded, load
 
     return encoded(table(spark, sf_dir, "documents"), load())
+
+
+@query
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from talkgrain.llm.common import Scratch
+    from talkgrain.llm.ngram_join import join
+
+    return join(table(spark, sf_dir, "documents"), Scratch(spark, "op8"))
+
+
+ORACLE["op8_ngram_join"] = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents WHERE doc_id IS NOT NULL),
+s AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+        ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')) END)) AS g FROM d),
+rep AS (SELECT md5(array_to_string(g, '|')) AS h, min(doc_id) AS rep, count(*) AS copies, any_value(g) AS g, any_value(len(g)) AS n FROM s GROUP BY h),
+x AS (SELECT rep, n, copies, unnest(g) AS g FROM rep),
+pair AS (SELECT a.rep AS a, b.rep AS b, any_value(b.copies) AS copies FROM x a JOIN x b ON a.g = b.g AND a.rep <> b.rep
+         GROUP BY a.rep, b.rep, a.n, b.n HAVING CAST(count(*) AS DOUBLE) / (a.n + b.n - count(*)) >= 0.8),
+reach AS (SELECT a, b FROM pair UNION SELECT reach.a, pair.b FROM reach JOIN pair ON reach.b = pair.a),
+low AS (SELECT a, min(b) AS b FROM reach GROUP BY a),
+cnt AS (SELECT a, CAST(sum(copies) AS BIGINT) AS add FROM pair GROUP BY a)
+SELECT s.doc_id, coalesce(cnt.add, 0) + rep.copies - 1 AS n_links, least(rep.rep, coalesce(low.b, rep.rep)) AS class_id
+FROM s JOIN rep ON rep.h = md5(array_to_string(s.g, '|')) LEFT JOIN cnt ON cnt.a = rep.rep LEFT JOIN low ON low.a = rep.rep
+"""
