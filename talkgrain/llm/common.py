@@ -117,3 +117,19 @@ def components(edges: DataFrame, scratch: Scratch, max_rounds: int = 60) -> Data
     return cur.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
         cur.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     )
+
+
+def slices(batches, column: str = "text", chars: int = 2_000_000):
+    """Record batches of at most so many bytes of text (one row at least), so that what a task holds is bounded whatever the rows' sizes."""
+    import pyarrow.compute as pc
+
+    for b in batches:
+        size = pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False)
+        i, held = 0, 0
+        for j, n in enumerate(size.tolist()):
+            if held + n > chars and j > i:
+                yield b.slice(i, j - i)
+                i, held = j, 0
+            held += n
+        if b.num_rows > i:
+            yield b.slice(i)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from talkgrain.llm import winnow
-from talkgrain.llm.common import Scratch, components
+from talkgrain.llm.common import Scratch, components, slices
 from talkgrain.llm.embedding_dedup import forest
 from talkgrain.llm.substring_dedup import _int64, word_hashes
 
@@ -115,7 +115,7 @@ def _clusters(sig: np.ndarray, least: dict[int, int]) -> np.ndarray:
 
 def _sketch(docs: DataFrame, words: int) -> DataFrame:
     def rows(batches):
-        for b in batches:
+        for b in slices(batches):
             sets = [shingles(t, words) for t in b.column("text").to_pylist()]
             d = winnow.digests(np.concatenate([*sets, np.zeros(1, U64)]), np.cumsum([0, *map(len, sets)])[:-1], np.array([len(s) for s in sets], np.int64))
             sig = [x.tobytes() for x in minhashes(sets)]
@@ -278,7 +278,7 @@ def _with_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     """The wanted representatives with their sets, made anew from their texts."""
 
     def rows(batches):
-        for b in batches:
+        for b in slices(batches):
             sets = [shingles(t, words) for t in b.column("text").to_pylist()]
             d = winnow.digests(np.concatenate([*sets, np.zeros(1, U64)]), np.cumsum([0, *map(len, sets)])[:-1], np.array([len(s) for s in sets], np.int64))
             mine = (d[0] == b.column("s1").to_numpy()) & (d[1] == b.column("s2").to_numpy())  # other rows may repeat the doc_id

@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from talkgrain.llm.common import slices
+
 FEATURES = ("capitals", "symbols", "bars", "shouts", "repeated_words", "distinct_words", "repeated_lines", "letters", "stops", "commas", "length")
 #: Labelled rows that the fit reads at most, the first by hash of doc_id.
 SAMPLE = 20_000
@@ -113,7 +115,7 @@ def held_out():
 
 def _features_of(docs: DataFrame, *keep: str) -> DataFrame:
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             x = features(b.column("text"))
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), pa.array(list(x), pa.list_(pa.float64()))], names=[*keep, "x"])
 
@@ -125,7 +127,7 @@ def scored(docs: DataFrame, ranker: Ranker) -> DataFrame:
     """doc_id, score. An empty or null text has the score of its (zero) features."""
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(ranker.score(features(b.column("text"))))], names=["doc_id", "score"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, score double")
@@ -135,7 +137,7 @@ def keep_good(docs: DataFrame, ranker: Ranker) -> DataFrame:
     """The rows of docs that the ranker doesn't reject, all columns as they are."""
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             yield b.filter(pa.array(ranker.score(features(b.column("text"))) >= ranker.cut))
 
     return docs.mapInArrow(run, docs.schema)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from talkgrain.llm import winnow
-from talkgrain.llm.common import Scratch
+from talkgrain.llm.common import Scratch, slices
 
 WINDOW = 13
 GRAM = 4
@@ -46,7 +46,7 @@ def run_rows(docs: DataFrame, symbols, least: int, k: int) -> DataFrame:
     """gram, d, k, th, s, w, o: for each run of the documents its anchor's gram, its extent's digest and its place."""
 
     def rows(batches):
-        for b in batches:
+        for b in slices(batches):
             ids, th = b.column("k").to_numpy(), b.column("th").to_numpy()
             texts = [symbols(t) for t in b.column("text").to_pylist()]
             for d, s, w, o, g, joined, at in winnow.all_runs(texts, least, k):
@@ -92,7 +92,7 @@ def repeats(docs: DataFrame, scratch: Scratch, window: int = WINDOW, gram: int =
 
 def _windows(docs: DataFrame, window: int) -> DataFrame:
     def rows(batches):
-        for b in batches:
+        for b in slices(batches):
             ids, th = b.column("k").to_pylist(), b.column("th").to_pylist()
             for k, h, t, runs in zip(ids, th, b.column("text").to_pylist(), b.column("runs").to_pylist(), strict=True):
                 words = word_hashes(t)
@@ -112,7 +112,7 @@ def dedup(docs: DataFrame, scratch: Scratch, window: int = WINDOW, texts: bool =
     kind = dict(docs.dtypes)["doc_id"]
 
     def rows(batches):
-        for b in batches:
+        for b in slices(batches):
             out = [[], [], [], []]
             for t, spans in zip(b.column("text").to_pylist(), b.column("spans").to_pylist(), strict=True):
                 words = t.split()

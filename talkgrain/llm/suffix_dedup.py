@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from talkgrain.llm import winnow
-from talkgrain.llm.common import Scratch
+from talkgrain.llm.common import Scratch, slices
 from talkgrain.llm.substring_dedup import _int64, keyed, run_rows, with_spans
 
 LEAST = 400
@@ -80,7 +80,7 @@ def _blocks(texts: DataFrame, least: int, block: int) -> DataFrame:
     """Cuts each run where its windows' offset to the anchor passes a multiple of `block`."""
 
     def rows(batches):
-        for b in batches:
+        for b in slices(batches):
             for k, th, t, runs in zip(b.column("k").to_pylist(), b.column("th").to_pylist(), b.column("text").to_pylist(), b.column("runs").to_pylist(), strict=True):
                 of, q, s, w = [], [], [], []
                 for i, r in enumerate(runs):
@@ -104,7 +104,7 @@ def _blocks(texts: DataFrame, least: int, block: int) -> DataFrame:
 
 def _windows(texts: DataFrame, least: int) -> DataFrame:
     def rows(batches):
-        for b in batches:
+        for b in slices(batches):
             for k, th, t, runs in zip(b.column("k").to_pylist(), b.column("th").to_pylist(), b.column("text").to_pylist(), b.column("runs").to_pylist(), strict=True):
                 s = np.concatenate([np.arange(r["s"], r["s"] + r["w"]) for r in runs])
                 n = np.concatenate([np.full(r["w"], r["n"]) for r in runs])
@@ -124,7 +124,7 @@ def remove_repeats(docs: DataFrame, scratch: Scratch, least: int = LEAST, keep:
     kinds = dict(docs.dtypes)
 
     def rows(batches):
-        for b in batches:
+        for b in slices(batches):
             out = [[], [], [], [], []]
             for t, spans in zip(b.column("text").to_pylist(), b.column("spans").to_pylist(), strict=True):
                 spans = spans or []
