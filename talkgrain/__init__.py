@@ -1,0 +1 @@
+"""Analytics over support conversations and the knowledge that answers them, on Spark."""

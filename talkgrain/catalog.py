@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from talkgrain.plans import corpus, search, telemetry  # noqa: F401  (they register their queries)
+from talkgrain.plans.registry import ORACLE, QUERIES
+
+__all__ = ["ORACLE", "QUERIES", "flagship"]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("lang").count()
+    return search.hybrid_rrf_search(spark, sf_dir)
