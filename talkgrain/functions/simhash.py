@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -14,22 +15,18 @@ _TOKENS = re.compile(r"[\w-]+")
 
 
 def _simhash(text: str | None) -> tuple[int, int]:
+    """A bit is 1 where at least half of the trigrams' 64-bit hashes have a 1. Texts of one or two tokens hash these instead."""
     tokens = _TOKENS.findall((text or "").casefold())
-    grams = [" ".join(tokens[i : i + 3]) for i in range(len(tokens) - 2)] or tokens
-    ones = [0] * 64
-    for g in grams:
-        h = int.from_bytes(hashlib.blake2b(g.encode(), digest_size=8).digest(), "big")
-        for bit in range(64):
-            ones[bit] += h >> bit & 1
-    value = sum(1 << bit for bit in range(64) if 2 * ones[bit] >= len(grams))
-    return value - (1 << 64) if value >> 63 else value, len(tokens)
+    grams = list(map(" ".join, zip(tokens, tokens[1:], tokens[2:], strict=False))) or tokens
+    raw = b"".join([hashlib.blake2b(g.encode(), digest_size=8).digest() for g in grams])
+    ones = np.unpackbits(np.frombuffer(raw, np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones >= len(grams)).view(">i8")[0]), len(tokens)
 
 
 @F.pandas_udf(T.StructType([T.StructField("hash", T.LongType()), T.StructField("tokens", T.IntegerType())]))
 def simhash(text: pd.Series) -> pd.DataFrame:
-    """The 64-bit hash as a signed long, and the number of tokens. Each bit is the majority of the grams' bits, ties count as 1."""
     got = [_simhash(t) for t in text]
-    return pd.DataFrame({"hash": [h for h, _ in got], "tokens": [n for _, n in got]}, dtype="object").astype({"hash": "int64", "tokens": "int32"})
+    return pd.DataFrame({"hash": np.array([h for h, _ in got], np.int64), "tokens": np.array([n for _, n in got], np.int32)})
 
 
 def hamming(a: Column, b: Column) -> Column:
