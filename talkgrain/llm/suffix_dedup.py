@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from talkgrain.llm import winnow
 from talkgrain.llm.common import Scratch, slices
-from talkgrain.llm.substring_dedup import _int64, keyed, run_rows, with_spans
+from talkgrain.llm.substring_dedup import _int64, keyed, with_spans
 
 LEAST = 400
 GRAM = 128
@@ -39,6 +39,72 @@ def _bytes(text: bytes) -> np.ndarray:
     return np.frombuffer(text, np.uint8)
 
 
+#: Where a suffix starts: its document's two keys and the byte.
+PLACE = np.dtype([("k", "<i8"), ("th", "<i4"), ("s", "<i4")])
+
+
+def _hashed(places: np.ndarray) -> np.ndarray:
+    """63-bit hashes of places; the least of an extent's tells which suffix stands for it."""
+    rest = winnow.mixed(places["th"].astype(np.int64).view(np.uint64) << np.uint64(32) | places["s"].astype(np.uint64))
+    return (winnow.mixed(places["k"].astype(np.int64).view(np.uint64) ^ rest) >> np.uint64(1)).view(np.int64)
+
+
+def _shard_rows(docs: DataFrame, least: int, gram: int, places: bool) -> DataFrame:
+    """A shard's own merge: gram, d, n, place (least hash), w, o and, if wanted, places (packed) of each extent in it.
+
+    So an extent that very many documents share is one row a shard, not one a document.
+    """
+    names = ["gram", "d", "n", "place", "w", "o"] + ["places"] * places
+
+    def rows(batches):
+        for b in slices(batches):
+            ids, th = b.column("k").to_numpy(), b.column("th").to_numpy()
+            parts = []
+            for doc, s, w, o, g, joined, at in winnow.all_runs([_bytes(t) for t in b.column("text").to_pylist()], least, gram):
+                place = np.empty(len(s), PLACE)
+                place["k"], place["th"], place["s"] = ids[doc], th[doc], s
+                parts.append((g, winnow.digests64(joined, at, w + least - 1), place, w, o))
+            if not parts:
+                continue
+            g, d, place, w, o = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order = np.lexsort((d, g))
+            g, d, place, w, o = (x[order] for x in (g, d, place, w, o))
+            first = np.flatnonzero(np.append(True, (g[1:] != g[:-1]) | (d[1:] != d[:-1])) if len(g) else [])
+            n = np.diff(np.append(first, len(g)))
+            low = np.minimum.reduceat(_hashed(place), first) if len(first) else np.zeros(0, np.int64)
+            cols = [_int64(g[first]), _int64(d[first]), pa.array(n), pa.array(low), pa.array(w[first].astype(np.int32)), pa.array(o[first].astype(np.int32))]
+            if places:
+                offsets = np.append(first, len(g)).astype(np.int32) * PLACE.itemsize
+                cols.append(pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(place.tobytes())]))
+            yield pa.RecordBatch.from_arrays(cols, names=names)
+
+    return docs.mapInArrow(rows, "gram long, d long, n long, place long, w int, o int" + ", places binary" * places)
+
+
+def _first_round(docs: DataFrame, least: int, gram: int, scratch: Scratch) -> DataFrame:
+    """gram, k, th, s, w, o, total, stands of the runs in a repeated interval or in one to be refined; see _refined."""
+    known = _known(_shard_rows(docs, least, gram, False), ["gram"], scratch, "round1")
+    joined = _shard_rows(docs, least, gram, True).drop("n", "place").join(known, ["gram", "d"])
+
+    def rows(batches):
+        for b in slices(batches, "places", 8_000_000):
+            place = np.frombuffer(b"".join(b.column("places").to_pylist()), PLACE)
+            of = np.repeat(np.arange(b.num_rows), _sizes(b))
+            total, multi, low = (b.column(c).to_numpy(zero_copy_only=False)[of] for c in ("total", "multi", "place"))
+            stands = multi & ((total == 1) | (_hashed(place) == low))
+            cols = [b.column(c).take(pa.array(of)) for c in ("gram", "w", "o")]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(place["k"]), pa.array(place["th"]), pa.array(place["s"]), pa.array(total), pa.array(stands)], names=["gram", "w", "o", "k", "th", "s", "total", "stands"])
+
+    out = joined.select("gram", "w", "o", "total", "multi", "place", "places").mapInArrow(rows, "gram long, w int, o int, k long, th int, s int, total long, stands boolean")
+    return scratch.write(out, "round1")
+
+
+def _sizes(b: pa.RecordBatch) -> np.ndarray:
+    import pyarrow.compute as pc
+
+    return pc.binary_length(b.column("places")).to_numpy() // PLACE.itemsize
+
+
 def _refined(rows: DataFrame, group: list[str], scratch: Scratch, name: str) -> DataFrame:
     """Merges the interleave of rows(group, d, n, k, th, s, w, o), of which n counts the copies that a row stands for.
 
@@ -46,20 +112,26 @@ def _refined(rows: DataFrame, group: list[str], scratch: Scratch, name: str) ->
     extent shares the group) and stands (this row stands for its extent in the next round).
     """
     place = F.xxhash64("k", "th", "s")
-    seen = scratch.write(rows.groupBy(*group, "d").agg(F.sum("n").alias("total"), F.min(place).alias("place")), f"{name}-seen")
+    known = _known(rows.withColumn("place", place), group, scratch, name)
+    out = rows.join(known, [*group, "d"]).withColumn("stands", F.col("multi") & ((F.col("total") == 1) | (F.col("place") == place)))
+    return scratch.write(out.drop("d", "place"), name)
+
+
+def _known(rows: DataFrame, group: list[str], scratch: Scratch, name: str) -> DataFrame:
+    """group, d, total, place, multi of the extents that are repeated or share their group."""
+    seen = scratch.write(rows.groupBy(*group, "d").agg(F.sum("n").alias("total"), F.min("place").alias("place")), f"{name}-seen")
     shared = scratch.write(seen.groupBy(*group).agg(F.count("*").alias("c")).filter("c > 1").select(*group, F.lit(True).alias("multi")), f"{name}-shared")
     known = seen.join(shared, group, "left").filter("total > 1 or multi").withColumn("multi", F.coalesce("multi", F.lit(False)))
     known = scratch.write(known, f"{name}-known")
     scratch.drop(seen, shared)
-    out = rows.join(known, [*group, "d"]).withColumn("stands", F.col("multi") & ((F.col("total") == 1) | (F.col("place") == place)))
-    return scratch.write(out.drop("d", "place"), name)
+    return known
 
 
 def repeats(docs: DataFrame, scratch: Scratch, least: int = LEAST, gram: int = GRAM, block: int = BLOCK) -> DataFrame:
     """k, th, a, b: byte ranges [a, b) of documents that strings of `least` bytes or more cover which start elsewhere, too."""
     gram = min(gram, least // 2 + 1)
     d = keyed(docs)
-    one = _refined(run_rows(d, _bytes, least, gram).withColumn("n", F.lit(1)), ["gram"], scratch, "round1")
+    one = _first_round(d, least, gram, scratch)
     spans = _spans(one.filter("total > 1"), least)
     todo = one.filter("stands").groupBy("k", "th").agg(F.collect_list(F.struct("gram", "s", "w", "o", F.least("total", F.lit(2)).alias("n"))).alias("runs"))
     texts = scratch.write(d.join(todo, ["k", "th"]), "texts")
