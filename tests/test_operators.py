@@ -1,0 +1,231 @@
+from datetime import datetime, timedelta
+
+import pytest
+from pyspark.sql import functions as F
+
+from talkgrain.functions import redact, scoring, times, urls
+from talkgrain.functions import text as tx
+from talkgrain.functions.simhash import simhash
+from talkgrain.operators import calls, corpus, latency, memory, retrieval
+
+C = F.col
+
+
+def one(spark, value, f, kind="string"):
+    return spark.createDataFrame([(value,)], f"v {kind}").select(f(C("v")).alias("x")).first().x
+
+
+TELEMETRY = "position int, user_id int, session_id string, turn_id int, category string, measurement_source string, latency_complete boolean, input_mode string, interrupted boolean, outcome string, user_stop_to_playback_ms double, llm_connection_warmed boolean, stt_finalization_ms struct<fallback_forced:double,final_shorter_than_interim:double>"
+
+
+def record(i, value, **k):
+    r = dict(position=i, user_id=1, session_id="s", turn_id=i, category="direct", measurement_source="client", latency_complete=True, input_mode="voice", interrupted=False, outcome="completed", user_stop_to_playback_ms=value, llm_connection_warmed=True, stt_finalization_ms=None)
+    return tuple((r | k).values())
+
+
+def test_cohorts(spark):
+    rows = [record(1, 800.0), record(2, 1000.0), record(3, 1200.0), record(4, 5.0, measurement_source="server"), record(5, 5.0, interrupted=True), record(6, 5.0, latency_complete=None), record(7, 5.0, outcome="cancelled"), record(8, -1.0), record(9, 5.0, category="other"), record(10, 5.0, input_mode="text"), record(11, None)]
+    df = spark.createDataFrame(rows, TELEMETRY).filter(latency.eligible())
+    (r,) = latency.cohorts(df).collect()
+    assert (r.n, r.avg_ms, r.p50_ms, r.p90_ms) == (3, 1000.0, 1000.0, 1160.0)
+    assert latency.cohorts(df.limit(0)).collect() == []
+
+
+def test_finalization(spark):
+    rows = [record(1, 1.0, category="rag", stt_finalization_ms=(1.0, 1.0)), record(2, 1.0, category="rag"), record(3, 1.0, category="tool")]
+    got = {r.category: r for r in latency.finalization(spark.createDataFrame(rows, TELEMETRY)).collect()}
+    assert (got["rag"].n, got["rag"].fallback, got["rag"].rate_pct, got["rag"].shorter) == (1, 1, 100.0, 1) and got["tool"].rate_pct is None
+
+
+def test_report(spark):
+    rows = [record(1, 400.0), record(2, 600.0), record(3, 9.0, turn_id=2, measurement_source="server"), record(4, 5.0, turn_id=None), record(5, 7.0, category=None, llm_connection_warmed=None, turn_id=9)]
+    once = latency.one_record_a_turn(spark.createDataFrame(rows, TELEMETRY))
+    assert sorted(r.position for r in once.collect()) == [1, 2, 4, 5]
+    got = {r.grp: r for r in latency.report(once.filter("position < 3"), ["user_stop_to_playback_ms"]).collect()}
+    assert set(got) == {"direct:all", "direct:warm"} and (got["direct:all"].p50, got["direct:all"].p90, got["direct:all"].p95) == (500.0, 580.0, 590.0)
+    assert {r.grp for r in latency.report(once.filter("position = 5"), ["user_stop_to_playback_ms"]).collect()} == {"unknown:all", "unknown:cold"}
+
+
+def test_nearest_rank(spark):
+    df = spark.createDataFrame([(v,) for v in (40.0, 10.0, 30.0, 20.0)], "v double")
+    assert df.agg(latency.nearest_rank(C("v"), 0.95)).first()[0] == 40.0
+    assert df.limit(0).agg(latency.nearest_rank(C("v"), 0.95)).first()[0] is None
+
+
+def test_cursor_and_page(spark):
+    t0 = datetime(2024, 1, 1)
+    df = spark.createDataFrame([(i, t0 + timedelta(hours=i // 2)) for i in range(10)], "id long, at timestamp")
+    first = calls.page(df, "at", "id", 3).collect()
+    assert [r.id for r in first] == [9, 8, 7, 6]
+    assert [r.id for r in calls.page(df, "at", "id", 3, (first[2].at, first[2].id)).collect()] == [6, 5, 4, 3]
+    r = df.filter("id = 3").select(calls.decode_cursor(calls.encode_cursor(C("at"), C("id"))).alias("c"), "at").first()
+    assert (r.c.t, r.c.i) == (r.at, "3")
+
+
+def test_matching(spark):
+    df = spark.createDataFrame([(1, "active", "a", "b", "c", 0, None), (2, "ended", "x", "a", "c", 2, None), (3, "ended", "x", "y", "z", 0, datetime(2024, 1, 1))], "id int, status string, stt_provider string, llm_provider string, tts_provider string, error_count int, deleted_at timestamp")
+    ids = lambda **k: sorted(r.id for r in calls.matching(df, **k).collect())
+    assert ids() == [1, 2] and ids(provider="a") == [1, 2] and ids(has_errors=True) == [2] and ids(deleted=True) == [3] and ids(status="ended") == [2]
+
+
+def test_logs(spark):
+    e = spark.createDataFrame([(1, "tool", "r1"), (1, "tool", "r2"), (1, "llm", "r1"), (1, "tool", None), (2, "tool", "r1")], "call_id int, component string, request_id string")
+    o = spark.createDataFrame([(1, "r1"), (1, "r1"), (1, None)], "call_id int, request_id string")
+    left = sorted(map(tuple, calls.without_represented(e, o).collect()), key=str)
+    assert left == sorted([(1, "llm", "r1"), (1, "tool", "r2"), (1, "tool", None), (2, "tool", "r1")], key=str)
+    up = spark.createDataFrame([(1, 1, 5, None), (1, 2, None, "x"), (1, 3, None, None), (2, 1, None, None)], "k int, seq int, a int, b string")
+    assert sorted(map(tuple, calls.last_known(up, ["k"], ["seq"], ["a", "b"]).collect())) == [(1, 5, "x"), (2, None, None)]
+    st = spark.createDataFrame([(1, 1, "initializing"), (1, 2, "active"), (1, 3, "completed"), (2, 1, "initializing"), (2, 2, "failed")], "call_id int, at int, status string")
+    assert [tuple(r)[:3] for r in calls.illegal_transitions(st).collect()] == [(1, 3, "completed")]
+    ok, late = calls.rejected_late(e, spark.createDataFrame([(1, "completed"), (2, "active")], "call_id int, status string"))
+    assert (ok.count(), late.count()) == (1, 4)
+    s = spark.createDataFrame([("t1", datetime(2024, 1, 1))], "tool_call_id string, at timestamp")
+    r = spark.createDataFrame([("t1", datetime(2024, 1, 1, 0, 0, 2), "ok")], "tool_call_id string, at timestamp, status string")
+    assert calls.paired(s, r).first().duration_ms == 2000 and calls.paired(s, r.limit(0)).first().status == "pending"
+    assert calls.timeline(e, o).count() == 8
+    n = calls.numbered(e, "call_id", ["component", "request_id"])
+    assert sorted(r.sequence for r in n.collect()) == [1, 1, 2, 3, 4]
+    assert calls.last_of_each(up, "k", ["seq"], 1).count() == 2 and calls.deduplicated(up, ["k"], ["seq"]).count() == 2
+
+
+def test_lifecycle(spark):
+    now = F.lit(datetime(2024, 1, 1, 1))
+    c = spark.createDataFrame([(1, "active", datetime(2024, 1, 1), None, None), (2, "active", datetime(2024, 1, 1, 0, 59, 50), None, None), (3, "completed", datetime(2024, 1, 1), datetime(2024, 1, 1), datetime(2024, 1, 1, 0, 30))], "call_id int, status string, started_at timestamp, deleted_at timestamp, purge_after timestamp").withColumn("last_heartbeat_at", F.lit(None).cast("timestamp"))
+    assert {r.call_id: r.status for r in calls.stale(c, now, 30).collect()} == {1: "abandoned", 2: "active", 3: "completed"}
+    r = spark.createDataFrame([(1, datetime(2025, 1, 1)), (2, datetime(2023, 1, 1)), (3, None), (9, None)], "call_id int, retention_until timestamp")
+    assert sorted(x.call_id for x in calls.due_for_purge(r, c, now).collect()) == [2, 3]
+    t = spark.createDataFrame([(1, 1, False), (1, 2, True), (1, 2, True)], "call_id int, sequence int, interrupted boolean")
+    e = spark.createDataFrame([(1, "error"), (1, "warning"), (2, "critical")], "call_id int, severity string")
+    o = spark.createDataFrame([(1,)], "call_id int")
+    got = {r.call_id: (r.turns, r.interruptions, r.errors, r.warnings, r.tools) for r in calls.counters(t, e, o).collect()}
+    assert got == {1: (2, 1, 1, 1, 1), 2: (0, 0, 1, 0, 0)}
+    fp = spark.createDataFrame([("c", None, None, " m "), ("c", 0, "", "m")], "c string, t int, r string, m string").select(calls.fingerprint(C("c"), C("t"), C("r"), C("m")))
+    assert fp.distinct().count() == 1
+
+
+def test_text(spark):
+    assert one(spark, "  a \n b\t", tx.collapse) == "a b" and one(spark, None, tx.collapse) == ""
+    assert one(spark, "don't re-use née über!", tx.token_count) == 5
+    assert one(spark, "Über x re-use über", tx.terms) == ["über", "re-use"]
+    assert one(spark, "what is the price", tx.telling_terms) == ["price", "what"] and one(spark, "is it ok", tx.telling_terms) == ["is", "it", "ok"]
+    assert one(spark, "# Head\n- [a](http://x) *b* http://y z", tx.plain) == "Head a b z"
+    assert one(spark, "One two. " * 20, lambda c: tx.truncated(c, 60)).endswith("…") and len(one(spark, "word " * 50, lambda c: tx.truncated(c, 60))) <= 60
+    assert one(spark, "a.v3", tx.version_base) == "a" and one(spark, "A  b c d e f g", tx.title_of) == "A b c d e f"
+    assert one(spark, "x y", tx.safe_metadata).startswith("chars=3,words=2,sha256=")
+    assert one(spark, None, lambda c: tx.content_hash(c, F.lit("b"))) == one(spark, "", lambda c: tx.content_hash(c, F.lit("b")))
+
+
+def test_redaction(spark):
+    t = "mail a.b@c.org, Bearer abc.def, password: hunter2, call 12345678 87654321 or 123456, https://u:p@h.com/x?token=1#f eyJhbGciOi.eyJzdWIi.sig_1"
+    got = one(spark, t, redact.redacted)
+    for secret in ("a.b@c.org", "abc.def", "hunter2", "12345678", "87654321", "u:p", "token=1", "eyJ"):
+        assert secret not in got
+    assert "123456," in got and one(spark, None, redact.redacted) is None
+    assert one(spark, "4111111111111111", redact.masked) == "***1111" and one(spark, "Hi ANN and ann", lambda c: redact.scrubbed(c, "Ann")) == "Hi [PRIVATE] and [PRIVATE]"
+    assert "truncated" in one(spark, '{"a": 1}', lambda c: redact.capped_json(c, 3))
+
+
+def test_urls(spark):
+    for u, want in {
+        "HTTPS://Ex.com:443/a/?b=2&utm_x=1&a=1&fbclid=z#top": "https://ex.com/a?a=1&b=2", "http://ex.com": "http://ex.com/", "ftp://ex.com": None, "http://u@ex.com/": None, "http://ex.com:8080/": None, None: None, "x": None, "http://ex.com:443/p": "http://ex.com:443/p",
+    }.items():
+        assert one(spark, u, urls.canonical) == want, u
+    assert one(spark, "https://a.ex.com/", lambda c: urls.allowed(c, ["ex.com"])) and not one(spark, "https://notex.com/", lambda c: urls.allowed(c, ["ex.com"]))
+    assert not one(spark, "https://e.com/%5Bslug%5D", urls.concrete) and one(spark, "https://e.com/a", urls.concrete) and one(spark, "https://e.com/a.PNG", urls.is_asset)
+    assert one(spark, "https://e.com/blog/x/", lambda c: urls.under_prefix(c, ["/blog"])) and not one(spark, "https://e.com/blogs", lambda c: urls.under_prefix(c, ["/blog/"]))
+    assert one(spark, "https://u:p@E.com:8443/x?q#f", urls.without_query) == "https://e.com:8443/x"
+
+
+def test_scores(spark):
+    df = spark.createDataFrame([([1.0, 0.0], [1.0, 1.0])], "a array<float>, b array<float>")
+    assert df.select(scoring.cosine(C("a"), C("b"))).first()[0] == pytest.approx(0.5**0.5)
+    r = spark.range(1).select(scoring.rrf(F.lit(1), F.lit(1)).alias("a"), scoring.rrf(F.lit(1), F.lit(None).cast("int")).alias("b")).first()
+    assert (r.a, r.b) == (1.0, pytest.approx(0.5))
+
+
+def test_search(spark):
+    units = spark.createDataFrame([(1, "Contact support", "call the support line", 3), (2, "Product page", "our product has support", 5), (3, "Support contacts", "Call the support line!", 4)], "id long, title string, text string, authority int")
+    q = spark.createDataFrame([("q", "contact support line")], "qid string, query string")
+    lex = retrieval.lexical(q, units, "qid", C("query"), "id", F.concat_ws(" ", "title", "text"), tie=[-C("authority")])
+    assert lex.orderBy("lex_pos").first().id == 1
+    vec = spark.createDataFrame([("q", 3, 0.9, 1)], "qid string, id long, similarity double, dense_pos int")
+    u = units.select("id", F.concat_ws(" ", "title", "text").alias("body"), C("title").alias("identity"), C("text").alias("retrieval_text"), F.lit(None).cast("string").alias("product"), C("text").alias("answer"), "authority")
+    hits = retrieval.ranked(retrieval.fuse(lex, vec, q.withColumn("aliases", F.array(F.lit("Support Line"))), u, "qid", "id"), "qid", "id", 2).orderBy("pos").collect()
+    assert [h.id for h in hits] == [3, 2] and hits[0].matched_by == ["lexical", "dense", "alias"]  # 1 says the same as 3
+    df = spark.createDataFrame(hits)
+    assert retrieval.decide(q, df, "qid").first().status == "ok" and retrieval.decide(q, df.filter("score > 9"), "qid").first().reason == "below_confidence_threshold"
+    d = spark.createDataFrame([("q", [1.0, 0.0])], "qid string, probe array<float>")
+    v = spark.createDataFrame([(1, [1.0, 0.1]), (2, [-1.0, 0.0]), (3, None)], "id long, embedding array<float>")
+    assert [(r.id, round(r.similarity, 2)) for r in retrieval.dense(d, v, "qid", "id").orderBy("dense_pos").collect()] == [(1, 1.0), (2, 0.0)]
+    assert retrieval.of_type(spark.createDataFrame([("it is 5.", {}), ("none", {"answers_quantity": True}), ("v5x", {})], "answer string, m map<string,boolean>"), "quantity", C("m")).count() == 2
+    e = retrieval.evaluate(spark.createDataFrame([(1,), (2,), (None,), (9,)], "rank int"), 5).first()
+    assert (e.n, e.recall_at_k, round(e.mrr, 4)) == (4, 0.5, round((1 + 0.5 + 1 / 9) / 4, 4)) and retrieval.evaluate(spark.createDataFrame([], "rank int"), 5).first().mrr is None
+
+
+def test_tickets(spark):
+    e = spark.createDataFrame([(1, "Device", "Printer", "paper stuck"), (2, "Device", "Screen", "dark screen"), (3, "Bill", "Fee", "wrong fee")], "id long, c string, s string, r string")
+    q = spark.createDataFrame([("a", "the printer has paper stuck"), ("b", "zzz"), ("c", None)], "qid string, t string")
+    got = [(r.qid, r.entry_id if "entry_id" in r else r.id, r.score) for r in retrieval.tickets(q, e, "qid", C("t"), "id", C("c"), C("s"), C("r")).collect()]
+    assert got == [("a", 1, round((1.5 + 2 * 2) / (5 + 3), 6))]
+
+
+def test_corpus(spark):
+    u = spark.createDataFrame([(1, "Same  answer", True), (2, "same answer", False), (3, "other", False)], "unit_id long, a string, ok boolean")
+    best = {r.kept_id: r.n for r in corpus.keep_best(u, "a", C("ok"), corpus.preference(F.lit("https://e.com/support"), C("unit_id"))).collect()}
+    assert best == {1: 2, 3: 1}
+    base = "the quick brown fox jumps over the lazy dog again and again while the band plays on and the sun sets"
+    n = spark.createDataFrame([(1, "faq", base), (2, "faq", base + "!"), (3, "policy", base), (4, "faq", "short"), (5, "faq", "an altogether different claim about fees that nobody would ever mistake for a fox in any way")], "unit_id long, unit_type string, answer string")
+    hashes = {r.unit_id: r.h for r in n.select("unit_id", simhash("answer").alias("h")).collect()}
+    assert hashes[1].hash == hashes[2].hash and hashes[4].tokens == 1
+    assert corpus.near_pairs(n).collect() == []  # equal hashes are one unit
+    near = corpus.near_pairs(n, radius=63).collect()
+    assert {(r.left_id, r.right_id) for r in near} <= {(1, 5)}
+    c = spark.createDataFrame([(1, "Q?", "p", None, "faq", 1, "h1", "yes"), (2, "q", "P", None, "faq", 2, "h2", "no"), (3, "q", "p", None, "faq", 2, "h3", "maybe"), (4, "q", "p", None, "faq", 3, "h4", "Yes!"), (5, "", "p", None, "faq", 4, "h5", "x")], "unit_id long, subject string, product string, topic string, unit_type string, document_id long, content_hash string, answer string")
+    pairs = sorted((r.left_id, r.right_id) for r in corpus.contradictions(c).collect())
+    assert pairs == [(1, 2), (1, 3), (2, 4), (3, 4)]
+    known = spark.createDataFrame([(1, 2)], "left_id long, right_id long")
+    assert corpus.contradictions(c, known).count() == 3
+    bad = spark.createDataFrame([("nope", "K", "", "a", "r", 9, None, None), ("faq", "key", "t", "a", "r", 3, datetime(2024, 1, 2), datetime(2024, 1, 1)), ("faq", "key", "t", "a", "r", 3, None, None)], "unit_type string, stable_key string, title string, answer string, retrieval_text string, authority int, effective_at timestamp, expires_at timestamp")
+    assert [r.problems for r in corpus.invalid(bad).collect()] == [["unit_type", "stable_key", "required", "authority"], ["dates"]]
+    assert corpus.valid_at(bad, F.lit(datetime(2024, 1, 1))).count() == 2
+
+
+def test_upsert_and_releases(spark, tmp_path):
+    cur = spark.createDataFrame([("a", "h", "approved", 1), ("b", "h", "draft", 2), ("c", "h", "retired", 1), ("c.v2", "g", "draft", 2)], "stable_key string, content_hash string, status string, version int")
+    new = spark.createDataFrame([("a", "x"), ("b", "x"), ("c", "h"), ("d", "x"), ("c.v2", "z")], "stable_key string, content_hash string")
+    got = {r.stable_key: (r.action, r.version, r.result_key) for r in corpus.staged_upsert(cur, new).collect()}
+    assert got == {"a": ("new_version", 2, "a.v2"), "b": ("in_place", 2, "b"), "c": ("unchanged", 1, "c"), "d": ("new", 1, "d"), "c.v2": ("in_place", 2, "c.v2")}
+    s = corpus.snapshot_sync(spark.createDataFrame([("a", True), ("b", False)], "k string, active boolean"), spark.createDataFrame([("b",), ("c",)], "k string"), ["k"])
+    assert {r.k: r.active for r in s.collect()} == {"a": False, "b": True, "c": True}
+    rel = spark.createDataFrame([(1, "published"), (2, "validated")], "version int, status string")
+    units = spark.createDataFrame([(2, 7)], "version int, unit_id long")
+    conflict = spark.createDataFrame([(7, 8, "open")], "left_id long, right_id long, status string")
+    assert {r.version: r.status for r in corpus.publish(rel, F.lit(2), conflict.limit(0), units).collect()} == {1: "superseded", 2: "published"}
+    with pytest.raises(ValueError, match="open conflicts"):
+        corpus.publish(rel, F.lit(2), conflict, units)
+    t = spark.createDataFrame([("A", "b", " x  y ", "Active", 1), ("A", "b", "x y", "active", 2), ("A", "b", "z", "Blocked", 3), ("", "b", "z", "active", 4), (None, None, None, None, 5)], "code string, subcode string, remark string, status string, row int")
+    entries, report = corpus.taxonomy_import(t, "row")
+    assert entries.count() == 1 and tuple(report.first()) == (5, 1, 3, 1)
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
+    p = spark.createDataFrame([(1, 2), (2, 3), (1, 3), (4, 5), (5, 6)], "left_id long, right_id long")
+    assert sorted(map(tuple, corpus.greedy_clusters(p).collect())) == [(2, 1), (3, 1), (5, 4)]
+
+
+def test_memory(spark):
+    m = spark.createDataFrame([("c", i, "assistant" if i % 2 else "user", f"m{i}") for i in range(10)], "conv string, turn int, role string, text string")
+    (r,) = memory.chunks(m, "conv", "turn", {"user": "You"}).collect()
+    assert (r.start, r.end) == (0, 7) and r.text.startswith("You: m0\nassistant: m1")
+    keep = memory.remembered(spark.createDataFrame([("user", None, "hi"), ("user", None, "x <|im"), ("assistant", "greeting", "yo"), ("assistant", None, "ok"), ("user", None, None)], "role string, source string, text string"))
+    assert sorted(str(r.text) for r in keep.collect()) == ["None", "hi", "ok"]
+    f = spark.createDataFrame([("u", "p", "city", "Pune", "set", 1), ("u", "p", "city", "Goa", "set", 2), ("u", "p", "likes", "Tea", "set", 3), ("u", "p", "likes", "tea", "remove", 4), ("u", "p", "likes", "milk", "set", 5)], "user string, type string, key string, value string, op string, seq int")
+    now = memory.active_facts(f, ["city"])
+    assert sorted(r.value for r in now.collect()) == ["Goa", "milk"] and memory.profile(now).first().profile == "p.city: Goa\np.likes: milk"
+    ch = spark.createDataFrame([("u", "old", 0, [1.0, 0.0]), ("u", "now", 0, [1.0, 0.0]), ("u", "far", 0, [0.0, 1.0]), ("x", "y", 0, [1.0, 0.0])], "user string, conv_id string, chunk int, embedding array<float>")
+    pr = spark.createDataFrame([("u", "now", [1.0, 0.1])], "probe_user string, probe_conv string, probe array<float>")
+    assert [r.conv_id for r in memory.recall(pr, ch).collect()] == ["old"] and memory.recall(pr, ch, n=1, least=0.999).count() == 0
+    assert memory.last_lines(m, "conv", "turn", 2).first().lines == "user: m8 | assistant: m9"
+
+
+def test_times(spark):
+    r = spark.createDataFrame([(datetime(2024, 1, 1, 12), 3)], "t timestamp, n int").select(times.local_parts(C("t"), "Asia/Kolkata").alias("p"), times.backoff_seconds(C("n")).alias("b")).first()
+    assert (r.p.iso, r.p.day, r.b) == ("2024-01-01T17:30:00", "Monday", 8.0)
