@@ -6,7 +6,7 @@ interleave in rounds. A round extends the common prefix that defines an interval
 
   round 0  the gram at the anchor (128 bytes),
   round 1  the extent of a whole run, at least 400 bytes both ways of the anchor,
-  round 2  blocks of 16 windows at equal offsets to the anchor,
+  round 2  the 385 bytes that 16 windows at equal offsets to the anchor share, then the block of all they cover,
   round 3  single windows of exactly 400 bytes.
 
 After each round an interval is settled as unique (one suffix: dropped), or as repeated (two or more with equal extents
@@ -129,16 +129,19 @@ def _known(rows: DataFrame, group: list[str], scratch: Scratch, name: str) -> Da
 
 def repeats(docs: DataFrame, scratch: Scratch, least: int = LEAST, gram: int = GRAM, block: int = BLOCK) -> DataFrame:
     """k, th, a, b: byte ranges [a, b) of documents that strings of `least` bytes or more cover which start elsewhere, too."""
-    gram = min(gram, least // 2 + 1)
+    gram, block = min(gram, least // 2 + 1), max(1, min(block, least // 2))
     d = keyed(docs)
     one = _first_round(d, least, gram, scratch)
     spans = _spans(one.filter("total > 1"), least)
-    todo = one.filter("stands").groupBy("k", "th").agg(F.collect_list(F.struct("gram", "s", "w", "o", F.least("total", F.lit(2)).alias("n"))).alias("runs"))
+    todo = one.filter("stands").groupBy("k", "th").agg(F.collect_list(F.struct("s", "w", "o", F.least("total", F.lit(2)).alias("n"))).alias("runs"))
     texts = scratch.write(d.join(todo, ["k", "th"]), "texts")
-    two = _refined(scratch.write(_blocks(texts, least, block), "blocks"), ["gram", "q"], scratch, "round2")
+    blocks = scratch.write(_blocks(texts, least, block), "blocks")
+    two = _refined(blocks, ["core", "q"], scratch, "round2")
+    scratch.drop(blocks)
     spans = spans.unionByName(_spans(two.filter("n = 1 and total > 1"), least))
     todo = two.filter("stands").groupBy("k", "th").agg(F.collect_list(F.struct("s", "w", F.least("total", F.lit(2)).alias("n"))).alias("runs"))
     single = scratch.write(_windows(texts.drop("runs").join(todo, ["k", "th"]), least), "windows")
+    scratch.drop(texts)
     repeated = scratch.write(single.groupBy("d", "e").agg(F.sum("n").alias("total")).filter("total > 1").select("d", "e"), "repeated")
     three = single.filter("n = 1").join(repeated, ["d", "e"]).withColumn("w", F.lit(1))
     return spans.unionByName(scratch.write(_spans(three, least), "round3"))
@@ -149,29 +152,34 @@ def _spans(rows: DataFrame, least: int) -> DataFrame:
 
 
 def _blocks(texts: DataFrame, least: int, block: int) -> DataFrame:
-    """Cuts each run where its windows' offset to the anchor passes a multiple of `block`."""
+    """Cuts each run where its windows' offset to the anchor passes a multiple of `block`.
+
+    core is the digest of the bytes that all windows of a whole block share; only blocks with equal cores can have equal windows.
+    """
 
     def rows(batches):
         for b in slices(batches):
             for k, th, t, runs in zip(b.column("k").to_pylist(), b.column("th").to_pylist(), b.column("text").to_pylist(), b.column("runs").to_pylist(), strict=True):
-                of, q, s, w = [], [], [], []
-                for i, r in enumerate(runs):
-                    high, low = r["o"], r["o"] - r["w"] + 1  # window s + x has offset o - x
+                q, s, w, n, c = [], [], [], [], []
+                for r in runs:
+                    anchor, high = r["s"] + r["o"], r["o"]
+                    low = high - r["w"] + 1  # window s + x has offset o - x
                     for j in range(low // block, high // block + 1):
                         top, bottom = min(high, j * block + block - 1), max(low, j * block)
-                        of.append(i)
                         q.append(j)
-                        s.append(r["s"] + high - top)
+                        s.append(anchor - top)
                         w.append(top - bottom + 1)
-                s, w = np.array(s), np.array(w)
-                digest = winnow.digests64(_bytes(t), s, w + least - 1)
+                        n.append(r["n"])
+                        c.append(anchor - j * block)
+                data, s, w = _bytes(t), np.array(s), np.array(w)
+                core = winnow.digests64(data, np.array(c), np.full(len(c), least - block + 1))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([runs[i]["gram"] for i in of], pa.int64()), pa.array(q, pa.int32()), _int64(digest), pa.array([runs[i]["n"] for i in of], pa.int64())]
+                    [_int64(core), pa.array(q, pa.int32()), _int64(winnow.digests64(data, s, w + least - 1)), pa.array(n, pa.int64())]
                     + [pa.array(np.full(len(s), k)), pa.array(np.full(len(s), th, np.int32)), pa.array(s.astype(np.int32)), pa.array(w.astype(np.int32))],
-                    names=["gram", "q", "d", "n", "k", "th", "s", "w"],
+                    names=["core", "q", "d", "n", "k", "th", "s", "w"],
                 )
 
-    return texts.mapInArrow(winnow.gathered(rows), "gram long, q int, d long, n long, k long, th int, s int, w int")
+    return texts.mapInArrow(winnow.gathered(rows), "core long, q int, d long, n long, k long, th int, s int, w int")
 
 
 def _windows(texts: DataFrame, least: int) -> DataFrame:
