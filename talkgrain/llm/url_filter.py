@@ -54,7 +54,7 @@ def _strength(children: DataFrame) -> Column:
 
 
 def reputation(outcomes: DataFrame, scratch: Scratch, z: float = 1.645) -> DataFrame:
-    """host, n, good, rate, upper: for each host of outcomes(host, good boolean). One row of strengths a level is computed; all else stays distributed.
+    """host, n, good, rate, upper: for each host of outcomes(host, good boolean). The driver gets four numbers: the overall rate and a prior's strength a level.
 
     Rows without a host or an outcome are left out. An empty table gives an empty result.
     """
@@ -66,11 +66,11 @@ def reputation(outcomes: DataFrame, scratch: Scratch, z: float = 1.645) -> DataF
         .withColumn("suffix", suffix_of(F.col("host"))),
         "hosts",
     )
-    overall = hosts.agg((F.sum("good") / F.sum("n")).alias("base"))
-    level, key = hosts.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("good").alias("good")).crossJoin(F.broadcast(overall)), "suffix"
+    one = hosts.agg(F.sum("good") / F.sum("n")).first()[0]
+    level, key = hosts.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("good").alias("good")).withColumn("base", F.lit(one).cast("double")), "suffix"
     for child in ("domain", "host", None):
-        strength = level.agg(_strength(level).alias("m"))  # one row
-        done = level.crossJoin(F.broadcast(strength)).withColumn("rate", F.round((F.col("good") + F.col("m") * F.col("base")) / (F.col("n") + F.col("m")), 9))
+        strength = F.lit(level.agg(_strength(level)).first()[0]).cast("double")
+        done = level.withColumn("m", strength).withColumn("rate", F.round((F.col("good") + F.col("m") * F.col("base")) / (F.col("n") + F.col("m")), 9))
         if child is None:
             break
         below = hosts.groupBy(child, key).agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
