@@ -155,13 +155,13 @@ def recent_context_budget(spark, d):
 
 @query("""WITH m AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations WHERE role <> 'system'),
 g AS (SELECT conv_id, (n - 1) // 8 AS chunk, count(*) AS c, min(turn) AS s, max(turn) AS e, arg_max(role, turn) AS last,
-string_agg(CASE role WHEN 'user' THEN 'You' WHEN 'assistant' THEN 'Aura' ELSE role END || ': ' || coalesce(text, ''), chr(10) ORDER BY turn) AS t FROM m GROUP BY ALL)
+string_agg(CASE role WHEN 'user' THEN 'You' WHEN 'assistant' THEN 'Assistant' ELSE role END || ': ' || coalesce(text, ''), chr(10) ORDER BY turn) AS t FROM m GROUP BY ALL)
 SELECT conv_id, s AS start_turn, e AS end_turn, left(t, 1200) AS text FROM g WHERE c = 8 AND last = 'assistant'""")
 def memory_chunks_every_8(spark, d):
     from talkgrain.operators.memory import chunks
 
     c = table(spark, d, "conversations").filter("role <> 'system'")
-    return chunks(c, "conv_id", "turn", {"user": "You", "assistant": "Aura"}).select("conv_id", F.col("start").alias("start_turn"), F.col("end").alias("end_turn"), "text")
+    return chunks(c, "conv_id", "turn", {"user": "You", "assistant": "Assistant"}).select("conv_id", F.col("start").alias("start_turn"), F.col("end").alias("end_turn"), "text")
 
 
 @query("""WITH x AS (SELECT *, row_number() OVER (PARTITION BY user_id, lower(trim(event_type)) ORDER BY event_id DESC) AS n FROM events)

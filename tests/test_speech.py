@@ -77,8 +77,8 @@ def test_fields(spark):
 
 
 def test_aliases(spark):
-    pairs = [("sound box", "Boombox"), ("box", "crate"), ("why pos", "YPOS")]
-    assert sp.with_aliases("My  Sound Box and why pos ABCDE12345box", pairs) == ("My Boombox and YPOS ABCDE12345box", ["Boombox", "YPOS"])
+    pairs = [("noise maker", "Speaker"), ("box", "crate"), ("card unit", "Terminal")]
+    assert sp.with_aliases("My  Noise Maker and card unit ABCDE12345box", pairs) == ("My Speaker and Terminal ABCDE12345box", ["Speaker", "Terminal"])
     assert sp.with_aliases(None, pairs) == ("", [])
     r = spark.createDataFrame([("a box",)], "t string").select(sp.aliases_udf(pairs)("t").alias("x")).first().x
     assert (r.text, r.used) == ("a crate", ["crate"])
