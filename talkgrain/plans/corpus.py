@@ -16,7 +16,7 @@ _COLLAPSE = r"trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g'))"
 
 @query(rf"SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '{_TOKEN}')) AS value FROM documents")
 def token_counts(spark, d):
-    return table(spark, d, "documents").select("doc_id", tx.token_count(F.col("text")).alias("value"))
+    return table(spark, d, "documents").select("doc_id", tx.token_count(F.col("text")).cast("long").alias("value"))
 
 
 @query(r"""SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '!?\[([^\]]*)\]\([^)]*\)', '\1', 'g'),

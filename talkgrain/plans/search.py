@@ -21,7 +21,7 @@ def vector_topk(spark, d):
     e = table(spark, d, "embeddings")
     probes = e.filter("vec_id < 5").select(F.col("vec_id").alias("q"), F.col("embedding").alias("probe"))
     out = retrieval.dense(probes, e, "q", "vec_id")
-    return out.select("q", "vec_id", F.round("similarity", 6).alias("sim"), F.col("dense_pos").alias("pos"))
+    return out.select("q", "vec_id", F.round("similarity", 6).alias("sim"), F.col("dense_pos").cast("long").alias("pos"))
 
 
 _LEXICAL = rf"""q0 AS (SELECT item_id, list_distinct(list_filter(regexp_extract_all(lower(text), '{TERM}'), lambda t: length(t) > 1)) AS a FROM benchmark),
@@ -35,7 +35,7 @@ lex AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER B
 @query(f"WITH {_LEXICAL} SELECT item_id, doc_id, rank, lex_pos AS pos FROM lex")
 def lexical_topk(spark, d):
     out = retrieval.lexical(table(spark, d, "benchmark"), table(spark, d, "documents"), "item_id", F.col("text"), "doc_id", F.col("text"))
-    return out.withColumnRenamed("lex_pos", "pos")
+    return out.select("item_id", "doc_id", "rank", F.col("lex_pos").cast("long").alias("pos"))
 
 
 def _search(spark, d):
@@ -69,7 +69,7 @@ best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER
 @query(f"WITH {_FUSED} SELECT item_id, doc_id, score, array_to_string(m, ',') AS matched_by, pos FROM best")
 def hybrid_rrf_search(spark, d):
     out = retrieval.ranked(_search(spark, d), "item_id", "doc_id")
-    return out.select("item_id", "doc_id", "score", F.array_join("matched_by", ",").alias("matched_by"), "pos")
+    return out.select("item_id", "doc_id", "score", F.array_join("matched_by", ",").alias("matched_by"), F.col("pos").cast("long").alias("pos"))
 
 
 @query(f"""WITH {_FUSED}, c AS (SELECT item_id, max(score) AS confidence FROM best GROUP BY item_id)
@@ -99,4 +99,5 @@ SELECT item_id, p_partkey, CAST(score AS DOUBLE) AS score, pos FROM (SELECT *, r
 def ticket_candidates(spark, d):
     p = table(spark, d, "part")
     descriptions = p.filter("p_partkey % 20 = 0").select(F.col("p_partkey").alias("item_id"), F.col("p_name").alias("text"))
-    return retrieval.tickets(descriptions, p, "item_id", F.col("text"), "p_partkey", F.col("p_brand"), F.col("p_type"), F.col("p_name"))
+    out = retrieval.tickets(descriptions, p, "item_id", F.col("text"), "p_partkey", F.col("p_brand"), F.col("p_type"), F.col("p_name"))
+    return out.withColumn("pos", F.col("pos").cast("long"))

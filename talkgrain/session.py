@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -14,3 +18,17 @@ def session(app: str = "talkgrain", **conf) -> SparkSession:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once a Spark application, so that Python workers can import it wherever they run."""
+    sc = spark.sparkContext
+    if getattr(sc, "_talkgrain_shipped", None) == sc.applicationId:
+        return
+    package = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="talkgrain-")) / "talkgrain.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, str(Path(package.name) / f.relative_to(package)))
+    sc.addPyFile(str(archive))
+    sc._talkgrain_shipped = sc.applicationId
