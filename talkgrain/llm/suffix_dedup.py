@@ -20,6 +20,7 @@ bwt.py holds the byte-level merge of Burrows-Wheeler transforms that these round
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,8 @@ from talkgrain.llm.substring_dedup import _int64, keyed, with_spans
 LEAST = 400
 GRAM = 128
 BLOCK = 16
+#: At most so many extents are known to all tasks, 24 bytes each.
+HEAVY = 10_000
 
 
 def _bytes(text: bytes) -> np.ndarray:
@@ -49,11 +52,13 @@ def _hashed(places: np.ndarray) -> np.ndarray:
     return (winnow.mixed(places["k"].astype(np.int64).view(np.uint64) ^ rest) >> np.uint64(1)).view(np.int64)
 
 
-def _shard_rows(docs: DataFrame, least: int, gram: int, places: bool) -> DataFrame:
+def _shard_rows(docs: DataFrame, least: int, gram: int, places: bool, heavy: dict | None = None) -> DataFrame:
     """A shard's own merge: gram, d, n, place (least hash), w, o and, if wanted, places (packed) of each extent in it.
 
-    So an extent that very many documents share is one row a shard, not one a document.
+    So an extent that very many documents share is one row a shard, not one a document. Of heavy extents ((gram, d) to
+    place) only the suffix that stands for them is given.
     """
+    grams = np.unique(np.array([g for g, _ in heavy or ()], np.int64).view(np.uint64))
     names = ["gram", "d", "n", "place", "w", "o"] + ["places"] * places
 
     def rows(batches):
@@ -67,6 +72,12 @@ def _shard_rows(docs: DataFrame, least: int, gram: int, places: bool) -> DataFra
             if not parts:
                 continue
             g, d, place, w, o = (np.concatenate(x) for x in zip(*parts, strict=True))
+            if len(grams):
+                keep = np.ones(len(g), bool)
+                known = np.flatnonzero(np.isin(g, grams))
+                for i, h in zip(known.tolist(), _hashed(place[known]).tolist(), strict=True):
+                    keep[i] = heavy.get((int(g[i].view(np.int64)), int(d[i].view(np.int64))), h) == h
+                g, d, place, w, o = (x[keep] for x in (g, d, place, w, o))
             order = np.lexsort((d, g))
             g, d, place, w, o = (x[order] for x in (g, d, place, w, o))
             first = np.flatnonzero(np.append(True, (g[1:] != g[:-1]) | (d[1:] != d[:-1])) if len(g) else [])
@@ -81,10 +92,38 @@ def _shard_rows(docs: DataFrame, least: int, gram: int, places: bool) -> DataFra
     return docs.mapInArrow(rows, "gram long, d long, n long, place long, w int, o int" + ", places binary" * places)
 
 
-def _first_round(docs: DataFrame, least: int, gram: int, scratch: Scratch) -> DataFrame:
-    """gram, k, th, s, w, o, total, stands of the runs in a repeated interval or in one to be refined; see _refined."""
+def _heavy_spans(docs: DataFrame, least: int, gram: int, heavy: dict) -> DataFrame:
+    """k, th, a, b: what heavy extents cover, runs next to each other as one range."""
+    if not heavy:
+        return docs.sparkSession.createDataFrame([], "k long, th int, a int, b int")
+    grams = np.unique(np.array([g for g, _ in heavy], np.int64).view(np.uint64))
+
+    def rows(batches):
+        for b in slices(batches):
+            ids, th, out = b.column("k").to_numpy(), b.column("th").to_numpy(), []
+            for doc, s, w, _, g, joined, at in winnow.all_runs([_bytes(t) for t in b.column("text").to_pylist()], least, gram):
+                some = np.flatnonzero(np.isin(g, grams))
+                d = winnow.digests64(joined, at[some], w[some] + least - 1).view(np.int64)
+                hit = some[[(x, y) in heavy for x, y in zip(g[some].view(np.int64).tolist(), d.tolist(), strict=True)]] if len(some) else some
+                for i in np.unique(doc[hit]).tolist():
+                    mine = hit[doc[hit] == i]
+                    out += [(ids[i], th[i], x, y) for x, y in zip(*map(np.ndarray.tolist, winnow.merged(s[mine], s[mine] + w[mine] + least - 1)), strict=True)]
+            cols = list(zip(*out, strict=True)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.int32()), strict=True)], names=["k", "th", "a", "b"])
+
+    return docs.mapInArrow(rows, "k long, th int, a int, b int")
+
+
+def _first_round(docs: DataFrame, least: int, gram: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(runs in a repeated interval or in one to be refined: k, th, s, w, o, total, stands; spans of heavy extents).
+
+    An extent is heavy if it holds one in HEAVY of the repeated suffixes, so there are at most HEAVY of them, and tasks know them
+    all. What they cover is found where the documents are read, without a join of each of their suffixes.
+    """
     known = _known(_shard_rows(docs, least, gram, False), ["gram"], scratch, "round1")
-    joined = _shard_rows(docs, least, gram, True).drop("n", "place").join(known, ["gram", "d"])
+    limit = max(100, math.ceil((known.agg(F.sum("total")).first()[0] or 0) / HEAVY))
+    heavy = {(r["gram"], r["d"]): r["place"] for r in known.filter(F.col("total") >= limit).select("gram", "d", "place").collect()}
+    joined = _shard_rows(docs, least, gram, True, heavy).drop("n", "place").join(known, ["gram", "d"])
 
     def rows(batches):
         for b in slices(batches, "places", 8_000_000):
@@ -96,7 +135,7 @@ def _first_round(docs: DataFrame, least: int, gram: int, scratch: Scratch) -> Da
             yield pa.RecordBatch.from_arrays([*cols, pa.array(place["k"]), pa.array(place["th"]), pa.array(place["s"]), pa.array(total), pa.array(stands)], names=["gram", "w", "o", "k", "th", "s", "total", "stands"])
 
     out = joined.select("gram", "w", "o", "total", "multi", "place", "places").mapInArrow(rows, "gram long, w int, o int, k long, th int, s int, total long, stands boolean")
-    return scratch.write(out, "round1")
+    return scratch.write(out, "round1"), scratch.write(_heavy_spans(docs, least, gram, heavy), "heavy")
 
 
 def _sizes(b: pa.RecordBatch) -> np.ndarray:
@@ -131,8 +170,8 @@ def repeats(docs: DataFrame, scratch: Scratch, least: int = LEAST, gram: int = G
     """k, th, a, b: byte ranges [a, b) of documents that strings of `least` bytes or more cover which start elsewhere, too."""
     gram, block = min(gram, least // 2 + 1), max(1, min(block, least // 2))
     d = keyed(docs)
-    one = _first_round(d, least, gram, scratch)
-    spans = _spans(one.filter("total > 1"), least)
+    one, heavy = _first_round(d, least, gram, scratch)
+    spans = _spans(one.filter("total > 1"), least).unionByName(heavy)
     todo = one.filter("stands").groupBy("k", "th").agg(F.collect_list(F.struct("s", "w", "o", F.least("total", F.lit(2)).alias("n"))).alias("runs"))
     texts = scratch.write(d.join(todo, ["k", "th"]), "texts")
     blocks = scratch.write(_blocks(texts, least, block), "blocks")

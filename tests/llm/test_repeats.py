@@ -100,3 +100,11 @@ def test_runs_partition_windows(monkeypatch):
 
 def test_word_hashes():
     assert len(word_hashes(" a\tb\x0bc\x1cd  e\n".encode())) == 4  # \x1c is no white space here
+
+
+def test_heavy_extents(spark):
+    line = words(70, 3)
+    texts = [words(80, 100 + i) + "\n" + "\n".join([line] * (1 + i % 5)) + words(5, i) for i in range(150)] + ["ab" * 900, line]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = dict(enumerate(brute_bytes([t.encode() for t in texts], 400)))
+    assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in rows(remove_repeats(df, Scratch(spark, "t")))} == want
