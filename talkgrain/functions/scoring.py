@@ -27,9 +27,12 @@ def clamp(x: Column) -> Column:
 
 
 def share(query_terms: Column, unit_terms: Column) -> Column:
-    """The part of the query's terms that the unit has; 0 for a query without terms."""
-    n = F.size(query_terms)
-    return F.when(n > 0, F.size(F.array_intersect(query_terms, unit_terms)) / n).otherwise(F.lit(0.0))
+    """The part of the query's terms that the unit has; 0 for a query without terms.
+
+    Both arrays are bound to a lambda's variable first, so that each is computed once.
+    """
+    part = lambda p: F.when(F.size(p["q"]) > 0, F.size(F.array_intersect(p["q"], p["u"])) / F.size(p["q"])).otherwise(F.lit(0.0))
+    return F.get(F.transform(F.array(F.struct(query_terms.alias("q"), unit_terms.alias("u"))), part), F.lit(0))
 
 
 def lexical_rank(matching_occurrences: Column) -> Column:

@@ -27,9 +27,12 @@ def terms(text: Column) -> Column:
 
 def telling_terms(text: Column) -> Column:
     """The terms of four characters or more, or all where there is none, sorted."""
-    all_ = terms(text)
-    long = F.filter(all_, lambda t: F.length(t) >= 4)
-    return F.array_sort(F.when(F.size(long) > 0, long).otherwise(all_))
+
+    def choose(all_: Column) -> Column:
+        long = F.filter(all_, lambda t: F.length(t) >= 4)
+        return F.array_sort(F.when(F.size(long) > 0, long).otherwise(all_))
+
+    return F.get(F.transform(F.array(terms(text)), choose), F.lit(0))
 
 
 def ascii_terms(text: Column) -> Column:

@@ -60,9 +60,11 @@ def fuse(lex: DataFrame, vec: DataFrame, queries: DataFrame, units: DataFrame, q
     retrieval_text, product, answer, authority.
     """
     both = lex.join(vec, [query_id, unit_id], "full")
-    j = both.join(queries, query_id).join(units, unit_id)
-    overlap = sc.share(tx.terms(F.col("query")), tx.terms(F.col("body")))
-    field = sc.share(tx.telling_terms(F.col("query")), tx.terms(F.col("identity")))
+    # A query's terms are taken before the join, once a query; a unit's after it, as only candidates need them.
+    q = queries.select(query_id, "aliases", tx.terms(F.col("query")).alias("_terms"), tx.telling_terms(F.col("query")).alias("_telling"))
+    j = both.join(q, query_id).join(units, unit_id)
+    overlap = sc.share(F.col("_terms"), tx.terms(F.col("body")))
+    field = sc.share(F.col("_telling"), tx.terms(F.col("identity")))
     named = lambda a: F.contains(F.lower("retrieval_text"), F.lower(a)) | (F.lower(a) == F.lower(F.coalesce("product", F.lit(""))))
     alias = F.coalesce(F.exists("aliases", named), F.lit(False))
     score = sc.fused(F.col("similarity"), F.col("rank"), overlap, field, sc.rrf(F.col("lex_pos"), F.col("dense_pos")), alias, F.col("authority"))
