@@ -44,11 +44,12 @@ def dense(probes: DataFrame, vectors: DataFrame, query_id: str, unit_id: str, n:
     probes: a stated set of query vectors (query_id, probe), dealt to all tasks; each task ranks its vectors and passes on n a probe. Their
     number is checked: beyond 10,000 they must be searched in batches.
     """
-    few = probes.select(query_id, "probe").limit(10_001)
+    norm = lambda c: F.sqrt(sc.dot(F.col(c), F.col(c)))
+    few = probes.select(query_id, "probe", norm("probe").alias("_np")).limit(10_001)  # norms once a vector, not once a pair
     if few.count() > 10_000:
         raise ValueError("search in batches of 10,000 probes")
-    pairs = vectors.select(unit_id, "embedding").join(F.broadcast(few), F.size("embedding") == F.size("probe"))
-    scored = pairs.withColumn("similarity", sc.clamp(sc.cosine(F.col("embedding"), F.col("probe")))).drop("embedding", "probe")
+    pairs = vectors.select(unit_id, "embedding", norm("embedding").alias("_nv")).join(F.broadcast(few), F.size("embedding") == F.size("probe"))
+    scored = pairs.withColumn("similarity", sc.clamp(sc.dot(F.col("embedding"), F.col("probe")) / (F.col("_nv") * F.col("_np")))).drop("embedding", "probe", "_np", "_nv")
     scored = scored.withColumn("_key", F.round("similarity", 9))
     return _top(scored, query_id, [F.col("_key").desc(), F.col(unit_id)], n, "dense_pos").select(query_id, unit_id, "similarity", "dense_pos")
 
@@ -75,8 +76,9 @@ def fuse(lex: DataFrame, vec: DataFrame, queries: DataFrame, units: DataFrame, q
 def ranked(scored: DataFrame, query_id: str, unit_id: str, top_k: int = 5) -> DataFrame:
     """The best top_k (1 to 10) distinct answers of each query; of equal answers the best unit."""
     order = [F.col("score").desc(), F.size("matched_by").desc(), F.col(unit_id)]
-    said = tx.squeezed(F.col("answer"))
-    once = scored.withColumn("_nth", F.row_number().over(W.partitionBy(query_id, said).orderBy(*order))).filter("_nth = 1").drop("_nth")
+    # The digest of what is said is one short column, computed once, where the window would compare and sort long texts.
+    said = scored.withColumn("_said", F.md5(tx.squeezed(F.col("answer"))))
+    once = said.withColumn("_nth", F.row_number().over(W.partitionBy(query_id, "_said").orderBy(*order))).filter("_nth = 1").drop("_nth", "_said")
     return _top(once, query_id, order, max(1, min(top_k, 10)), "pos")
 
 
