@@ -37,14 +37,20 @@ def keep_best(units: DataFrame, answer: str, approved: Column, order: list[Colum
     return units.groupBy(tx.answer_fingerprint(F.col(answer)).alias("hash")).agg(F.min_by("unit_id", rank).alias("kept_id"), F.count("*").alias("n"))
 
 
+def _hashed(units: DataFrame, least_tokens: int) -> DataFrame:
+    """unit_id, unit_type, hash, tokens of the units that are long enough."""
+    h = units.withColumn("_h", simhash("answer")).select("unit_id", "unit_type", F.col("_h.hash").alias("hash"), F.col("_h.tokens").alias("tokens"))
+    return h.filter(F.col("tokens") >= least_tokens)
+
+
 def near_pairs(units: DataFrame, radius: int = 2, least_tokens: int = 12, ratio: float = 0.9) -> DataFrame:
     """left_id, right_id, dist: units of one type whose SimHash differs in at most `radius` bits.
 
     Two hashes within the radius agree in one of radius + 1 bands (pigeonhole), so only equal bands are joined. Equal
-    hashes are collapsed first and only their smallest unit stands for them, as copies would pair quadratically.
+    hashes are collapsed first and only their smallest unit stands for them, as copies would pair quadratically;
+    near_members has the others.
     """
-    h = units.withColumn("_h", simhash("answer")).select("unit_id", "unit_type", F.col("_h.hash").alias("hash"), F.col("_h.tokens").alias("tokens"))
-    h = h.filter(F.col("tokens") >= least_tokens).groupBy("unit_type", "hash", "tokens").agg(F.min("unit_id").alias("unit_id"))
+    h = _hashed(units, least_tokens).groupBy("unit_type", "hash", "tokens").agg(F.min("unit_id").alias("unit_id"))
     width = -(-64 // (radius + 1))
     bands = F.array(*[F.struct(F.lit(i).alias("i"), F.shiftrightunsigned("hash", i * width).bitwiseAND(F.lit((1 << min(width, 63)) - 1)).alias("v")) for i in range(radius + 1)])
     b = h.withColumn("band", F.explode(bands))
@@ -55,6 +61,18 @@ def near_pairs(units: DataFrame, radius: int = 2, least_tokens: int = 12, ratio:
     return left.join(right, same & close).select(F.col("l.unit_id").alias("left_id"), F.col("r.unit_id").alias("right_id"), d.alias("dist")).distinct()
 
 
+def near_members(units: DataFrame, least_tokens: int = 12) -> DataFrame:
+    """left_id, right_id, dist: the unit that near_pairs compares for each unit that it collapses, at a distance of 0.
+
+    With near_pairs these are all near duplicates: two units are near if their representatives are the same or a pair.
+    One row for each collapsed unit, however large its group. Null types are no type, as in near_pairs.
+    """
+    key = ["unit_type", "hash", "tokens"]
+    h = _hashed(units, least_tokens).filter(F.col("unit_type").isNotNull())
+    low = h.groupBy(*key).agg(F.min("unit_id").alias("left_id"), F.max("unit_id").alias("_last")).filter("left_id < _last").drop("_last")
+    return h.join(low, key).filter("unit_id > left_id").select("left_id", F.col("unit_id").alias("right_id"), F.lit(0).alias("dist")).distinct()
+
+
 def greedy_clusters(pairs: DataFrame, left: str = "left_id", right: str = "right_id") -> DataFrame:
     """left_id absorbs right_id unless it was absorbed itself, in the order of ids: (member, keeper).
 

@@ -190,6 +190,21 @@ def test_corpus(spark):
     assert corpus.valid_at(bad, F.lit(datetime(2024, 1, 1))).count() == 2
 
 
+def test_near_members_complete_near_pairs(spark):
+    """Both together against all pairs of different texts, punctuation variants among them."""
+    text = "the quick brown fox jumps over the lazy dog again and again while the band plays on and the sun sets"
+    texts = [text, text + "!", text.replace(" and", ", and"), text + " late", text.upper(), "an altogether different claim about fees that nobody would ever mistake for a fox", "short", "short!", None]
+    u = spark.createDataFrame([(i, t, x) for i, (t, x) in enumerate([("faq", x) for x in texts] + [("policy", text), ("policy", text + "?"), ("policy", text + "?"), (None, text), (None, text + "!")])], "unit_id long, unit_type string, answer string")
+    rows = u.select("unit_id", "unit_type", simhash("answer").alias("h")).collect()
+    near = lambda a, b: a.unit_type is not None and a.unit_type == b.unit_type and min(a.h.tokens, b.h.tokens) >= max(12, 0.9 * max(a.h.tokens, b.h.tokens)) and bin((a.h.hash ^ b.h.hash) & (2**64 - 1)).count("1") <= 2
+    want = {(a.unit_id, b.unit_id) for a in rows for b in rows if a.unit_id < b.unit_id and near(a, b)}
+    member = {r.right_id: r.left_id for r in corpus.near_members(u).collect()}
+    linked = {(r.left_id, r.right_id) for r in corpus.near_pairs(u).collect()}
+    rep = lambda r: member.get(r.unit_id, r.unit_id)
+    got = {(a.unit_id, b.unit_id) for a in rows for b in rows if a.unit_id < b.unit_id and (rep(a) == rep(b) or tuple(sorted((rep(a), rep(b)))) in linked)}
+    assert got == want and {(0, 1), (0, 2), (9, 10), (10, 11)} <= want
+
+
 def test_upsert_and_releases(spark, tmp_path):
     cur = spark.createDataFrame([("a", "h", "approved", 1), ("b", "h", "draft", 2), ("c", "h", "retired", 1), ("c.v2", "g", "draft", 2)], "stable_key string, content_hash string, status string, version int")
     new = spark.createDataFrame([("a", "x"), ("b", "x"), ("c", "h"), ("d", "x"), ("c.v2", "z")], "stable_key string, content_hash string")
