@@ -1,6 +1,6 @@
 """N-gram Jaccard join with Bayesian candidate pruning (Satuluri and Parthasarathy 2012), verified exactly.
 
-Documents are sets of hashed five-word shingles. Equal sets are collapsed to one representative, the smallest doc_id. MinHash
+Documents are sets of hashed five-word shingles. Equal sets are collapsed to one representative with a number of its own. MinHash
 values band the representatives; within a band's bucket pairs are compared by more and more MinHash values, and
 dropped as soon as the posterior probability of a likeness of the threshold or more, given a uniform prior, falls below the
 tolerance. Of a bucket's survivors only a forest is passed on. Its components hold all candidate pairs; within
@@ -16,8 +16,9 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from talkgrain.llm import winnow
 from talkgrain.llm.common import Scratch, components, slices
@@ -119,10 +120,20 @@ def _sketch(docs: DataFrame, words: int) -> DataFrame:
             sets = [shingles(t, words) for t in b.column("text").to_pylist()]
             d = winnow.digests(np.concatenate([*sets, np.zeros(1, U64)]), np.cumsum([0, *map(len, sets)])[:-1], np.array([len(s) for s in sets], np.int64))
             sig = [x.tobytes() for x in minhashes(sets)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(d[0]), pa.array(d[1]), pa.array([len(s) for s in sets], pa.int64()), pa.array(sig, pa.binary())], names=["doc_id", "s1", "s2", "n", "sig"])
+            own = [b.column(c) for c in ("doc_id", "t1", "t2")]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(d[0]), pa.array(d[1]), pa.array([len(s) for s in sets], pa.int64()), pa.array(sig, pa.binary())], names=["doc_id", "t1", "t2", "s1", "s2", "n", "sig"])
 
-    text = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-    return text.mapInArrow(rows, "doc_id long, s1 long, s2 long, n long, sig binary")
+    return _texts(docs).mapInArrow(rows, "doc_id long, t1 long, t2 long, s1 long, s2 long, n long, sig binary")
+
+
+def _hashes() -> list[Column]:
+    """Two independent hashes of the text: with doc_id they name a row, whatever repeats or is null."""
+    text = F.coalesce("text", F.lit(""))
+    return [F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2")]
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *_hashes(), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
 
 
 def _bands(reps: DataFrame) -> DataFrame:
@@ -252,9 +263,20 @@ def join(docs: DataFrame, scratch: Scratch, threshold: float = THRESHOLD, words:
     docs: doc_id, text; other columns are ignored. Equal sets have a likeness of 1, so texts without words (null, empty) are one class.
     Rows without doc_id are dropped; rows that repeat a doc_id count each. An empty table gives an empty result.
     """
+    sketch, result = _classes(docs.filter("doc_id is not null"), scratch, threshold, words)
+    return sketch.select("doc_id", "s1", "s2").join(result, ["s1", "s2"]).select("doc_id", "n_links", "class_id")
+
+
+def _classes(docs: DataFrame, scratch: Scratch, threshold: float, words: int) -> tuple[DataFrame, DataFrame]:
+    """(sketch, result): a row's doc_id, t1, t2, s1, s2; and s1, s2, n_links, class_id (null if all its rows lack a doc_id), group (the class's number) of each set.
+
+    Representatives are numbered when their table is written, so that neither a repeated nor a missing doc_id merges sets.
+    """
     least = least_matches(threshold)
     sketch = scratch.write(_sketch(docs, words), "sketch")
-    reps = scratch.write(sketch.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sig").alias("sig")), "reps")
+    pick = F.xxhash64("doc_id", "t1")
+    sets = sketch.groupBy("s1", "s2").agg(F.min("doc_id").alias("low"), F.min(pick).alias("pick"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sig").alias("sig"))
+    reps = scratch.write(sets.withColumn("rep", F.monotonically_increasing_id()), "reps")
     bands = _bands(reps)
     full = scratch.write(bands.groupBy("bucket").agg(F.count("*").alias("c")).filter("c > 1"), "full")
     members = _tiles(bands.join(full, "bucket"), "c", BUCKET_TILE, "rep").drop("_t")
@@ -262,39 +284,58 @@ def join(docs: DataFrame, scratch: Scratch, threshold: float = THRESHOLD, words:
     comp = scratch.write(components(_bucket_edges(rows, least), scratch), "candidates")
     scratch.drop(full)
     sizes = scratch.write(comp.groupBy("component").agg(F.count("*").alias("m")), "sizes")
-    wanted = comp.join(sizes, "component").join(reps.select(F.col("rep").alias("node"), "s1", "s2", "copies", "n", "sig"), "node")
+    wanted = comp.join(sizes, "component").join(reps.select(F.col("rep").alias("node"), "s1", "s2", "pick", "copies", "n", "sig"), "node")
     whole = scratch.write(_with_sets(docs, wanted.withColumnRenamed("node", "rep"), words), "sets")
     linked = _tiles(whole, "m", SET_TILE, "rep").groupBy("component", "p", "q").applyInArrow(_verify(threshold, least), "rep long, add long, root long")
     linked = scratch.write(linked, "linked")
     scratch.drop(whole)
-    classes = components(linked.select(F.col("rep").alias("a"), F.col("root").alias("b")), scratch)
+    classes = scratch.write(components(linked.select(F.col("rep").alias("a"), F.col("root").alias("b")), scratch), "classes")
+    lows = classes.join(reps.select(F.col("rep").alias("node"), "low"), "node").groupBy("component").agg(F.min("low").alias("class_low"))
+    classes = classes.join(lows, "component")
     counts = linked.groupBy("rep").agg(F.sum("add").alias("add"))
-    result = reps.select("s1", "s2", "rep", "copies").join(counts, "rep", "left").join(classes.withColumnRenamed("node", "rep"), "rep", "left")
-    result = scratch.write(result.select("s1", "s2", (F.coalesce("add", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("class_id")), "result")
-    return sketch.select("doc_id", "s1", "s2").join(result, ["s1", "s2"]).select("doc_id", "n_links", "class_id")
+    result = reps.select("s1", "s2", "rep", "copies", "low").join(counts, "rep", "left").join(classes.withColumnRenamed("node", "rep"), "rep", "left")
+    links, low = F.coalesce("add", F.lit(0)) + F.col("copies") - 1, F.coalesce("class_low", "low")
+    return sketch, scratch.write(result.select("s1", "s2", links.alias("n_links"), low.alias("class_id"), F.coalesce("component", "rep").alias("group")), "result")
 
 
 def _with_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     """The wanted representatives with their sets, made anew from their texts."""
 
     def rows(batches):
+        seen = set()  # rows that repeat doc_id and text meet in one task, as the join's key is theirs
         for b in slices(batches):
+            reps = b.column("rep").to_pylist()
+            first = [i for i, r in enumerate(reps) if r not in seen]
+            first = list({reps[i]: i for i in reversed(first)}.values())
+            b = b.take(pa.array(first, pa.int64()))
+            if not b.num_rows:
+                continue
             sets = [shingles(t, words) for t in b.column("text").to_pylist()]
             d = winnow.digests(np.concatenate([*sets, np.zeros(1, U64)]), np.cumsum([0, *map(len, sets)])[:-1], np.array([len(s) for s in sets], np.int64))
-            mine = (d[0] == b.column("s1").to_numpy()) & (d[1] == b.column("s2").to_numpy())  # other rows may repeat the doc_id
+            mine = (d[0] == b.column("s1").to_numpy()) & (d[1] == b.column("s2").to_numpy())  # other rows may have the same key
+            seen.update(b.column("rep").filter(pa.array(mine)).to_pylist())
             cols = [b.column(c) for c in ("rep", "component", "m", "copies", "n", "sig")]
             yield pa.RecordBatch.from_arrays([*cols, pa.array([s.tobytes() for s in sets], pa.binary())], names=names).filter(pa.array(mine))
 
     names = ["rep", "component", "m", "copies", "n", "sig", "shingles"]
-    text = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("rep"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-    return text.join(wanted, "rep").mapInArrow(rows, "rep long, component long, m long, copies long, n long, sig binary, shingles binary")
+    text = _texts(docs).select(F.xxhash64("doc_id", "t1").alias("pick"), "text")
+    return text.join(wanted, "pick").mapInArrow(rows, "rep long, component long, m long, copies long, n long, sig binary, shingles binary")
 
 
 def keep_first(docs: DataFrame, scratch: Scratch, threshold: float = THRESHOLD, words: int = WORDS) -> DataFrame:
-    """One document of each class, that of the smallest doc_id, all columns as they are. Of rows that repeat its doc_id one stays, the first by text and the other columns."""
-    kept = join(docs, scratch, threshold, words).filter("doc_id = class_id").select("doc_id").distinct()
-    from pyspark.sql import Window as W
+    """One row of each class, all columns as they are: the first by doc_id (nulls last), text and the other columns.
 
-    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-    out = docs.join(scratch.write(kept, "kept"), "doc_id", "left_semi")
-    return out.withColumn("_nth", F.row_number().over(W.partitionBy("doc_id").orderBy("text", *rest))).filter("_nth = 1").drop("_nth")
+    Rows without doc_id and rows that repeat one take part as all others do.
+    """
+    sketch, result = _classes(docs, scratch, threshold, words)
+    names, key = docs.columns, ["_id", "t1", "t2"]
+    lead = sketch.join(result, ["s1", "s2"]).filter(F.col("doc_id").eqNullSafe(F.col("class_id")))
+    lead = scratch.write(lead.select("group", F.coalesce("doc_id", F.lit(0)).alias("_id"), "t1", "t2", F.col("doc_id").isNull().alias("_none")).distinct(), "lead")
+    several = scratch.write(lead.groupBy("group").agg(F.count("*").alias("c")).filter("c > 1").select("group"), "several")
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("_id"), *_hashes(), F.col("doc_id").isNull().alias("_none"), *[F.col(c).alias(f"c_{c}") for c in names])
+    if not several.isEmpty():  # texts that share the class's doc_id: the first stays
+        texts = rows.join(lead.join(several, "group", "left_semi"), [*key, "_none"]).groupBy("group").agg(F.min_by(F.struct(*key, "_none"), F.coalesce("c_text", F.lit(""))).alias("x"))
+        lead = lead.join(several, "group", "left_anti").unionByName(texts.select("group", "x.*"))
+    out = rows.join(scratch.write(lead.select(*key, "_none"), "kept"), [*key, "_none"], "left_semi")
+    nth = F.row_number().over(W.partitionBy(*key, "_none").orderBy(*[f"c_{c}" for c in ("text", *names) if c in names]))
+    return out.withColumn("_nth", nth).filter("_nth = 1").select(*[F.col(f"c_{c}").alias(c) for c in names])

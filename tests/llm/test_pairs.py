@@ -65,6 +65,36 @@ def test_keep_first(spark):
     assert rows(keep_first(empty(spark), Scratch(spark, "t"))) == [] == rows(join(empty(spark), Scratch(spark, "t")))
 
 
+def brute_classes(data):
+    """doc_id, n_links, class_id of each row and the class's first row, rows told apart by their place."""
+    sets = []
+    for r in data:
+        w = (r["text"] or "").split()
+        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set()))
+    pairs = [(i, j) for i in range(len(data)) for j in range(i) if (len(sets[i] & sets[j]) / len(sets[i] | sets[j]) if sets[i] | sets[j] else 1.0) >= 0.8]
+    label = labels(len(data), pairs)
+    order = lambda i: (data[i]["doc_id"] is None, data[i]["doc_id"] or 0, data[i]["text"] or "")
+    first = {c: min((i for i, x in enumerate(label) if x == c), key=order) for c in set(label)}
+    return [(r["doc_id"], sum(i in p for p in pairs), data[first[c]]["doc_id"]) for i, (r, c) in enumerate(zip(data, label, strict=True))], [data[i] for i in first.values()]
+
+
+def repeated_and_null_ids(spark):
+    a, b, c, d = (words(80, 200 + i) for i in range(4))
+    near = lambda t, k: t + f" tail{k}"
+    data = [(1, a), (1, b), (2, near(a, 1)), (3, near(b, 2)), (1, near(b, 3)), (None, c), (None, near(c, 1)), (None, c), (None, d), (None, near(a, 5)), (0, words(60, 300)), (0, words(60, 301)), (None, words(60, 300)), (1, b), (None, None), (7, "")]
+    return spark.createDataFrame([(i, t, 0) for i, t in data], "doc_id long, text string, n int")
+
+
+@pytest.mark.parametrize("table", [documents, with_null_id, repeated_and_null_ids])
+def test_repeated_and_missing_ids(spark, table):
+    key = lambda r: (r[0] is None, r[0] or 0, *r[1:])
+    data = rows(table(spark))
+    got = [(r["doc_id"], r["n_links"], r["class_id"]) for r in rows(join(table(spark), Scratch(spark, "t")))]
+    assert sorted(got) == sorted(brute_classes([r for r in data if r["doc_id"] is not None])[0])
+    kept = [(r["doc_id"], r["text"] or "") for r in rows(keep_first(table(spark), Scratch(spark, "t")))]
+    assert sorted(kept, key=key) == sorted(((r["doc_id"], r["text"] or "") for r in brute_classes(data)[1]), key=key)
+
+
 def test_common_by_matrix():
     rng = np.random.default_rng(0)
     sets = [np.unique(rng.integers(0, 30_000, 900).astype(np.uint64)) for _ in range(60)]
