@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 EMAIL = r"[\p{L}\p{N}_.+-]+@[\p{L}\p{N}_.-]+\.[A-Za-z]{2,}"
 LONG_DIGITS = r"(^|[^0-9])[0-9]{7,16}($|[^0-9])"
 SECRET = r"(?i)(password|passwd|secret|token|api[_-]?key|authorization)[ \t]*[:=][ \t]*[^\s,;]+"
+QUOTED_SECRET = r"""(?i)(password|passwd|secret|token|api[_-]?key|authorization)(["'])[ \t]*[:=][ \t]*("[^"\\]*+(?:\\.[^"\\]*+)*+"|'[^'\\]*+(?:\\.[^'\\]*+)*+'|[^\s,;}"']+)"""
+CREDENTIAL = r"(?i)\b(?:sk-[A-Za-z0-9_-]{12,}|gsk_[A-Za-z0-9_-]{12,}|tvly-[A-Za-z0-9_-]{12,}|AIza[A-Za-z0-9_-]{20,}|AKIA[A-Z0-9]{16})"
 BEARER = r"(?i)\bbearer[ \t]+[A-Za-z0-9._~+/=-]+"
 JWT = r"\beyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"
 QUERY = r"(?i)(https?://[^\s?]+)\?[^\s]+"
@@ -18,7 +20,9 @@ URL_CREDENTIALS = r"(?i)(https?://)[^\s/@]+@"
 def secrets(text: Column) -> Column:
     t = F.regexp_replace(text, BEARER, "Bearer [REDACTED]")
     t = F.regexp_replace(t, JWT, "[REDACTED_TOKEN]")
-    return F.regexp_replace(t, SECRET, "$1=[REDACTED]")
+    t = F.regexp_replace(t, QUOTED_SECRET, "$1$2=[REDACTED]")
+    t = F.regexp_replace(t, SECRET, "$1=[REDACTED]")
+    return F.regexp_replace(t, CREDENTIAL, "[REDACTED_CREDENTIAL]")
 
 
 def urls(text: Column) -> Column:
