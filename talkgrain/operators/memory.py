@@ -39,8 +39,7 @@ def chunks(messages: DataFrame, key: str, order: str, names: dict[str, str], siz
 
 def recall(probes: DataFrame, chunks_: DataFrame, n: int = 5, least: float = 0.72) -> DataFrame:
     """Of each probe's n nearest chunks (not of its own conversation) those above the floor. The floor comes after the limit."""
-    few = F.broadcast(probes.limit(10_000))
-    j = chunks_.join(few, (F.col("user") == F.col("probe_user")) & (F.col("conv_id") != F.col("probe_conv")))
+    j = chunks_.join(probes, (F.col("user") == F.col("probe_user")) & (F.col("conv_id") != F.col("probe_conv")))
     j = j.withColumn("similarity", sc.cosine(F.col("embedding"), F.col("probe")))
     nth = F.row_number().over(W.partitionBy("probe_conv").orderBy(F.col("similarity").desc(), "conv_id", "chunk"))
     return j.withColumn("pos", nth).filter((F.col("pos") <= n)).filter(F.col("similarity") >= least)

@@ -197,6 +197,12 @@ def test_redaction_of_credentials_and_quoted_keys(spark):
     assert one(spark, "{'password': 'x y', 'secret': z}", redact.redacted) == "{'password'=[REDACTED], 'secret'=[REDACTED]}"
 
 
+def test_recall_answers_all_probes(spark):
+    probes = spark.range(10_050).selectExpr("concat('u', id) AS probe_user", "concat('now', id) AS probe_conv", "array(1f, 0f) AS probe")
+    held = spark.range(10_050).selectExpr("concat('u', id) AS user", "concat('old', id) AS conv_id", "0 AS chunk", "array(1f, 0f) AS embedding")
+    assert memory.recall(probes, held).count() == 10_050
+
+
 def test_near_members_complete_near_pairs(spark):
     """Both together against all pairs of different texts, punctuation variants among them."""
     text = "the quick brown fox jumps over the lazy dog again and again while the band plays on and the sun sets"
