@@ -77,12 +77,13 @@ def greedy_clusters(pairs: DataFrame, left: str = "left_id", right: str = "right
     """left_id absorbs right_id unless it was absorbed itself, in the order of ids: (member, keeper).
 
     A unit is a keeper if none of its smaller partners is one. Settled in rounds: each fixes the units all of whose smaller
-    partners are settled; chains of near pairs are short, so there are few rounds.
+    partners are settled; chains of near pairs are short, so there are few rounds. An error if a round settles none (pairs in a circle).
     """
     edges = pairs.select(F.col(left).alias("a"), F.col(right).alias("b"))
     nodes = edges.select(F.col("a").alias("v")).union(edges.select(F.col("b").alias("v"))).distinct()
     state = nodes.withColumn("keeper", F.lit(None).cast("boolean"))
-    for _ in range(40):
+    left_open = None
+    while True:
         smaller = edges.join(state.withColumnRenamed("v", "a"), "a").groupBy("b").agg(
             F.bool_or(F.coalesce("keeper", F.lit(False))).alias("absorbed"), F.bool_or(F.col("keeper").isNull()).alias("open")
         )
@@ -90,8 +91,11 @@ def greedy_clusters(pairs: DataFrame, left: str = "left_id", right: str = "right
             "v", F.when(F.coalesce("absorbed", F.lit(False)), False).when(F.coalesce("open", F.lit(False)), F.lit(None)).otherwise(True).alias("keeper")
         )
         state = nxt.checkpoint()
-        if state.filter("keeper is null").isEmpty():
+        was, left_open = left_open, state.filter("keeper is null").count()
+        if not left_open:
             break
+        if was == left_open:
+            raise RuntimeError("clusters did not settle")
     keepers = state.filter("keeper").select(F.col("v").alias("a"))
     return edges.join(keepers, "a", "left_semi").groupBy(F.col("b").alias("member")).agg(F.min("a").alias("keeper"))
 

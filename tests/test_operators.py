@@ -203,6 +203,15 @@ def test_recall_answers_all_probes(spark):
     assert memory.recall(probes, held).count() == 10_050
 
 
+def test_long_chains_settle(spark, tmp_path):
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
+    p = spark.range(1, 46).selectExpr("id AS left_id", "id + 1 AS right_id").coalesce(1)
+    assert sorted(map(tuple, corpus.greedy_clusters(p).collect())) == [(i + 1, i) for i in range(1, 46, 2)]
+    loop = spark.createDataFrame([(1, 2), (2, 1)], "left_id long, right_id long")
+    with pytest.raises(RuntimeError, match="did not settle"):
+        corpus.greedy_clusters(loop)
+
+
 def test_near_members_complete_near_pairs(spark):
     """Both together against all pairs of different texts, punctuation variants among them."""
     text = "the quick brown fox jumps over the lazy dog again and again while the band plays on and the sun sets"
