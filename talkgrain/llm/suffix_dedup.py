@@ -1,8 +1,8 @@
-"""Suffix-array dedup: remove every byte that a repeated string of at least `least` bytes covers.
+"""Winnowing with digest refinement: remove every byte that a repeated string of at least `least` bytes covers.
 
 The order of all suffixes is never sorted anew. Each task (a shard of documents) contributes the rows of its own
-suffixes that start at a content-defined anchor, keyed by what follows; the shards' rows are merged by refining their
-interleave in rounds. A round extends the common prefix that defines an interval of suffixes:
+suffixes that start at a winnowed anchor, keyed by digests of what follows; grouping by digest merges the shards' rows, with
+no transform, interleave or common prefixes. A round extends the string that the suffixes of an interval share:
 
   round 0  the gram at the anchor (128 bytes),
   round 1  the extent of a whole run, at least 400 bytes both ways of the anchor,
