@@ -59,11 +59,12 @@ def run_rows(docs: DataFrame, symbols, least: int, k: int) -> DataFrame:
     return docs.mapInArrow(rows, "gram long, d long, k long, th int, s int, w int, o int")
 
 
-def with_spans(docs: DataFrame, spans: DataFrame, keep: tuple = ()) -> DataFrame:
-    """The rows of docs, keyed, with `spans`, an array of (a, b), null where there are none."""
+def with_spans(docs: DataFrame, spans: DataFrame, keep: tuple = (), kinds: tuple = ("spans",)) -> DataFrame:
+    """The rows of docs, keyed, with `spans`, an array of (a, b), null where there are none; with an array for each of several kinds (`of`)."""
     cols = [F.col(c).alias(f"_keep_{c}") for c in keep]
     rows = docs.select(*cols, F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("k"), F.hash("text").alias("th"), F.col("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-    grouped = spans.groupBy("k", "th").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    pair = F.struct("a", "b")
+    grouped = spans.groupBy("k", "th").agg(*(F.collect_list(F.when(F.col("of") == c, pair) if len(kinds) > 1 else pair).alias(c) for c in kinds))
     return rows.join(grouped, ["k", "th"], "left")
 
 

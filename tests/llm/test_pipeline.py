@@ -3,7 +3,7 @@ from talkgrain.llm import mixing, ngram_join, piece_sampling, quality, suffix_de
 from talkgrain.llm.common import Scratch, table
 from tests.llm.fixtures import rows
 from tests.llm.test_pairs import brute_links
-from tests.llm.test_repeats import brute_bytes
+from tests.llm.test_repeats import brute_rest
 
 D = "/root/testdata/sf0.001"
 
@@ -28,8 +28,8 @@ def test_stages_follow_brute_force(spark, tmp_path):
     assert sorted(r["doc_id"] for r in rows(single)) == [d for d, _, c in brute_links(rows(good)) if d == c]
 
     before = rows(single)
-    want = {r["doc_id"]: len(r["text"].encode()) - x[1] for r, x in zip(before, brute_bytes([r["text"].encode() for r in before], 400), strict=True)}
-    assert {r["doc_id"]: len(r["text"].encode()) for r in rows(cut)} == want  # no byte range here cuts a character
+    left = brute_rest([r["text"].encode() for r in before], 400, 51)
+    assert {r["doc_id"]: r["text"].encode() for r in rows(cut)} == {r["doc_id"]: t for r, t in zip(before, left, strict=True)}  # no range here cuts a character
 
     taken = {r["doc_id"]: r["taken"] for r in rows(mixing.mix(cut, Scratch(spark, "t"))) if r["taken"]}
     words = {}

@@ -1,4 +1,5 @@
 import hashlib
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -25,6 +26,54 @@ def brute_bytes(texts, least):
     return out
 
 
+def brute_passages(texts, window):
+    """For each text the number of words that a string of `window` words covers which starts elsewhere, too."""
+    split = [t.split() for t in texts]
+    seen = Counter(tuple(w[i : i + window]) for w in split for i in range(len(w) - window + 1))
+    return [len({j for i in range(len(w) - window + 1) if seen[tuple(w[i : i + window])] > 1 for j in range(i, i + window)}) for w in split]
+
+
+def brute_rest(texts, least, window):
+    """The texts without repeated strings of `least` bytes and of `window` words, these with the white space after them."""
+    seen = Counter(b[i : i + least] for b in texts for i in range(len(b) - least + 1))
+    found = [[(m.start(), m.end()) for m in re.finditer(rb"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*", t)] for t in texts]
+    grams = Counter(tuple(w[i : i + window]) for w in (t.split() for t in texts) for i in range(len(w) - window + 1))
+    out = []
+    for t, at in zip(texts, found, strict=True):
+        gone, w = bytearray(len(t)), t.split()
+        for i in range(len(t) - least + 1):
+            if seen[t[i : i + least]] > 1:
+                gone[i : i + least] = b"\1" * least
+        for i in range(len(w) - window + 1):
+            if grams[tuple(w[i : i + window])] > 1:
+                a, z = at[i][0], at[i + window - 1][1]
+                gone[a:z] = b"\1" * (z - a)
+        out.append(bytes(x for x, y in zip(t, gone, strict=True) if not y))
+    return out
+
+
+@pytest.mark.parametrize("window", [51, 7])
+@pytest.mark.parametrize("table", [documents, with_null_id])
+def test_passages(spark, table, window):
+    docs = table(spark)
+    data = rows(docs)
+    texts = [(r["text"] or "").encode() for r in data]
+    want = Counter((r["doc_id"], n, t) for r, n, t in zip(data, brute_passages(texts, window), brute_rest(texts, 400, window), strict=True))
+    got = rows(remove_repeats(docs, Scratch(spark, "t"), words=window))
+    assert Counter((r["doc_id"], r["n_passage_words"], r["kept"].encode()) for r in got) == want
+
+
+def test_short_passage_of_many_words(spark):
+    """A passage of 60 words and under 400 bytes goes from the text and is counted; n_removed and the digest stay those of 400 bytes."""
+    line = " ".join(words(60, 3).split()[:60])
+    line = " ".join(w[:5] for w in line.split())
+    assert len(line) < 400
+    texts = [f"{words(80, 100 + i)}\n{line}\n{words(50, 200 + i)}" for i in range(5)] + [words(300, 9)]
+    got = {r["doc_id"]: r for r in rows(remove_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), Scratch(spark, "t")))}
+    assert all(got[i]["n_passage_words"] == 60 and got[i]["n_removed"] == 0 and got[i]["kept"] == texts[i].replace(line + "\n", "") for i in range(5))
+    assert got[5]["n_passage_words"] == 0 and got[5]["kept"] == texts[5]
+
+
 @pytest.mark.parametrize("least", [400, 60, 9])
 @pytest.mark.parametrize("table", [documents, with_null_id])
 def test_suffix_dedup(spark, table, least):
