@@ -42,7 +42,7 @@ def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: st
 
 @shipped
 def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Suffix-array dedup: text loses every byte of strings of 400 bytes or more that occur elsewhere; no document goes."""
+    """Suffix-array dedup: text loses strings of 400 bytes or more and passages of over 50 words that start elsewhere, too; no document goes."""
     rest = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
     out = suffix_dedup.remove_repeats(docs, Scratch(spark, "passages"), keep=rest)
     return out.withColumn("text", F.col("kept")).withColumn("n_chars", F.length("kept").cast("long")).select(*docs.columns)
