@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -38,47 +40,58 @@ def lexical(queries: DataFrame, units: DataFrame, query_id: str, query: Column,
     return _top(scored, query_id, order, n, "lex_pos").select(query_id, unit_id, "rank", "lex_pos")
 
 
-def dense(probes: DataFrame, vectors: DataFrame, query_id: str, unit_id: str, n: int = CANDIDATES) -> DataFrame:
+#: Probes that all tasks hold at once.
+BLOCK = 10_000
+
+
+def dense(probes: DataFrame, vectors: DataFrame, query_id: str, unit_id: str, n: int = CANDIDATES, block: int = BLOCK) -> DataFrame:
     """query_id, unit_id, similarity, dense_pos: exact nearest vectors of each probe by cosine.
 
-    probes: a stated set of query vectors (query_id, probe), dealt to all tasks; each task ranks its vectors and passes on n a probe. Their
-    number is checked: beyond 10,000 they must be searched in batches.
+    probes: a stated set of query vectors (query_id, probe), dealt to all tasks in blocks of about `block`; each task ranks its vectors and
+    passes on n a probe. Probes of a length that no vector has, null and zero ones find nothing.
     """
     norm = lambda c: F.sqrt(sc.dot(F.col(c), F.col(c)))
-    few = probes.select(query_id, "probe", norm("probe").alias("_np")).limit(10_001)  # norms once a vector, not once a pair
-    if few.count() > 10_000:
-        raise ValueError("search in batches of 10,000 probes")
-    pairs = vectors.select(unit_id, "embedding", norm("embedding").alias("_nv")).join(F.broadcast(few), F.size("embedding") == F.size("probe"))
-    scored = pairs.withColumn("similarity", sc.clamp(sc.dot(F.col("embedding"), F.col("probe")) / (F.col("_nv") * F.col("_np")))).drop("embedding", "probe", "_np", "_nv")
-    scored = scored.withColumn("_key", F.round("similarity", 9))
-    return _top(scored, query_id, [F.col("_key").desc(), F.col(unit_id)], n, "dense_pos").select(query_id, unit_id, "similarity", "dense_pos")
+    few = probes.select(query_id, "probe", norm("probe").alias("_np"))  # norms once a vector, not once a pair
+    blocks = -(-few.count() // block) or 1
+    every = vectors.select(unit_id, "embedding", norm("embedding").alias("_nv"))
+
+    def searched(part: DataFrame) -> DataFrame:
+        pairs = every.join(F.broadcast(part), F.size("embedding") == F.size("probe"))
+        scored = pairs.withColumn("similarity", sc.clamp(sc.dot(F.col("embedding"), F.col("probe")) / (F.col("_nv") * F.col("_np")))).drop("embedding", "probe", "_np", "_nv")
+        scored = scored.withColumn("_key", F.round("similarity", 9))
+        return _top(scored, query_id, [F.col("_key").desc(), F.col(unit_id)], n, "dense_pos").select(query_id, unit_id, "similarity", "dense_pos")
+
+    parts = [few] if blocks == 1 else [few.filter(F.pmod(F.xxhash64(query_id), F.lit(blocks)) == i) for i in range(blocks)]
+    return reduce(DataFrame.unionByName, map(searched, parts))
 
 
 def fuse(lex: DataFrame, vec: DataFrame, queries: DataFrame, units: DataFrame, query_id: str, unit_id: str) -> DataFrame:
-    """The candidates of both arms with their score and what matched.
+    """The candidates of both arms: what is said (a digest of the answer), score and what matched.
 
     queries: query_id, query, aliases (array, may be null); units: unit_id, body (all searched fields), identity (the curated ones),
     retrieval_text, product, answer, authority.
     """
     both = lex.join(vec, [query_id, unit_id], "full")
-    # A query's terms are taken before the join, once a query; a unit's after it, as only candidates need them.
+    # Terms are taken once a query, and once a unit that is any query's candidate; texts stay behind, for ranked() needs but a digest of the answer.
     q = queries.select(query_id, "aliases", tx.terms(F.col("query")).alias("_terms"), tx.telling_terms(F.col("query")).alias("_telling"))
-    j = both.join(q, query_id).join(units, unit_id)
-    overlap = sc.share(F.col("_terms"), tx.terms(F.col("body")))
-    field = sc.share(F.col("_telling"), tx.terms(F.col("identity")))
-    named = lambda a: F.contains(F.lower("retrieval_text"), F.lower(a)) | (F.lower(a) == F.lower(F.coalesce("product", F.lit(""))))
+    wanted = units.join(both.select(unit_id).distinct(), unit_id, "left_semi")
+    u = wanted.select(
+        unit_id, tx.terms(F.col("body")).alias("_body"), tx.terms(F.col("identity")).alias("_identity"), F.lower("retrieval_text").alias("_searched"),
+        F.lower(F.coalesce("product", F.lit(""))).alias("_product"), F.md5(tx.squeezed(F.col("answer"))).alias("said"), "authority",
+    )
+    j = both.join(q, query_id).join(u, unit_id)
+    overlap, field = sc.share(F.col("_terms"), F.col("_body")), sc.share(F.col("_telling"), F.col("_identity"))
+    named = lambda a: F.contains("_searched", F.lower(a)) | (F.lower(a) == F.col("_product"))
     alias = F.coalesce(F.exists("aliases", named), F.lit(False))
     score = sc.fused(F.col("similarity"), F.col("rank"), overlap, field, sc.rrf(F.col("lex_pos"), F.col("dense_pos")), alias, F.col("authority"))
     by = F.array_compact(F.array(F.when(F.col("lex_pos").isNotNull(), "lexical"), F.when(F.col("dense_pos").isNotNull(), "dense"), F.when(alias, "alias")))
-    return j.select(query_id, unit_id, "answer", score.alias("score"), by.alias("matched_by"))
+    return j.select(query_id, unit_id, "said", score.alias("score"), by.alias("matched_by"))
 
 
 def ranked(scored: DataFrame, query_id: str, unit_id: str, top_k: int = 5) -> DataFrame:
-    """The best top_k (1 to 10) distinct answers of each query; of equal answers the best unit."""
+    """The best top_k (1 to 10) distinct answers of each query; of equal answers (by `said`, fuse's digest) the best unit."""
     order = [F.col("score").desc(), F.size("matched_by").desc(), F.col(unit_id)]
-    # The digest of what is said is one short column, computed once, where the window would compare and sort long texts.
-    said = scored.withColumn("_said", F.md5(tx.squeezed(F.col("answer"))))
-    once = said.withColumn("_nth", F.row_number().over(W.partitionBy(query_id, "_said").orderBy(*order))).filter("_nth = 1").drop("_nth", "_said")
+    once = scored.withColumn("_nth", F.row_number().over(W.partitionBy(query_id, "said").orderBy(*order))).filter("_nth = 1").drop("_nth")
     return _top(once, query_id, order, max(1, min(top_k, 10)), "pos")
 
 

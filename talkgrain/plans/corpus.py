@@ -35,7 +35,7 @@ def content_hash(spark, d):
 '\beyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+', '[REDACTED_TOKEN]', 'g'), '(?i)(password|passwd|secret|token|api[_-]?key|authorization)[ \t]*[:=][ \t]*[^\s,;]+', '\1=[REDACTED]', 'g') AS t FROM documents),
 u AS (SELECT doc_id, regexp_replace(regexp_replace(t, '(?i)(https?://)[^\s/@]+@', '\1', 'g'), '(?i)(https?://[^\s?]+)\?[^\s]+', '\1?[REDACTED_QUERY]', 'g') AS t FROM s),
 p AS (SELECT doc_id, regexp_replace(t, '[\p{L}\p{N}_.+-]+@[\p{L}\p{N}_.-]+\.[A-Za-z]{2,}', '[REDACTED_EMAIL]', 'g') AS t FROM u)
-SELECT doc_id, left(regexp_replace(regexp_replace(t, '(^|[^0-9])[0-9]{7,16}($|[^0-9])', '\1[REDACTED_NUMBER]\2', 'g'), '(^|[^0-9])[0-9]{7,16}($|[^0-9])', '\1[REDACTED_NUMBER]\2', 'g'), 4000) AS redacted FROM p""")
+SELECT doc_id, regexp_replace(regexp_replace(t, '(^|[^0-9])[0-9]{7,16}($|[^0-9])', '\1[REDACTED_NUMBER]\2', 'g'), '(^|[^0-9])[0-9]{7,16}($|[^0-9])', '\1[REDACTED_NUMBER]\2', 'g') AS redacted FROM p""")
 def redaction(spark, d):
     return table(spark, d, "documents").select("doc_id", redact.redacted(F.col("text")).alias("redacted"))
 

@@ -12,14 +12,14 @@ from talkgrain.session import table
 TERM = r"[\p{L}\p{N}_-]+"
 
 _VECTORS = """v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
-near AS (SELECT p.vec_id AS {q}, v.vec_id AS {u}, greatest(0, least(1, list_cosine_similarity(v.e, p.e))) AS similarity FROM v, v p WHERE p.vec_id < {n})"""
+near AS (SELECT p.vec_id AS {q}, v.vec_id AS {u}, greatest(0, least(1, list_cosine_similarity(v.e, p.e))) AS similarity FROM v, v p WHERE {n})"""
 
 
-@query(f"WITH {_VECTORS.format(q='q', u='vec_id', n=5)}" + """
+@query(f"WITH {_VECTORS.format(q='q', u='vec_id', n='p.vec_id % 20 = 0')}" + """
 SELECT q, vec_id, round(similarity, 6) AS sim, pos FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(similarity, 9) DESC, vec_id) AS pos FROM near) WHERE pos <= 30""")
 def vector_topk(spark, d):
     e = table(spark, d, "embeddings")
-    probes = e.filter("vec_id < 5").select(F.col("vec_id").alias("q"), F.col("embedding").alias("probe"))
+    probes = e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("probe"))
     out = retrieval.dense(probes, e, "q", "vec_id")
     return out.select("q", "vec_id", F.round("similarity", 6).alias("sim"), F.col("dense_pos").cast("long").alias("pos"))
 
@@ -51,7 +51,7 @@ def _search(spark, d):
 
 
 _T = lambda c: f"list_distinct(list_filter(regexp_extract_all(lower(coalesce({c}, '')), '{TERM}'), lambda t: length(t) > 1))"
-_FUSED = rf"""{_LEXICAL}, {_VECTORS.format(q='item_id', u='doc_id', n='(SELECT count(*) FROM benchmark)')},
+_FUSED = rf"""{_LEXICAL}, {_VECTORS.format(q='item_id', u='doc_id', n='p.vec_id IN (SELECT item_id FROM benchmark)')},
 vec AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(similarity, 9) DESC, doc_id) AS dense_pos FROM near WHERE doc_id IN (SELECT doc_id FROM documents) AND item_id IN (SELECT item_id FROM benchmark)) WHERE dense_pos <= 30),
 qs AS (SELECT item_id, text AS query, split_part(text, chr(10), 1) AS alias, a, CASE WHEN len(list_filter(a, lambda t: length(t) >= 4)) > 0 THEN list_filter(a, lambda t: length(t) >= 4) ELSE a END AS telling FROM q0 JOIN benchmark USING (item_id)),
 us AS (SELECT doc_id, text, source, {_T('text')} AS body, {_T("split_part(text, chr(10), 1) || ' ' || source")} AS ident, 1 + doc_id % 5 AS authority FROM documents),
@@ -85,7 +85,8 @@ SELECT count(*) AS n, CAST(count(*) FILTER (WHERE rank <= 5) AS DOUBLE) / count(
 def eval_recall_mrr(spark, d):
     hits = retrieval.ranked(_search(spark, d), "item_id", "doc_id")
     items = table(spark, d, "benchmark").select("item_id", "text")
-    found = items.join(hits.select("item_id", "answer", "pos"), "item_id", "left").groupBy("item_id").agg(F.min(F.when(F.contains(F.coalesce("answer", F.lit("")), F.col("text")), F.col("pos"))).alias("rank"))
+    answers = table(spark, d, "documents").select("doc_id", F.col("text").alias("answer"))
+    found = items.join(hits.select("item_id", "doc_id", "pos").join(answers, "doc_id"), "item_id", "left").groupBy("item_id").agg(F.min(F.when(F.contains(F.coalesce("answer", F.lit("")), F.col("text")), F.col("pos"))).alias("rank"))
     return retrieval.evaluate(found, 5).withColumn("mrr", F.round("mrr", 9))
 
 
