@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 
 from talkgrain.functions import text as tx
 from talkgrain.functions.simhash import hamming, simhash
+from talkgrain.session import settled
 
 #: Fixed values.
 UNIT_TYPES = (
@@ -90,7 +91,7 @@ def greedy_clusters(pairs: DataFrame, left: str = "left_id", right: str = "right
         nxt = state.join(smaller, F.col("v") == F.col("b"), "left").select(
             "v", F.when(F.coalesce("absorbed", F.lit(False)), False).when(F.coalesce("open", F.lit(False)), F.lit(None)).otherwise(True).alias("keeper")
         )
-        state = nxt.checkpoint()
+        state = settled(nxt)
         was, left_open = left_open, state.filter("keeper is null").count()
         if not left_open:
             break

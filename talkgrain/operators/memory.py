@@ -76,3 +76,32 @@ def last_lines(messages: DataFrame, key: str, order: str, n: int = 8, line_chars
     line = F.concat_ws(": ", "role", F.substring(tx.collapse(F.col("text")), 1, line_chars))
     g = last.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), line.alias("l")))).alias("x"))
     return g.select(key, F.substring(F.array_join(F.transform("x", lambda s: s["l"]), " | "), 1, chars).alias("lines"))
+
+
+def with_live_source(memories: DataFrame, transcripts: DataFrame, calls: DataFrame, ended) -> DataFrame:
+    """Memories without a source, and those whose transcript's call exists, isn't deleted and has `ended`."""
+    j = memories.join(transcripts, "transcript_id", "left").join(calls, "call_id", "left")
+    return j.filter(F.col("t").isNull() | (F.coalesce(~F.col("deleted"), F.lit(False)) & ended))
+
+
+def cascade(turns: DataFrame, prior: DataFrame, chunks_: DataFrame, key: str, chars: int = 3000) -> DataFrame:
+    """Adds source (prior, chunk or none) and context. turns: key, immediate, recall; prior: key, prior; chunks_: key, chunk, one row a key each.
+
+    A turn that refers to the call just before reads it; others read the recalled chunk, or for want of one, if they ask to recall, the call before.
+    """
+    j = turns.join(prior, key, "left").join(chunks_, key, "left")
+    has = F.col("prior").isNotNull()
+    source = F.when(F.col("immediate") & has, "prior").when(F.col("chunk").isNotNull(), "chunk").when(F.col("recall") & has, "prior").otherwise("none")
+    context = F.when(source == "prior", F.col("prior")).when(source == "chunk", F.col("chunk"))
+    return j.withColumn("source", source).withColumn("context", F.substring(context, 1, chars))
+
+
+def dispatched(messages: DataFrame) -> DataFrame:
+    """What each stored message sets off: facts of a user's, chunks of an assistant's."""
+    return messages.withColumn("job", F.when(F.col("role") == "user", "facts").when(F.col("role") == "assistant", "chunks")).filter("job is not null")
+
+
+def marked(messages: DataFrame, key: str, order: str, marker: str) -> DataFrame:
+    """key, summary: of the first user message that opens with the marker what follows it."""
+    m = messages.filter((F.col("role") == "user") & F.col("text").startswith(marker))
+    return m.groupBy(key).agg(F.min_by(F.trim(F.substring("text", len(marker) + 1, 1_000_000_000)), order).alias("summary"))
