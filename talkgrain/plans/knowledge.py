@@ -270,8 +270,8 @@ _SPOKEN = ("zero", "one", "two", "three", "four", "five", "six", "seven", "eight
 
 
 @query(f"""WITH x AS (SELECT o_orderkey, list_transform(string_split(CAST(o_orderkey AS VARCHAR), ''), lambda c: CAST(c AS INT)) AS c FROM orders)
-SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN repeat(CAST(c[1] AS VARCHAR), 2) || array_to_string(list_slice(c, 2, NULL), '') ELSE CAST(o_orderkey AS VARCHAR) END AS digits,
-CASE WHEN o_orderkey % 3 <> 0 AND length(CAST(o_orderkey AS VARCHAR)) = 4 OR o_orderkey % 3 = 0 AND length(CAST(o_orderkey AS VARCHAR)) = 3 THEN CASE WHEN o_orderkey % 3 = 0 THEN repeat(CAST(c[1] AS VARCHAR), 2) || array_to_string(list_slice(c, 2, NULL), '') ELSE CAST(o_orderkey AS VARCHAR) END END AS of_four FROM x""")
+SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN repeat(CAST(c[1] AS VARCHAR), 2) || substr(CAST(o_orderkey AS VARCHAR), 2) ELSE CAST(o_orderkey AS VARCHAR) END AS digits,
+CASE WHEN o_orderkey % 3 <> 0 AND length(CAST(o_orderkey AS VARCHAR)) = 4 OR o_orderkey % 3 = 0 AND length(CAST(o_orderkey AS VARCHAR)) = 3 THEN CASE WHEN o_orderkey % 3 = 0 THEN repeat(CAST(c[1] AS VARCHAR), 2) || substr(CAST(o_orderkey AS VARCHAR), 2) ELSE CAST(o_orderkey AS VARCHAR) END END AS of_four FROM x""")
 def spoken_digits(spark, d):
     words = F.transform(F.split(F.col("o_orderkey").cast("string"), ""), lambda c: F.element_at(F.array(*map(F.lit, _SPOKEN)), c.cast("int") + 1))
     said = F.concat(F.when(F.col("o_orderkey") % 3 == 0, "my number is double ").otherwise("it is "), F.array_join(words, " "), F.lit(" thanks"))

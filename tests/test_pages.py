@@ -51,13 +51,15 @@ def test_records_and_merge():
     assert h.merge([1, 2], []) == [1, 2]
 
 
-def test_markdown():
-    md = "# One\ntext a\ntext b\n\n- item\n1. first\n```\ncode\n```\n## Two ##\n| a | b |\n|---|---|\n| 1 | 2 |\n"
-    assert [(b["kind"], b["text"], b["level"]) for b in h.markdown_blocks(md)] == [
-        ("heading", "One", 1), ("paragraph", "text a text b", None), ("list_item", "item", None), ("list_item", "first", None), ("code", "code", None),
-        ("heading", "Two", 2), ("table", "| a | b |\n|---|---|\n| 1 | 2 |", None),
+def test_markdown(spark):
+    md = "# One\ntext a\n  text b\r\n\n- item\n* next - one\n## Two\n1. first\n```\ncode, never closed\n\n####### seven\n-none"
+    df = spark.createDataFrame([(1, md), (2, None), (3, " \n\t\n")], "i int, t string").orderBy("i")
+    got = [[tuple(b) for b in r.b] for r in df.select(h.markdown_blocks(F.col("t")).alias("b")).collect()]
+    assert got[0] == [
+        ("heading", "One", 1), ("paragraph", "text a\ntext b", None), ("list_item", "item", None), ("list_item", "next - one", None), ("heading", "Two", 2),
+        ("paragraph", "1. first\n```\ncode, never closed", None), ("paragraph", "####### seven\n-none", None),
     ]
-    assert h.markdown_blocks(None) == []
+    assert got[1:] == [[], []]
 
 
 def test_links(spark):
