@@ -120,15 +120,47 @@ def contradictions(units: DataFrame, known: DataFrame | None = None) -> DataFram
     return out if known is None else out.join(known, ["left_id", "right_id"], "left_anti")
 
 
+def contradiction_counts(units: DataFrame) -> DataFrame:
+    """unit_id, subject_id (the smallest unit on its subject), n_conflicts: how many units contradictions() would pair each with.
+
+    Counted from the sizes of groups instead of pairs, so a subject that very many units share costs no more than others: of the units on a subject
+    those count that say something else in another document. Units without a subject are left out; units of no document conflict with all others.
+    """
+    key = [tx.normalized_subject(F.col(c)).alias(f"k{i}") for i, c in enumerate(("subject", "product", "topic"))]
+    u = units.select("unit_id", "unit_type", "document_id", *key, F.xxhash64(tx.normalized_subject(F.col("answer"))).alias("said")).filter("k0 <> ''")
+    on = ["k0", "k1", "k2", "unit_type"]
+
+    def sizes(name: str, *more: str) -> DataFrame:
+        g = u.groupBy(*on, *more).agg(F.count("*").alias(name), *([F.min("unit_id").alias("subject_id")] if not more else []))
+        return g.select(*[F.col(c).alias(f"_{c}") for c in (*on, *more)], name, *(["subject_id"] if not more else []))
+
+    out = u
+    for name, more in (("all", ()), ("alike", ("said",)), ("near", ("document_id",)), ("both", ("document_id", "said"))):
+        g = sizes(name, *more)
+        same = F.lit(True)
+        for c in (*on, *more):
+            same = same & (F.col(c) == F.col(f"_{c}"))
+        out = out.join(g, same, "left").drop(*[f"_{c}" for c in (*on, *more)])
+    n = F.col("all") - F.col("alike") - F.coalesce("near", F.lit(0)) + F.coalesce("both", F.lit(0))
+    return out.filter("all is not null").select("unit_id", "subject_id", n.alias("n_conflicts"))
+
+
 def corpus_hash(units: DataFrame, key: str = "stable_key", digest: str = "content_hash") -> DataFrame:
-    """One row: SHA-256 over all keys and hashes in key order.
+    """One row: SHA-256 over all keys and hashes, as a tree over the keys' own hashes.
 
-    Every part of the key space is hashed by its own task, and the parts' digests in order; so no task holds the corpus.
+    Its leaves are the million keys' hash prefixes of five digits, each hashed in key order; 4096 of them make up a branch, 256 branches the root.
+    So no task holds more than a leaf's keys or 4096 digests.
     """
-    part = F.substring(F.sha2(F.col(key).cast("string"), 256), 1, 2)
-    line = F.concat(F.col(key).cast("string"), F.lit("\0"), F.col(digest))
-    parts = units.groupBy(part.alias("part")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "\n"), 256).alias("h"))
-    return parts.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "h"))), lambda s: s["h"]), "\n"), 256).alias("corpus_hash"))
+
+    def joined(rows: DataFrame, by, part: str, line: str) -> DataFrame:
+        parts = F.array_sort(F.collect_list(F.struct(F.col(part).alias("p"), F.col(line).alias("l"))))
+        return rows.groupBy(*by).agg(F.sha2(F.array_join(F.transform(parts, lambda x: x["l"]), "\n"), 256).alias("h"))
+
+    name = F.col(key).cast("string")
+    lines = units.select(F.substring(F.sha2(name, 256), 1, 5).alias("leaf"), F.concat(name, F.lit("\0"), F.col(digest)).alias("line"))
+    leaves = joined(lines, ["leaf"], "line", "line")
+    branches = joined(leaves.withColumn("branch", F.substring("leaf", 1, 2)), ["branch"], "leaf", "h")
+    return joined(branches, [], "branch", "h").select(F.col("h").alias("corpus_hash"))
 
 
 def audit(units: DataFrame, answer: str, group: list[str]) -> DataFrame:

@@ -95,9 +95,20 @@ def corpus_audit(spark, d):
     return corpus.audit(table(spark, d, "documents"), "text", ["lang", "source"])
 
 
-@query("""WITH l AS (SELECT left(sha256(CAST(doc_id AS VARCHAR)), 2) AS part, CAST(doc_id AS VARCHAR) || chr(0) || sha256(coalesce(text, '')) AS line FROM documents),
-p AS (SELECT part, sha256(string_agg(line, chr(10) ORDER BY line)) AS h FROM l GROUP BY part)
-SELECT sha256(string_agg(h, chr(10) ORDER BY part)) AS corpus_hash FROM p""")
+@query(r"""WITH u AS (SELECT doc_id, lang, source, trim(regexp_replace(lower(split_part(coalesce(text, ''), chr(10), 1)), '[^\p{L}\p{N}_]+', ' ', 'g')) AS k,
+trim(regexp_replace(lower(coalesce(source, '')), '[^\p{L}\p{N}_]+', ' ', 'g')) AS topic, trim(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}_]+', ' ', 'g')) AS said FROM documents)
+SELECT a.doc_id, min(b.doc_id) AS subject_id, count(*) FILTER (WHERE a.said <> b.said) AS n_conflicts FROM u a JOIN u b ON a.k = b.k AND a.lang = b.lang AND a.topic = b.topic WHERE a.k <> '' GROUP BY a.doc_id""")
+def contradiction_counts(spark, d):
+    u = table(spark, d, "documents").select(
+        F.col("doc_id").alias("unit_id"), tx.first_line(F.col("text")).alias("subject"), F.lit("").alias("product"), F.col("source").alias("topic"), F.col("lang").alias("unit_type"),
+        F.col("doc_id").alias("document_id"), F.col("text").alias("answer"),
+    )
+    return corpus.contradiction_counts(u).withColumnRenamed("unit_id", "doc_id")
+
+
+@query("""WITH l AS (SELECT left(sha256(CAST(doc_id AS VARCHAR)), 5) AS leaf, CAST(doc_id AS VARCHAR) || chr(0) || sha256(coalesce(text, '')) AS line FROM documents),
+p AS (SELECT leaf, sha256(string_agg(line, chr(10) ORDER BY line)) AS h FROM l GROUP BY leaf), b AS (SELECT left(leaf, 2) AS branch, sha256(string_agg(h, chr(10) ORDER BY leaf)) AS h FROM p GROUP BY 1)
+SELECT sha256(string_agg(h, chr(10) ORDER BY branch)) AS corpus_hash FROM b""")
 def corpus_hash(spark, d):
     u = table(spark, d, "documents").select(F.col("doc_id").alias("stable_key"), tx.content_hash(F.col("text")).alias("content_hash"))
     return corpus.corpus_hash(u)

@@ -72,6 +72,18 @@ def lexicon(spark: SparkSession, path: str) -> DataFrame:
     return e.withColumn("written", F.when(whole, F.col("written")).otherwise(F.raise_error(F.lit("a lexicon entry lacks a side"))))
 
 
+def corpus(spark: SparkSession, folder: str) -> DataFrame:
+    """hash, url, title, text, intact: the pages of a manifest (manifest.json with `pages`) with the file <hash>.md of each.
+
+    intact tells whether the file's SHA-256 is the hash; a page without a file has a null text.
+    """
+    m = spark.read.json(f"{folder}/manifest.json", multiLine=True, schema="pages array<struct<hash:string,url:string,title:string>>")
+    pages = m.select(F.explode("pages").alias("p")).select("p.*")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.md").load(folder)
+    texts = files.select(F.regexp_extract("path", r"([^/]+)\.md$", 1).alias("hash"), F.col("content").cast("string").alias("text"), F.sha2("content", 256).alias("_sha"))
+    return pages.join(texts, "hash", "left").select("hash", "url", "title", "text", F.coalesce(F.col("_sha") == F.col("hash"), F.lit(False)).alias("intact"))
+
+
 def append_lines(rows: DataFrame, path: str, version: int = 1) -> None:
     """Appends rows as JSON lines, keys sorted, with schema_version and recorded_at."""
     stamped = rows.withColumn("schema_version", F.lit(version)).withColumn("recorded_at", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'"))

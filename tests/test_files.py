@@ -43,3 +43,16 @@ def test_lexicon_and_append(spark, tmp_path):
     for _ in range(2):
         files.append_lines(spark.range(1), str(tmp_path / "out"))
     assert spark.read.json(str(tmp_path / "out")).columns == ["id", "recorded_at", "schema_version"] and spark.read.json(str(tmp_path / "out")).count() == 2
+
+
+def test_corpus(spark, tmp_path):
+    import hashlib
+    import json
+
+    body = "# One\ntext é"
+    good = hashlib.sha256(body.encode()).hexdigest()
+    write(tmp_path, f"{good}.md", body)
+    write(tmp_path, "bad.md", "other")
+    write(tmp_path, "manifest.json", json.dumps({"pages": [{"hash": good, "url": "u", "title": "One"}, {"hash": "bad", "url": "v"}, {"hash": "none", "url": "w"}]}))
+    got = {r.url: (r.text, r.intact) for r in files.corpus(spark, str(tmp_path)).collect()}
+    assert got == {"u": (body, True), "v": ("other", False), "w": (None, False)}
