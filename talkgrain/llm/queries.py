@@ -118,7 +118,7 @@ ORACLE["op1_fingerprints"] = _spotsigs_sql()
 
 @query
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tested by held-out accuracy: SQL can't express the fit."""
+    """Tested by held-out accuracy, the loss's gradient and all possible cuts: SQL can't express the fit."""
     from talkgrain.llm.quality import held_out, learn, scored
 
     docs = table(spark, sf_dir, "documents")
@@ -140,19 +140,27 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _level_sql(name: str, rows: str, key: str) -> str:
     return f"""
 {name}_m AS (SELECT round(greatest(1.0, least(1000.0, p * (1 - p) / greatest(1e-6, seen - noise) - 1)), 6) AS m FROM (
-  SELECT sum(base * n) / sum(n) AS p, sum(n * power(CAST(good AS DOUBLE) / n - base, 2)) / sum(n) AS seen, sum(base * (1 - base)) / sum(n) AS noise FROM {rows})),
-{name} AS (SELECT {key}, n, m, round((good + m * base) / (n + m), 9) AS rate FROM {rows}, {name}_m)"""
+  SELECT sum(base * n) / sum(n) AS p, sum(n * power(CAST(good AS DOUBLE) / 1e6 / n - base, 2)) / sum(n) AS seen, sum(base * (1 - base)) / sum(n) AS noise FROM {rows})),
+{name} AS (SELECT {key}, n, m, round((CAST(good AS DOUBLE) / 1e6 + m * base) / (n + m), 9) AS rate FROM {rows}, {name}_m)"""
+
+
+def _suffix_labels(more: int) -> str:
+    from talkgrain.llm.url_filter import SUFFIXES
+
+    known = ", ".join(f"'{x}'" for x in SUFFIXES)
+    last = lambda n: f"array_to_string(list_slice(string_split(host, '.'), -{n}, -1), '.')"
+    return f"CASE WHEN {last(2)} IN ({known}) THEN {last(2 + more)} ELSE {last(1 + more)} END"
 
 
 ORACLE["op3_url_filter"] = rf"""
 WITH u AS (SELECT page_id, lower(regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1)) AS host, regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) AS path,
-  nullif(left(replace(replace(replace(replace(replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', ''''), '&#39;', ''''), '&amp;', '&'), 40), '') AS title FROM pages),
-marked AS (SELECT nullif(left(split_part(text, chr(10), 1), 40), '') AS title, quality = 1 AND coalesce(toxic, 0) = 0 AS good
+  nullif(replace(replace(replace(replace(replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', ''''), '&#39;', ''''), '&amp;', '&'), '') AS title FROM pages),
+marked AS (SELECT nullif(left(split_part(text, chr(10), 1), 60), '') AS title, quality = 1 AND coalesce(toxic, 0) = 0 AS good
            FROM documents JOIN labels USING (doc_id) WHERE quality IS NOT NULL),
-titles AS (SELECT title, min(good) AS good FROM marked WHERE title IS NOT NULL GROUP BY title HAVING min(good) = max(good)),
-hosts AS (SELECT host, array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') AS domain, array_to_string(list_slice(string_split(host, '.'), -1, -1), '.') AS suffix,
-                 count(*) AS n, sum(CAST(good AS INT)) AS good FROM u JOIN titles USING (title) WHERE host <> '' GROUP BY host),
-s0 AS (SELECT suffix, sum(n) AS n, sum(good) AS good, (SELECT CAST(sum(good) AS DOUBLE) / sum(n) FROM hosts) AS base FROM hosts GROUP BY suffix),
+titles AS (SELECT title, CAST(sum(CAST(good AS INT)) AS DOUBLE) / count(*) AS good FROM marked WHERE title IS NOT NULL GROUP BY title),
+hosts AS (SELECT host, {_suffix_labels(1)} AS domain, {_suffix_labels(0)} AS suffix,
+                 count(*) AS n, sum(CAST(round(good * 1e6) AS BIGINT)) AS good FROM u JOIN titles USING (title) WHERE host <> '' GROUP BY host),
+s0 AS (SELECT suffix, sum(n) AS n, sum(good) AS good, (SELECT CAST(sum(good) AS DOUBLE) / 1e6 / sum(n) FROM hosts) AS base FROM hosts GROUP BY suffix),
 {_level_sql('s', 's0', 'suffix')},
 d0 AS (SELECT domain, h.n, h.good, s.rate AS base FROM (SELECT domain, suffix, sum(n) AS n, sum(good) AS good FROM hosts GROUP BY domain, suffix) h JOIN s USING (suffix)),
 {_level_sql('d', 'd0', 'domain')},

@@ -1,6 +1,6 @@
 """URL filters: explicit rules, and empirical-Bayes host reputation for what no rule decides.
 
-A host's page outcomes (good of all) are shrunk through beta-binomial priors: the suffix's rate towards
+A host's page outcomes (each between bad, 0, and good, 1) are shrunk through beta-binomial priors: the suffix's rate towards
 the overall rate, the registered domain's towards its suffix's, the host's towards its domain's. The strength
 of each prior is estimated by the method of moments from how far the children's rates spread beyond what their
 counts explain. A host is blocked if even the upper posterior bound of its good rate is below the floor.
@@ -35,49 +35,64 @@ def rule_for(host: Column, path: Column, rules=RULES) -> Column:
     return out
 
 
+#: Public suffixes of two labels; all other suffixes are taken to have one.
+SUFFIXES = (
+    "ac.jp", "ac.uk", "co.in", "co.jp", "co.kr", "co.nz", "co.uk", "co.za", "com.ar", "com.au", "com.br", "com.cn", "com.hk", "com.mx", "com.sg",
+    "com.tr", "com.tw", "edu.au", "gov.au", "gov.uk", "ltd.uk", "net.au", "ne.jp", "or.jp", "org.au", "org.nz", "org.uk",
+)
+
+
+def _labels(host: Column, more: int) -> Column:
+    """The last labels: those of the public suffix and so many more."""
+    two = F.substring_index(host, ".", -2).isin(*SUFFIXES)
+    return F.when(two, F.substring_index(host, ".", -2 - more)).otherwise(F.substring_index(host, ".", -1 - more))
+
+
 def domain_of(host: Column) -> Column:
-    """The last two labels."""
-    return F.substring_index(host, ".", -2)
+    """The registered domain: the public suffix and the label before it."""
+    return _labels(host, 1)
 
 
 def suffix_of(host: Column) -> Column:
-    return F.substring_index(host, ".", -1)
+    return _labels(host, 0)
 
 
 def _strength(children: DataFrame) -> Column:
-    """Of the prior that children(n, good, base) share: p(1-p)/spread - 1, between 1 and 1000."""
+    """Of the prior that children(n, good in millionths, base) share: p(1-p)/spread - 1, between 1 and 1000."""
     p = F.sum(F.col("base") * F.col("n")) / F.sum("n")
-    seen = F.sum(F.col("n") * F.pow(F.col("good") / F.col("n") - F.col("base"), 2)) / F.sum("n")
+    seen = F.sum(F.col("n") * F.pow(F.col("good") / 1e6 / F.col("n") - F.col("base"), 2)) / F.sum("n")
     noise = F.sum(F.col("base") * (1 - F.col("base"))) / F.sum("n")
     spread = F.greatest(F.lit(1e-6), seen - noise)
     return F.round(F.greatest(F.lit(1.0), F.least(F.lit(1000.0), p * (1 - p) / spread - 1)), 6)
 
 
 def reputation(outcomes: DataFrame, scratch: Scratch, z: float = 1.645) -> DataFrame:
-    """host, n, good, rate, upper: for each host of outcomes(host, good boolean). The driver gets four numbers: the overall rate and a prior's strength a level.
+    """host, n, good, rate, upper: for each host of outcomes(host, good: true, false or a share between 0 and 1). The driver gets four numbers: the overall
+    rate and a prior's strength a level.
 
-    Rows without a host or an outcome are left out. An empty table gives an empty result.
+    Rows without a host or an outcome are left out. Repeated rows count each. An empty table gives an empty result. Sums are of whole millionths, so
+    that their order doesn't matter.
     """
     hosts = scratch.write(
         outcomes.filter("host is not null and good is not null")
         .groupBy("host")
-        .agg(F.count("*").alias("n"), F.sum(F.col("good").cast("long")).alias("good"))
+        .agg(F.count("*").alias("n"), F.sum(F.round(F.col("good").cast("double") * 1e6).cast("long")).alias("good"))
         .withColumn("domain", domain_of(F.col("host")))
         .withColumn("suffix", suffix_of(F.col("host"))),
         "hosts",
     )
-    one = hosts.agg(F.sum("good") / F.sum("n")).first()[0]
+    one = hosts.agg(F.sum("good") / 1e6 / F.sum("n")).first()[0]
     level, key = hosts.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("good").alias("good")).withColumn("base", F.lit(one).cast("double")), "suffix"
     for child in ("domain", "host", None):
         strength = F.lit(level.agg(_strength(level)).first()[0]).cast("double")
-        done = level.withColumn("m", strength).withColumn("rate", F.round((F.col("good") + F.col("m") * F.col("base")) / (F.col("n") + F.col("m")), 9))
+        done = level.withColumn("m", strength).withColumn("rate", F.round((F.col("good") / 1e6 + F.col("m") * F.col("base")) / (F.col("n") + F.col("m")), 9))
         if child is None:
             break
         below = hosts.groupBy(child, key).agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
         level, key = below.join(done.select(key, F.col("rate").alias("base")), key).select(child, "n", "good", "base"), child
         level = scratch.write(level, child)
     sd = F.sqrt(F.col("rate") * (1 - F.col("rate")) / (F.col("n") + F.col("m") + 1))
-    return done.select("host", "n", "good", "rate", F.round(F.least(F.lit(1.0), F.col("rate") + z * sd), 6).alias("upper"))
+    return done.select("host", "n", (F.col("good") / 1e6).alias("good"), "rate", F.round(F.least(F.lit(1.0), F.col("rate") + z * sd), 6).alias("upper"))
 
 
 def judge(pages: DataFrame, outcomes: DataFrame, scratch: Scratch, rules=RULES, floor: float = 0.5) -> DataFrame:
@@ -93,25 +108,27 @@ def judge(pages: DataFrame, outcomes: DataFrame, scratch: Scratch, rules=RULES,
     return p.select("page_id", "host", "path", F.col("r.rule").alias("rule"), verdict.alias("verdict"), "upper")
 
 
-TITLE = 40
+#: A page's title is its text's first line, which pages cut after so many characters.
+TITLE = 60
 
 
 def title_of(html: Column) -> Column:
-    """The title's first characters, entities resolved; null where there is none."""
+    """The whole title, entities resolved; null where there is none."""
     t = F.regexp_extract(html, "<title>([^<]*)</title>", 1)
     for a, b in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#x27;", "'"), ("&#39;", "'"), ("&amp;", "&")):
         t = F.replace(t, F.lit(a), F.lit(b))
-    return F.nullif(F.substring(t, 1, TITLE), F.lit(""))
+    return F.nullif(t, F.lit(""))
 
 
 def page_outcomes(pages: DataFrame, docs: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
-    """host, good: a page's outcome is that of the labelled documents that start with its title's first characters, if they agree.
+    """host, good: a row for each page whose title heads labelled documents; good is the share of these that are good.
 
-    Good is quality 1 and not toxic.
+    Good is quality 1 and not toxic. Labels that repeat a doc_id count each, null qualities and labels of unknown documents not. Pages without
+    a host or title and documents with an empty first line have no outcome. Empty tables give an empty result.
     """
-    start = F.nullif(F.substring(F.substring_index("text", "\n", 1), 1, TITLE), F.lit(""))
+    line = F.nullif(F.substring(F.substring_index("text", "\n", 1), 1, TITLE), F.lit(""))
     good = (F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0)
-    marked = docs.select("doc_id", start.alias("title")).join(labels.filter("quality is not null").select("doc_id", good.alias("good")), "doc_id")
-    agreed = marked.filter("title is not null").groupBy("title").agg(F.min("good").alias("good"), F.max("good").alias("most")).filter("good = most").select("title", "good")
-    titles = scratch.write(agreed, "titles")
+    marked = docs.select("doc_id", line.alias("title")).join(labels.filter("quality is not null").select("doc_id", good.alias("good")), "doc_id")
+    share = (F.sum(F.col("good").cast("long")) / F.count("*")).alias("good")
+    titles = scratch.write(marked.filter("title is not null").groupBy("title").agg(share), "titles")
     return pages.select(host_of(F.col("url")).alias("host"), title_of(F.col("html")).alias("title")).filter("host <> ''").join(titles, "title").select("host", "good")

@@ -112,10 +112,33 @@ def test_rules_and_reputation(spark):
 
 
 def test_page_outcomes(spark):
-    docs = spark.createDataFrame([(1, "First line\nmore"), (2, "Both"), (3, "Both"), (4, None)], "doc_id long, text string")
-    labels = spark.createDataFrame([(1, 1, 0), (2, 1, 0), (3, 0, 0), (4, 1, None), (5, None, 0)], "doc_id long, quality int, toxic int")
-    page = spark.createDataFrame([(1, "http://h/", "<title>First line</title>"), (2, "http://h/", "<title>Both</title>"), (3, None, "<title>First line</title>"), (4, "http://h/", None)], "page_id long, url string, html string")
-    assert rows(page_outcomes(page, docs, labels, Scratch(spark, "t"))) == [{"host": "h", "good": True}]
+    """Every labelled document counts, also where they disagree; titles are compared whole."""
+    long = "x" * 50
+    docs = spark.createDataFrame([(1, "First line\nmore"), (2, "Both"), (3, "Both"), (4, None), (6, long + "a"), (7, long + "b"), (8, "y" * 70)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1, 0), (2, 1, 0), (3, 0, 0), (4, 1, None), (5, None, 0), (6, 1, 0), (7, 0, 0), (8, 1, 1), (1, 1, 0)], "doc_id long, quality int, toxic int")
+    titles = [(1, "http://h/", "First line"), (2, "http://h/", "Both"), (3, None, "First line"), (4, "http://h/", None), (5, "http://a/", long + "a"), (6, "http://b/", long + "b"), (7, "http://c/", "y" * 60)]
+    page = spark.createDataFrame([(i, u, None if t is None else f"<title>{t}</title>") for i, u, t in titles], "page_id long, url string, html string")
+    got = sorted((r["host"], r["good"]) for r in rows(page_outcomes(page, docs, labels, Scratch(spark, "t"))))
+    assert got == [("a", 1.0), ("b", 0.0), ("c", 0.0), ("h", 0.5), ("h", 1.0)]
+    assert rows(page_outcomes(page, docs, labels.limit(0), Scratch(spark, "t"))) == []
+
+
+def test_labelled_outcomes_block_a_host(spark):
+    """A host whose pages' labelled documents are bad is blocked by its bound, from tables alone; one with few bad pages under a good suffix isn't."""
+    docs = spark.createDataFrame([(i, f"Text {i}") for i in range(90)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i >= 40), 0) for i in range(90)], "doc_id long, quality int, toxic int")
+    host = lambda i: "bad.one.co.uk" if i < 38 else "rare.two.com" if i < 40 else "good.three.com"
+    page = spark.createDataFrame([(i, f"http://{host(i)}/{i}", f"<title>Text {i}</title>") for i in range(90)] + [(90, "http://rare.two.com/x", "<title>Text 41</title>")], "page_id long, url string, html string")
+    out = rows(judge(page, page_outcomes(page, docs, labels, Scratch(spark, "t")), Scratch(spark, "t")))
+    assert {r["host"]: r["verdict"] for r in out} == {"bad.one.co.uk": "block", "rare.two.com": "allow", "good.three.com": "allow"}
+
+
+def test_registered_domains(spark):
+    from talkgrain.llm.url_filter import domain_of, suffix_of
+
+    hosts = ["a.b.co.uk", "b.co.uk", "co.uk", "x.example.com", "example.com", "com", ""]
+    df = spark.createDataFrame([(i, h) for i, h in enumerate(hosts)], "i int, h string").orderBy("i").select(domain_of(F.col("h")).alias("d"), suffix_of(F.col("h")).alias("s"))
+    assert [(r.d, r.s) for r in df.collect()] == [("b.co.uk", "co.uk"), ("b.co.uk", "co.uk"), ("co.uk", "co.uk"), ("example.com", "com"), ("example.com", "com"), ("com", "com"), ("", "")]
 
 
 def test_quality_held_out():
@@ -134,6 +157,48 @@ def test_quality_held_out():
     assert ((ranker.score(x[out]) >= ranker.cut) == y[out]).mean() > 0.97
 
 
+def test_quality_fit_against_brute_force():
+    """The weights are where the loss over the same pairs is flat; the cut is the best of all, tried one by one."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(120, len(quality.FEATURES) + quality.TRIGRAMS))
+    good = x[:, 0] + 0.5 * x[:, 20] + rng.normal(size=120) > 0.3
+    r = quality.fit(x, good, pairs=3000)
+    z, w = (x - np.array(r.centre)) / np.array(r.scale), np.array(r.weights)
+    d = quality.preferences(z, good, 3000, 7)
+    ridge = [quality.RIDGE] * len(quality.FEATURES) + [quality.TRIGRAM_RIDGE] * quality.TRIGRAMS
+
+    def loss(v):
+        return sum(math.log1p(math.exp(-m)) for m in d @ v) + sum(p * a * a / 2 for p, a in zip(ridge, v, strict=True))
+
+    for i in (0, 3, 10, 20, 40, 74):
+        e = np.zeros(len(w))
+        e[i] = 1e-4
+        assert abs(loss(w + e) - loss(w - e)) / 2e-4 < 1e-3
+        assert loss(w) < min(loss(w + 1000 * e), loss(w - 1000 * e))
+    scores = z @ w
+    right = {c: int(((scores >= c) == good).sum()) for c in scores}
+    assert ((scores >= r.cut_at) == good).sum() == max(right.values())
+    assert ((r.score(x) >= r.cut) == (scores >= r.cut_at)).all()
+
+
+def test_trigrams():
+    import numpy as np
+
+    one = quality.trigrams(np.frombuffer(b"abcabc", np.uint8))
+    assert one.sum() == 1 and sorted(one[one > 0].tolist())[-1] >= 0.5 and len(one) == quality.TRIGRAMS
+    assert not quality.trigrams(np.frombuffer(b"ab", np.uint8)).any()
+
+
+def test_quality_null_and_repeated_ids(spark):
+    docs = spark.createDataFrame([(None, "a b c", 1), (5, "a b", 2), (5, "a b", 2)], "doc_id long, text string, quality int")
+    out = docs.select("doc_id", quality.held_out().alias("h"))
+    assert {r["h"] for r in rows(out)} <= {True, False}
+    none = quality.learn(docs, spark.createDataFrame([], "doc_id long, quality int"))
+    assert len(rows(quality.scored(docs, none))) == 3 and rows(quality.keep_good(docs, none)) == rows(docs)
+
+
 def test_quality_edges(spark):
     rnd = random.Random(1)
     texts = [(i, words(60, i) if i % 2 else " ".join(["SPAM!!"] * rnd.randint(5, 50))) for i in range(200)] + [(200, None), (201, ""), (3, words(60, 3))]
