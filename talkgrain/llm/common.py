@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import atexit
 import gc
-import tempfile
+import math
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from talkgrain.session import shared_dir
+
 #: One word: a maximal run of bytes other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -18,18 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir, which driver and executors share.
-
-    Only where the session names none (as in local tests) is a folder of our own set.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="talkgrain-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
 def _delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     if jvm is None:
@@ -69,21 +59,29 @@ class Scratch:
         self.spark.sparkContext._jvm.System.gc()
 
 
+#: At most so many nodes are hubs, 16 bytes each; a node of at most LIGHT edges never is one.
+HUBS, LIGHT = 10_000, 500
+
+
 def components(edges: DataFrame, scratch: Scratch, max_rounds: int = 60) -> DataFrame:
     """Connected components of edges(a, b): rows (node, component), the component being the smallest node.
 
     Alternating large-star and small-star contraction (Kiveris et al. 2014). Every round is one
     shuffle of the edge list, each node's minimum is pre-aggregated, and the list never grows by
-    more than a factor of two. No part of it reaches the driver but the two counters that tell
-    whether a round changed anything. Self loops and repeated edges are allowed.
+    more than a factor of two. A node that holds one in HUBS of the edges or more is a hub; there are at most HUBS of
+    them, so all tasks know their minima and a hub's edges stay where they are, instead of meeting in one task. No other part
+    of the list reaches the driver but the two counters that tell whether a round changed anything. Self loops and repeated edges are allowed.
     """
 
     def signature(df: DataFrame) -> tuple:
         return tuple(df.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
 
-    def with_min(df: DataFrame) -> DataFrame:
-        low = df.groupBy("a").agg(F.min("b").alias("m"))
-        return df.join(low, "a")
+    def with_min(df: DataFrame, n: int) -> DataFrame:
+        low = df.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("_c"))
+        most = max(LIGHT, math.ceil(n / HUBS))
+        hubs = F.broadcast(low.filter(F.col("_c") > most).drop("_c"))
+        light = df.join(hubs.select("a"), "a", "left_anti").join(low.filter(F.col("_c") <= most).drop("_c"), "a")
+        return df.join(hubs, "a").unionByName(light)
 
     cur = scratch.write(
         edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "edges"
@@ -94,13 +92,13 @@ def components(edges: DataFrame, scratch: Scratch, max_rounds: int = 60) -> Data
             break
         both = cur.unionByName(cur.select(F.col("b").alias("a"), F.col("a").alias("b")))
         large = (
-            with_min(both)
+            with_min(both, 2 * seen[0])
             .filter("b > a")
             .select(F.col("b").alias("a"), F.least("m", "a").alias("b"))
             .distinct()
         )
         large = scratch.write(large, "large")
-        small = with_min(large)
+        small = with_min(large, 2 * seen[0])
         small = (
             small.select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e"))
             .select("e.a", "e.b")
