@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 
 from talkgrain.llm.common import Scratch, components
 
-TILE = 2048
+#: Vectors of a tile. A vector is read once for each tile that its own meets; two tiles of 64 doubles a vector are 8 MB.
+TILE = 8192
 AXES = 4
 SLACK = 1e-9
 
@@ -36,6 +37,11 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times powers of two, which rounds nothing, with components between -1 and 1: squares neither overflow nor vanish."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
+
+
 def usable(v: Column) -> Column:
     """Not null, not zero, and all components finite."""
     odd = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
@@ -125,10 +131,10 @@ def compare(x: np.ndarray, y: np.ndarray, axes: np.ndarray, least: float) -> tup
             done = until
         if i is None:
             i, j = np.nonzero(may)
-        # What is left is decided on the vectors as given.
+        # What is left is decided on the vectors themselves, scaled so that no square overflows.
         for a in range(0, len(i), 200_000):
             p, q = i[a : a + 200_000], j[a : a + 200_000]
-            vx, vy = x[at][p], y[q]
+            vx, vy = _scaled(x[at][p]), _scaled(y[q])
             cos = (vx * vy).sum(axis=1) / (np.sqrt((vx * vx).sum(axis=1)) * np.sqrt((vy * vy).sum(axis=1)))
             ok = cos >= least
             out_i.append(p[ok] + lo)

@@ -146,3 +146,10 @@ def test_embedding_links(spark):
         got = sorted((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in rows(links(df, Scratch(spark, "t"), tile=tile)))
         assert got == want
     assert rows(links(df.limit(0), Scratch(spark, "t"))) == []
+
+
+def test_embedding_links_of_huge_and_tiny_components(spark):
+    """Squares of these overflow or vanish; their cosines don't."""
+    v = [(1, [1e200, 1e200]), (2, [1e200, 1.0001e200]), (3, [1e-200, 1e-200]), (4, [1.0, -1.0]), (5, [1e308, -1e308])]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in rows(links(spark.createDataFrame(v, "vec_id long, embedding array<double>"), Scratch(spark, "t")))}
+    assert got == {1: (2, 1), 2: (2, 1), 3: (2, 1), 4: (1, 4), 5: (1, 4)}
