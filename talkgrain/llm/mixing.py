@@ -121,7 +121,8 @@ def _position(start: Column, schedules) -> Column:
 
 
 def first_words(n: Column, text: Column) -> Column:
-    """text up to the end of its n-th word (n at least 1); Java stops searching there."""
+    """text up to the end of its n-th word (n at least 1)."""
+
     @F.pandas_udf("string")
     def cut(k, t):
         import re
@@ -143,16 +144,22 @@ def first_words(n: Column, text: Column) -> Column:
 
 def mixed_documents(docs: DataFrame, scratch: Scratch, **options) -> DataFrame:
     """The documents as trained on: each taken copy is a row of the columns of docs, the copy at the target's end cut after its
-    last word, all range-sorted by position. Documents without words are never taken."""
+    last word, all range-sorted by position.
+
+    Documents without words are never taken. Other columns are carried along, whatever their names. An empty table gives an empty result.
+    """
     cols = docs.columns
     schedules = options.get("schedules", SCHEDULES)
-    plan = mix(docs.withColumn("_row", F.struct(*cols)), scratch, carry=("_row",), **options).filter("taken > 0")
+    plan = mix(docs.withColumn("_row", F.struct(*cols)).select("doc_id", "text", "source", "_row"), scratch, carry=("_row",), **options).filter("taken > 0")
     copies = plan.withColumn("copy", F.explode(F.sequence(F.lit(0), F.ceil(F.col("taken") / F.col("size")).cast("int") - 1)))
-    copies = copies.withColumn("words", F.least(F.col("size"), F.col("taken") - F.col("copy") * F.col("size")))
-    copies = copies.withColumn("position", _position(F.col("start") + F.col("copy") * F.col("source_size"), schedules))
-    whole = copies.filter("words = size").select("position", "_row.*")
-    part = copies.filter("words < size").select("position", "words", "_row.*")
-    part = part.withColumn("text", first_words(F.col("words"), F.col("text")))
+    n = F.least(F.col("size"), F.col("taken") - F.col("copy") * F.col("size"))
+    at = _position(F.col("start") + F.col("copy") * F.col("source_size"), schedules)
+    copies = copies.select("size", "_row", n.alias("_n"), at.alias("_at"))
+    row = [F.col(f"_row.`{c}`").alias(c) for c in cols]
+    place = F.struct(F.col("_at").alias("at"), F.col("_row.doc_id").alias("id"))
+    whole = copies.filter("_n = size").select(place.alias("_place"), *row)
+    cut = first_words(F.col("_n"), F.col("_row.text"))
+    part = copies.filter("_n < size").select(place.alias("_place"), *[cut.alias(c) if c == "text" else x for c, x in zip(cols, row, strict=True)])
     if "n_chars" in cols:
         part = part.withColumn("n_chars", F.length("text").cast("long"))
-    return whole.unionByName(part.drop("words")).orderBy("position", "doc_id").select(*cols)
+    return whole.unionByName(part).orderBy("_place.at", "_place.id").select(*cols)

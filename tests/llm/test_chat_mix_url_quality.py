@@ -5,7 +5,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from talkgrain.llm import quality
+from talkgrain.llm import common, quality
 from talkgrain.llm.chat_format import collapse_snapshots, format_chats
 from talkgrain.llm.common import Scratch, components
 from talkgrain.llm.mixing import SCHEDULES, invert, mix, mixed_documents
@@ -80,6 +80,17 @@ def test_mixed_documents(spark):
     assert rows(mixed_documents(empty(spark), Scratch(spark, "t"))) == []
 
 
+def test_mixed_documents_with_clashing_columns(spark):
+    """Extra columns that are named as the mix's own come back as they are."""
+    extra = {"position": "1.5", "words": "'w'", "copy": "3", "size": "4", "start": "5", "taken": "6", "rank": "7", "bucket": "8", "h": "9", "offset": "10"}
+    docs = documents(spark).selectExpr("*", *(f"{v} AS {k}" for k, v in extra.items()))
+    out = mixed_documents(docs, Scratch(spark, "t"))
+    assert out.columns == docs.columns
+    plain = mixed_documents(documents(spark), Scratch(spark, "t"))
+    assert [(r["doc_id"], r["text"]) for r in rows(out)] == [(r["doc_id"], r["text"]) for r in rows(plain)]
+    assert {(float(r["position"]), r["words"], r["offset"]) for r in rows(out)} == {(1.5, "w", 10)}
+
+
 def test_invert(spark):
     for knots in [*SCHEDULES, ((0.0, 0.0), (0.3, 2.0), (1.0, 0.0))]:
         def area(t, knots=knots):
@@ -215,7 +226,10 @@ def test_quality_edges(spark):
     assert {round(r["score"], 6) for r in rows(quality.scored(docs, unlabelled))} == {0.3}
 
 
-def test_components(spark):
+@pytest.mark.parametrize("light", [500, 3])
+def test_components(spark, light, monkeypatch):
+    monkeypatch.setattr(common, "LIGHT", light)  # with 3 most nodes are hubs
+    monkeypatch.setattr(common, "HUBS", 10_000 if light == 500 else 1_000_000)
     rnd = random.Random(3)
     edges = [(i, i + 1) for i in range(0, 60)] + [(rnd.randint(100, 160), rnd.randint(100, 160)) for _ in range(40)] + [(500, 500), (7, 3), (7, 3)] + [(1000, 1000 + i) for i in range(50)]
     label = {v: v for e in edges for v in e}
