@@ -29,6 +29,8 @@ LITERAL = "\udc81"
 SEGMENT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 CHARS = 2_000_000
 CELLS = 3_000_000
+#: A longer segment (text without spaces) is filtered in blocks of so many characters; its table never stands whole.
+LONG = 1 << 15
 U64 = np.uint64
 _BASE = U64(0x9E3779B97F4A7C15)
 
@@ -150,6 +152,70 @@ def _forward(codes: np.ndarray, lengths: np.ndarray, p: Pieces) -> tuple[np.ndar
     return cum.reshape(n * size, deep), ids.reshape(n * size, deep)
 
 
+def _lattice(codes: np.ndarray, lo: int, hi: int, deep: int, p: Pieces) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and ids of the pieces that end at lo + 1 to hi, by length; as in _forward."""
+    ends = np.arange(lo + 1, hi + 1)
+    weights, ids = np.zeros((hi - lo, deep)), np.zeros((hi - lo, deep), np.int32)
+    h, power = np.zeros(hi - lo, U64), U64(1)
+    for back in range(1, deep + 1):
+        inside = ends >= back
+        c = codes[np.maximum(ends - back, 0)]
+        h = h + (c.astype(U64) + U64(1)) * power
+        power = U64(int(power) * int(_BASE) % (1 << 64))
+        found, weight = p.find(h)
+        if back == 1:
+            none = found < 0
+            found = np.where(none, -1 - c.astype(np.int32), found)
+            weight = np.where(none, p.least, weight)
+        ids[:, back - 1] = found
+        weights[:, back - 1] = np.where(inside, weight, 0)
+    return weights, ids
+
+
+def _filtered(weights: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The cumulative probabilities at each end of a block, and what the next block goes on from."""
+    cum = np.empty(weights.shape, np.float32)
+    before = before.copy()
+    for i, w in enumerate(weights):
+        total = np.cumsum(w * before)
+        whole = total[-1]
+        cum[i] = total / whole
+        before[1:] = before[:-1] / whole
+        before[0] = 1
+    return cum, before
+
+
+def _drawn(seed: np.ndarray, step) -> np.ndarray:
+    """The uniform numbers of these steps."""
+    n = np.atleast_1d(step).astype(U64) + U64(1)
+    return (mixed(seed + n * U64(0x8CB92BA72F3D8DD7)) >> U64(40)).astype(np.float32) * np.float32(2**-24)
+
+
+def _long(codes: np.ndarray, seeds: np.ndarray, p: Pieces) -> list[np.ndarray]:
+    """A long segment's pieces for each seed, from its end. Blocks are filtered once forwards, which keeps what each begins with, and again as they are drawn from."""
+    size, deep = len(codes), min(p.longest, len(codes))
+    starts, state = [], np.zeros(deep)
+    state[0] = 1
+    for lo in range(0, size, LONG):
+        starts.append(state)
+        state = _filtered(_lattice(codes, lo, min(size, lo + LONG), deep, p)[0], state)[1]
+    out, end, step = [[] for _ in seeds], [size] * len(seeds), [0] * len(seeds)
+    for b in range(len(starts) - 1, -1, -1):
+        lo = b * LONG
+        weights, ids = _lattice(codes, lo, min(size, lo + LONG), deep, p)
+        cum, _ = _filtered(weights, starts[b])
+        for k in range(len(seeds)):
+            u = _drawn(seeds[k : k + 1], np.arange(step[k], step[k] + max(0, end[k] - lo)))  # a piece a character at most
+            drawn = 0
+            while end[k] > lo:
+                at = end[k] - lo - 1
+                back = min(int(np.count_nonzero(cum[at] <= u[drawn])), min(end[k], deep) - 1)
+                out[k].append(ids[at, back])
+                end[k], drawn = end[k] - back - 1, drawn + 1
+            step[k] += drawn
+    return [np.array(x, np.int64) for x in out]
+
+
 def encode(texts: list, keys: np.ndarray, p: Pieces) -> tuple[np.ndarray, np.ndarray]:
     """Piece ids of all texts, and where each text's end. keys: a 64-bit number for each text, which seeds it."""
     numbers: dict = {}
@@ -174,11 +240,18 @@ def encode(texts: list, keys: np.ndarray, p: Pieces) -> tuple[np.ndarray, np.nda
     by_place = np.argsort(place, kind="stable")
     first = np.searchsorted(place[by_place], np.arange(len(order) + 1))
     sorted_lengths, a = lengths[order], 0
-    while a < len(order):
+    short = int(np.searchsorted(sorted_lengths, LONG, side="right"))
+    for i in range(short, len(order)):
+        codes = np.frombuffer(segments[order[i]].encode("utf-32-le", "surrogatepass"), np.uint32)
+        who = by_place[first[i] : first[i + 1]]
+        for w, got in zip(who.tolist(), _long(codes, seed[who], p), strict=True):
+            pieces.append((np.full(len(got), w), np.arange(len(got)), got))
+            counts[w] = len(got)
+    while a < short:
         # Segments of like length together, as many as fill the table.
         z = a + 1
-        while z < len(order) and (z - a + 1) * sorted_lengths[min(z, len(order) - 1)] * min(p.longest, sorted_lengths[z]) <= CELLS and sorted_lengths[z] <= sorted_lengths[a] * 1.25 + 1:
-            z = min(len(order), z + max(1, (z - a) // 8))
+        while z < short and (z - a + 1) * sorted_lengths[z] * min(p.longest, sorted_lengths[z]) <= CELLS and sorted_lengths[z] <= sorted_lengths[a] * 1.25 + 1:
+            z = min(short, z + max(1, (z - a) // 8))
         some = [segments[i] for i in order[a:z]]
         wide = int(sorted_lengths[z - 1])
         flat = np.frombuffer("".join(some).encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -188,7 +261,7 @@ def encode(texts: list, keys: np.ndarray, p: Pieces) -> tuple[np.ndarray, np.nda
         who = by_place[first[a] : first[z]]
         base, end, step = (place[who] - a) * wide - 1, size[who].copy(), 0
         while len(who):
-            u = (mixed(seed[who] + U64((step + 1) * 0x8CB92BA72F3D8DD7 % (1 << 64))) >> U64(40)).astype(np.float32) * np.float32(2**-24)
+            u = _drawn(seed[who], step)
             at = base + end
             back = np.minimum((cum[at] <= u[:, None]).sum(axis=1), np.minimum(end, cum.shape[1]) - 1)
             pieces.append((who, np.full(len(who), step, np.int32), ids[at, back]))
@@ -233,7 +306,8 @@ def decode(ids: np.ndarray, p: Pieces) -> bytes:
 def encoded(docs: DataFrame, pieces: Pieces, digest: bool = True) -> DataFrame:
     """doc_id, n_pieces, ids and, if wanted, decoded_sha256, the digest of what the ids decode to.
 
-    docs: doc_id, text; other columns are ignored. Null and empty texts have no ids. Rows with equal doc_id and text have equal ids.
+    docs: doc_id, text; other columns are ignored. Null and empty texts have no ids. Rows with equal doc_id and text have equal ids, null doc_ids
+    count as equal. A text without spaces, however long, takes memory for LONG of its characters at once. An empty table gives an empty result.
     """
     kind = dict(docs.dtypes)["doc_id"]
 

@@ -30,6 +30,21 @@ def test_round_trip(pieces, monkeypatch):
     assert all(map(np.array_equal, one[::-1], cut(*encode(texts[::-1], keys[::-1], pieces))))
 
 
+def test_long_segments(pieces, monkeypatch):
+    """Text without spaces: drawn in blocks as it is from a whole table, and lossless at any length."""
+    texts = ["x" * 900, "inter" * 300 + "é日😀" * 40, "abc def", "x" * 900, "<|im_start|>" * 70]
+    keys = np.arange(len(texts)) * 7
+    whole = cut(*encode(texts, keys, pieces))
+    for block in (64, 100, 899):
+        monkeypatch.setattr(piece_sampling, "LONG", block)
+        got = cut(*encode(texts, keys, pieces))
+        assert all(map(np.array_equal, whole, got))
+    monkeypatch.undo()
+    long = "longwordwithoutanyspace" * 9000
+    (ids,) = cut(*encode([long], np.array([1]), pieces))
+    assert decode(ids, pieces).decode() == long
+
+
 def test_posterior(pieces):
     word = "nights"
     known = {t: i for i, t in enumerate(pieces.texts) if t}
