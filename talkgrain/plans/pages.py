@@ -80,6 +80,37 @@ def turn_stages(spark, d):
     return run.batch(e, machines.TURNS)
 
 
+def _machine_events(spark, d, kind):
+    ms = F.timestamp_diff("MILLISECOND", F.expr("TIMESTAMP_NTZ'2024-01-01 00:00:00'"), F.col("ts").cast("timestamp_ntz"))
+    return table(spark, d, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("id"), ms.alias("at"), kind.alias("kind"), F.col("event_type").alias("text"))
+
+
+@query("""SELECT user_id AS key, event_id, coalesce(count(*) FILTER (WHERE event_type = 'error') OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 0 AS accepted FROM events""")
+def terminal_rejections(spark, d):
+    """The batch twin of a streamed machine."""
+    return run.batch(_machine_events(spark, d, F.col("event_type")), machines.terminal(("error",)))
+
+
+@query("""WITH g AS (SELECT user_id, ts, event_id, event_type, count(*) FILTER (WHERE event_type = 'view') OVER (PARTITION BY user_id ORDER BY ts, event_id) AS grp FROM events)
+SELECT user_id AS key, event_id, CASE WHEN count(*) FILTER (WHERE event_type <> 'view') OVER (PARTITION BY user_id, grp ORDER BY ts, event_id) >= 3 THEN 'open' ELSE 'closed' END AS circuit FROM g""")
+def circuit_states(spark, d):
+    """The batch twin of a streamed machine, without time to half open."""
+    return run.batch(_machine_events(spark, d, F.when(F.col("event_type") == "view", "ok").otherwise("failed")), machines.breaker(3, 10**9))
+
+
+@query("""WITH g AS (SELECT user_id, ts, event_id, event_type, count(*) FILTER (WHERE event_type = 'signup') OVER (PARTITION BY user_id ORDER BY ts, event_id) AS grp FROM events),
+s AS (SELECT *, row_number() OVER (PARTITION BY user_id, grp ORDER BY ts, event_id) AS pos, bool_or(event_type = 'view') OVER w AS a, bool_or(event_type = 'click') OVER w AS b FROM g WHERE grp > 0 WINDOW w AS (PARTITION BY user_id, grp ORDER BY ts, event_id))
+SELECT user_id AS key, event_id, grp AS draft, a AND b AS complete FROM s""")
+def form_drafts(spark, d):
+    """The batch twin of a streamed machine: each start opens a draft anew, here after a cancellation in the same breath."""
+    e = _machine_events(spark, d, F.col("event_type"))
+    start = F.col("kind") == "signup"
+    kinds = F.when(start, F.array(F.lit("cancel"), F.lit("start"))).otherwise(F.array("kind"))
+    e = e.select("key", (F.col("id") * 2).alias("id"), "at", F.posexplode(kinds).alias("i", "kind"), "text").withColumn("id", F.col("id") + F.col("i"))
+    out = run.batch(e, machines.drafts(("view", "click"))).filter("draft > 0 and status <> 'cancelled'")
+    return out.select("key", F.floor(F.col("event_id") / 2).alias("event_id"), "draft", (F.col("status") == "review").alias("complete"))
+
+
 _B = r"(^|[^\p{L}\p{N}_])"
 _E = r"($|[^\p{L}\p{N}_])"
 

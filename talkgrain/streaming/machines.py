@@ -165,3 +165,29 @@ def breaker(most: int = 3, seconds: int = 30) -> Machine:
         return state, [{"event_id": e["id"], "circuit": "closed" if state["open_at"] is None else "open"}]
 
     return Machine("breaker", lambda: {"failures": 0, "open_at": None, "half": False}, step, "event_id long, circuit string")
+
+
+def drafts(required: tuple[str, ...]) -> Machine:
+    """A form that a conversation fills: the draft's number and status after each event, what is missing, and whether it was written.
+
+    Events: start; one of the required names with a text (an empty one takes the field back); confirm; cancel. A draft is written by a confirmation
+    only, and only while nothing is missing; whatever is said after a confirmation or cancellation but a start is ignored.
+    """
+
+    def step(state, e):
+        k, written = e["kind"], False
+        if k == "start" and state["status"] in ("idle", "written", "cancelled"):
+            state.update(n=state["n"] + 1, status="collecting", fields={})
+        elif state["status"] in ("collecting", "review"):
+            if k in required:
+                fields = {**state["fields"], k: (e["text"] or "").strip()}
+                state["fields"] = {f: v for f, v in fields.items() if v}
+                state["status"] = "review" if set(required) <= set(state["fields"]) else "collecting"
+            elif k == "cancel":
+                state["status"] = "cancelled"
+            elif k == "confirm" and state["status"] == "review":
+                state["status"], written = "written", True
+        missing = [f for f in required if f not in state["fields"]] if state["status"] in ("collecting", "review") else []
+        return state, [{"event_id": e["id"], "draft": state["n"], "status": state["status"], "missing": ",".join(missing), "written": written}]
+
+    return Machine("drafts", lambda: {"n": 0, "status": "idle", "fields": {}}, step, "event_id long, draft long, status string, missing string, written boolean")

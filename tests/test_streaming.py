@@ -21,9 +21,9 @@ def events(spark, kinds, keys=3):
 KINDS = ["user_started", "user_stopped", "final", "llm", "audio", "text", "interrupted", "finished"]
 
 
-@pytest.mark.parametrize("machine", [m.TURNS, m.rate_limit(2, 86_400), m.message_chunks(4), m.terminal(("finished",)), m.segments(10, 30), m.breaker(2, 86_400)])
+@pytest.mark.parametrize("machine", [m.TURNS, m.rate_limit(2, 86_400), m.message_chunks(4), m.terminal(("finished",)), m.segments(10, 30), m.breaker(2, 86_400), m.drafts(("name", "mail"))])
 def test_stream_equals_batch(spark, tmp_path, machine):
-    kinds = {"message_chunks": ["user", "assistant"], "segments": ["delta", "delta", "end"], "breaker": ["ok", "failed", "failed"]}.get(machine.name, KINDS)
+    kinds = {"message_chunks": ["user", "assistant"], "segments": ["delta", "delta", "end"], "breaker": ["ok", "failed", "failed"], "drafts": ["start", "name", "confirm", "mail", "confirm", "cancel"]}.get(machine.name, KINDS)
     e = events(spark, kinds)
     rows = sorted(e.collect(), key=lambda r: (r.at, r.id))
     assert rows
@@ -94,3 +94,16 @@ def test_windows(spark, tmp_path):
     assert sorted(r.v for r in run.latest_generation(df, ["k"], "g").collect()) == ["b", "c"]
     run.fan_out(df, 0, [str(tmp_path / "x"), str(tmp_path / "y")])
     assert spark.read.parquet(str(tmp_path / "x")).count() == 3
+
+
+def test_drafts():
+    machine = m.drafts(("name", "mail"))
+    state, got = machine.start(), []
+    said = [("name", "x"), ("start", ""), ("name", " Kim "), ("confirm", ""), ("mail", "a@b.c"), ("name", ""), ("confirm", ""), ("name", "Lee"), ("confirm", ""), ("name", "late"), ("start", ""), ("cancel", "")]
+    for i, (kind, text) in enumerate(said):
+        state, rows = machine.step(state, {"id": i, "at": i, "kind": kind, "text": text})
+        got += [(r["draft"], r["status"], r["missing"], r["written"]) for r in rows]
+    assert got == [
+        (0, "idle", "", False), (1, "collecting", "name,mail", False), (1, "collecting", "mail", False), (1, "collecting", "mail", False), (1, "review", "", False), (1, "collecting", "name", False),
+        (1, "collecting", "name", False), (1, "review", "", False), (1, "written", "", True), (1, "written", "", False), (2, "collecting", "name,mail", False), (2, "cancelled", "", False),
+    ]
