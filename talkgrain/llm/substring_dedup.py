@@ -88,7 +88,9 @@ def repeats(docs: DataFrame, scratch: Scratch, window: int = WINDOW, gram: int =
     single = scratch.write(_windows(d.join(open_, ["k", "th"]), window), "windows")
     first = scratch.write(single.groupBy("d", "e").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).filter("lo < hi").select("d", "e", "lo"), "first")
     late = single.join(first, ["d", "e"]).filter("k > lo").select("k", "th", F.col("s").alias("a"), (F.col("s") + window).alias("b"))
-    return whole.unionByName(scratch.write(late, "late"))
+    late = scratch.write(late, "late")
+    scratch.drop(single, first)
+    return whole.unionByName(late)
 
 
 def _windows(docs: DataFrame, window: int) -> DataFrame:
