@@ -1,32 +1,44 @@
-"""SimHash of token trigrams."""
+"""SimHash of token trigrams, in built-in expressions: a text's bit is 1 where at least half of its trigrams' hashes have a 1."""
 
 from __future__ import annotations
 
-import hashlib
-import re
-
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-_TOKENS = re.compile(r"[\w-]+")
+from talkgrain.functions.text import TERM
+
+BITS = 64
+
+
+def tokens(text: Column) -> Column:
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TERM), F.lit(0))
+
+
+def trigrams(words: Column) -> Column:
+    """Each three consecutive words; the words themselves where there are fewer than three."""
+    n = F.size(words)
+    three = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), n - 2)), lambda i: F.array_join(F.slice(words, i, 3), " "))
+    return F.when(n >= 3, three).otherwise(words)
+
 
+def hash64(text: Column) -> Column:
+    """The first half of an MD5, as a signed long: a hash that other engines have, too."""
+    return F.conv(F.substring(F.md5(text), 1, 16), 16, -10).cast("long")
 
-def _simhash(text: str | None) -> tuple[int, int]:
-    """A bit is 1 where at least half of the trigrams' 64-bit hashes have a 1. Texts of one or two tokens hash these instead."""
-    tokens = _TOKENS.findall((text or "").casefold())
-    grams = list(map(" ".join, zip(tokens, tokens[1:], tokens[2:], strict=False))) or tokens
-    raw = b"".join([hashlib.blake2b(g.encode(), digest_size=8).digest() for g in grams])
-    ones = np.unpackbits(np.frombuffer(raw, np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones >= len(grams)).view(">i8")[0]), len(tokens)
 
+def simhashes(rows: DataFrame, key: list[str], text: str) -> DataFrame:
+    """key, hash, tokens of each row; rows without a token are left out. Rows that repeat key and text are one.
 
-@F.pandas_udf(T.StructType([T.StructField("hash", T.LongType()), T.StructField("tokens", T.IntegerType())]))
-def simhash(text: pd.Series) -> pd.DataFrame:
-    got = [_simhash(t) for t in text]
-    return pd.DataFrame({"hash": np.array([h for h, _ in got], np.int64), "tokens": np.array([n for _, n in got], np.int32)})
+    Counts of the bits are summed where the rows are read: one row of 64 sums a text is all that is exchanged.
+    """
+    words = rows.select(*key, F.xxhash64(text).alias("_row"), tokens(F.col(text)).alias("_w"))
+    grams = words.select(*key, "_row", F.size("_w").alias("_t"), F.explode(trigrams(F.col("_w"))).alias("_g")).withColumn("_h", hash64(F.col("_g")))
+    ones = [F.sum(F.shiftrightunsigned("_h", i).bitwiseAND(F.lit(1))).alias(f"_s{i}") for i in range(BITS)]
+    counted = grams.groupBy(*key, "_row").agg(F.max("_t").alias("tokens"), F.count("*").alias("_n"), *ones)
+    bits = [F.when(2 * F.col(f"_s{i}") >= F.col("_n"), F.lit(1 << i if i < 63 else -(1 << 63))).otherwise(F.lit(0).cast("long")) for i in range(BITS)]
+    while len(bits) > 1:  # as a shallow tree
+        bits = [a.bitwiseOR(b) for a, b in zip(bits[::2], bits[1::2], strict=True)]
+    return counted.select(*key, bits[0].alias("hash"), "tokens")
 
 
 def hamming(a: Column, b: Column) -> Column:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from talkgrain.functions import text as tx
-from talkgrain.functions.simhash import hamming, simhash
+from talkgrain.functions.simhash import BITS, hamming, simhashes
 from talkgrain.session import settled
 
 #: Fixed values.
@@ -40,23 +42,30 @@ def keep_best(units: DataFrame, answer: str, approved: Column, order: list[Colum
 
 def _hashed(units: DataFrame, least_tokens: int) -> DataFrame:
     """unit_id, unit_type, hash, tokens of the units that are long enough."""
-    h = units.withColumn("_h", simhash("answer")).select("unit_id", "unit_type", F.col("_h.hash").alias("hash"), F.col("_h.tokens").alias("tokens"))
-    return h.filter(F.col("tokens") >= least_tokens)
+    return simhashes(units, ["unit_id", "unit_type"], "answer").filter(F.col("tokens") >= least_tokens)
 
 
 def near_pairs(units: DataFrame, radius: int = 2, least_tokens: int = 12, ratio: float = 0.9) -> DataFrame:
     """left_id, right_id, dist: units of one type whose SimHash differs in at most `radius` bits.
 
-    Two hashes within the radius agree in one of radius + 1 bands (pigeonhole), so only equal bands are joined. Equal
-    hashes are collapsed first and only their smallest unit stands for them, as copies would pair quadratically;
-    near_members has the others.
+    Of radius + 3 blocks of the bits any two hashes within the radius agree in three at least (pigeonhole), so only hashes that agree in three blocks
+    are joined: 38 bits at a radius of 2. Beyond a radius of 6 that would be too many threes; there one of radius + 1 blocks must agree. Equal hashes are collapsed first and only their smallest unit stands for them, as copies would
+    pair quadratically; near_members has the others.
     """
-    h = _hashed(units, least_tokens).groupBy("unit_type", "hash", "tokens").agg(F.min("unit_id").alias("unit_id"))
-    width = -(-64 // (radius + 1))
-    bands = F.array(*[F.struct(F.lit(i).alias("i"), F.shiftrightunsigned("hash", i * width).bitwiseAND(F.lit((1 << min(width, 63)) - 1)).alias("v")) for i in range(radius + 1)])
-    b = h.withColumn("band", F.explode(bands))
+    return _pairs(_hashed(units, least_tokens), radius, ratio)
+
+
+def _pairs(h: DataFrame, radius: int, ratio: float) -> DataFrame:
+    h = h.groupBy("unit_type", "hash", "tokens").agg(F.min("unit_id").alias("unit_id"))
+    agree = 3 if radius <= 6 else 1
+    blocks = radius + agree
+    edges = [i * BITS // blocks for i in range(blocks + 1)]
+    masks = [sum((1 << b) - (1 << a) for a, b in some) for some in combinations(list(zip(edges, edges[1:], strict=False)), agree)]
+    signed = [m - (1 << BITS) if m >> (BITS - 1) else m for m in masks]
+    parts = F.array(*[F.struct(F.lit(i).alias("i"), F.col("hash").bitwiseAND(F.lit(m)).alias("v")) for i, m in enumerate(signed)])
+    b = h.withColumn("part", F.explode(parts))
     left, right = b.alias("l"), b.alias("r")
-    same = (F.col("l.unit_type") == F.col("r.unit_type")) & (F.col("l.band") == F.col("r.band")) & (F.col("l.unit_id") < F.col("r.unit_id"))
+    same = (F.col("l.unit_type") == F.col("r.unit_type")) & (F.col("l.part") == F.col("r.part")) & (F.col("l.unit_id") < F.col("r.unit_id"))
     d = hamming(F.col("l.hash"), F.col("r.hash"))
     close = (d <= radius) & (F.least("l.tokens", "r.tokens") >= ratio * F.greatest("l.tokens", "r.tokens"))
     return left.join(right, same & close).select(F.col("l.unit_id").alias("left_id"), F.col("r.unit_id").alias("right_id"), d.alias("dist")).distinct()
@@ -68,8 +77,18 @@ def near_members(units: DataFrame, least_tokens: int = 12) -> DataFrame:
     With near_pairs these are all near duplicates: two units are near if their representatives are the same or a pair.
     One row for each collapsed unit, however large its group. Null types are no type, as in near_pairs.
     """
+    return _members(_hashed(units, least_tokens))
+
+
+def near_duplicates(units: DataFrame, radius: int = 2, least_tokens: int = 12, ratio: float = 0.9) -> DataFrame:
+    """near_pairs and near_members in one, of hashes taken once."""
+    h = settled(_hashed(units, least_tokens))
+    return _pairs(h, radius, ratio).unionByName(_members(h))
+
+
+def _members(h: DataFrame) -> DataFrame:
     key = ["unit_type", "hash", "tokens"]
-    h = _hashed(units, least_tokens).filter(F.col("unit_type").isNotNull())
+    h = h.filter(F.col("unit_type").isNotNull())
     low = h.groupBy(*key).agg(F.min("unit_id").alias("left_id"), F.max("unit_id").alias("_last")).filter("left_id < _last").drop("_last")
     return h.join(low, key).filter("unit_id > left_id").select("left_id", F.col("unit_id").alias("right_id"), F.lit(0).alias("dist")).distinct()
 

@@ -19,15 +19,15 @@ def test_near_dup_pairs_are_all_found(spark):
     """Against all pairs."""
     from pyspark.sql import functions as F
 
-    from talkgrain.functions.simhash import simhash
+    from talkgrain.functions.simhash import simhashes
 
-    rows = spark.read.parquet(f"{D}/documents.parquet").select("doc_id", "lang", simhash("text").alias("h")).collect()
+    rows = simhashes(spark.read.parquet(f"{D}/documents.parquet"), ["doc_id", "lang"], "text").collect()
     first = {}
     for r in sorted(rows, key=lambda r: r.doc_id):
-        if r.h.tokens >= 12:
-            first.setdefault((r.lang, r.h.hash, r.h.tokens), r)
+        if r.tokens >= 12:
+            first.setdefault((r.lang, r.hash, r.tokens), r)
     kept = list(first.values())
-    close = lambda a, b: a.lang == b.lang and bin((a.h.hash ^ b.h.hash) & (2**64 - 1)).count("1") <= 6 and min(a.h.tokens, b.h.tokens) >= 0.9 * max(a.h.tokens, b.h.tokens)
+    close = lambda a, b: a.lang == b.lang and bin((a.hash ^ b.hash) & (2**64 - 1)).count("1") <= 6 and min(a.tokens, b.tokens) >= 0.9 * max(a.tokens, b.tokens)
     want = {(a.doc_id, b.doc_id) for a in kept for b in kept if a.doc_id < b.doc_id and close(a, b)}
     from talkgrain.operators.corpus import near_pairs
 

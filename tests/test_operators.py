@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from talkgrain.functions import redact, scoring, times, urls
 from talkgrain.functions import text as tx
-from talkgrain.functions.simhash import simhash
+from talkgrain.functions.simhash import simhashes
 from talkgrain.operators import calls, corpus, latency, memory, retrieval
 
 C = F.col
@@ -175,7 +175,7 @@ def test_corpus(spark):
     assert best == {1: 2, 3: 1}
     base = "the quick brown fox jumps over the lazy dog again and again while the band plays on and the sun sets"
     n = spark.createDataFrame([(1, "faq", base), (2, "faq", base + "!"), (3, "policy", base), (4, "faq", "short"), (5, "faq", "an altogether different claim about fees that nobody would ever mistake for a fox in any way")], "unit_id long, unit_type string, answer string")
-    hashes = {r.unit_id: r.h for r in n.select("unit_id", simhash("answer").alias("h")).collect()}
+    hashes = {r.unit_id: r for r in simhashes(n, ["unit_id"], "answer").collect()}
     assert hashes[1].hash == hashes[2].hash and hashes[4].tokens == 1
     assert corpus.near_pairs(n).collect() == []  # equal hashes are one unit
     near = corpus.near_pairs(n, radius=63).collect()
@@ -217,8 +217,8 @@ def test_near_members_complete_near_pairs(spark):
     text = "the quick brown fox jumps over the lazy dog again and again while the band plays on and the sun sets"
     texts = [text, text + "!", text.replace(" and", ", and"), text + " late", text.upper(), "an altogether different claim about fees that nobody would ever mistake for a fox", "short", "short!", None]
     u = spark.createDataFrame([(i, t, x) for i, (t, x) in enumerate([("faq", x) for x in texts] + [("policy", text), ("policy", text + "?"), ("policy", text + "?"), (None, text), (None, text + "!")])], "unit_id long, unit_type string, answer string")
-    rows = u.select("unit_id", "unit_type", simhash("answer").alias("h")).collect()
-    near = lambda a, b: a.unit_type is not None and a.unit_type == b.unit_type and min(a.h.tokens, b.h.tokens) >= max(12, 0.9 * max(a.h.tokens, b.h.tokens)) and bin((a.h.hash ^ b.h.hash) & (2**64 - 1)).count("1") <= 2
+    rows = simhashes(u, ["unit_id", "unit_type"], "answer").collect()
+    near = lambda a, b: a.unit_type is not None and a.unit_type == b.unit_type and min(a.tokens, b.tokens) >= max(12, 0.9 * max(a.tokens, b.tokens)) and bin((a.hash ^ b.hash) & (2**64 - 1)).count("1") <= 2
     want = {(a.unit_id, b.unit_id) for a in rows for b in rows if a.unit_id < b.unit_id and near(a, b)}
     member = {r.right_id: r.left_id for r in corpus.near_members(u).collect()}
     linked = {(r.left_id, r.right_id) for r in corpus.near_pairs(u).collect()}
