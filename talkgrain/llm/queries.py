@@ -208,18 +208,14 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE["op5_suffix_dedup"] = r"""
 WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b, octet_length(encode(coalesce(text, ''))) AS n, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
-p AS (SELECT r, n, b, unnest(range(CAST(n AS BIGINT))) AS i FROM d),
-win AS (SELECT r, i, md5(b[i + 1 : i + 400]) AS h FROM p WHERE i + 400 <= n),
-rep AS (SELECT h FROM win GROUP BY h HAVING count(*) > 1),
-hit AS (SELECT r, i FROM win SEMI JOIN rep USING (h)),
-lines AS (SELECT p.r, p.i, p.b[p.i + 1 : p.i + 1] AS c, coalesce(max(hit.i) OVER (PARTITION BY p.r ORDER BY p.i) > p.i - 400, false) AS gone FROM p LEFT JOIN hit ON p.r = hit.r AND p.i = hit.i),
+p AS MATERIALIZED (SELECT r, i, b[i + 1 : i + 1] AS c, CASE WHEN i + 400 <= n THEN md5_number_lower(b[i + 1 : i + 400]) END AS h, CASE WHEN i + 400 <= n THEN hash(b[i + 1 : i + 400]) END AS k FROM (SELECT r, n, b, unnest(range(CAST(n AS BIGINT))) AS i FROM d)),
+rep AS (SELECT h, k FROM p WHERE h IS NOT NULL GROUP BY h, k HAVING count(*) > 1),
+lines AS (SELECT r, i, c, coalesce(max(CASE WHEN rep.h IS NOT NULL THEN i END) OVER (PARTITION BY r ORDER BY i) > i - 400, false) AS gone FROM p LEFT JOIN rep USING (h, k)),
 runs AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY r ORDER BY i), false) AS opens FROM lines),
 bytes AS (SELECT r, count(*) FILTER (WHERE gone) AS n_removed, count(*) FILTER (WHERE opens) AS n_spans, sha256(unhex(coalesce(string_agg(hex(c), '' ORDER BY i) FILTER (WHERE NOT gone), ''))) AS kept FROM runs GROUP BY r),
-x AS (SELECT r, w, len(w) AS n, unnest(range(1, len(w) + 1)) AS i FROM d),
-g AS (SELECT r, i, md5(array_to_string(w[i : i + 50], ' ')) AS h FROM x WHERE i + 50 <= n),
-gr AS (SELECT h FROM g GROUP BY h HAVING count(*) > 1),
-gh AS (SELECT r, i FROM g SEMI JOIN gr USING (h)),
-cov AS (SELECT x.r, count(*) FILTER (WHERE m) AS n FROM (SELECT x.r, coalesce(max(gh.i) OVER (PARTITION BY x.r ORDER BY x.i) > x.i - 51, false) AS m FROM x LEFT JOIN gh ON x.r = gh.r AND x.i = gh.i) x GROUP BY x.r)
+x AS MATERIALIZED (SELECT r, i, CASE WHEN i + 50 <= len(w) THEN md5(array_to_string(w[i : i + 50], ' ')) END AS h FROM (SELECT r, w, unnest(range(1, len(w) + 1)) AS i FROM d)),
+again AS (SELECT h FROM x WHERE h IS NOT NULL GROUP BY h HAVING count(*) > 1),
+cov AS (SELECT r, count(*) FILTER (WHERE m) AS n FROM (SELECT r, coalesce(max(CASE WHEN again.h IS NOT NULL THEN i END) OVER (PARTITION BY r ORDER BY i) > i - 51, false) AS m FROM x LEFT JOIN again USING (h)) GROUP BY r)
 SELECT d.doc_id, CAST(d.n AS BIGINT) AS n_bytes, coalesce(bytes.n_removed, 0) AS n_removed, coalesce(bytes.n_spans, 0) AS n_spans, coalesce(bytes.kept, sha256('')) AS kept_sha256, coalesce(cov.n, 0) AS n_passage_words
 FROM d LEFT JOIN bytes USING (r) LEFT JOIN cov USING (r)
 """
