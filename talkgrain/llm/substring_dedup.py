@@ -86,6 +86,7 @@ def repeats(docs: DataFrame, scratch: Scratch, window: int = WINDOW, gram: int =
     # Runs that are the first of their kind, but not the only ones with their seed: extend by single windows.
     open_ = found.filter("not gone").groupBy("k", "th").agg(F.collect_list(F.struct("s", "w")).alias("runs"))
     single = scratch.write(_windows(d.join(open_, ["k", "th"]), window), "windows")
+    scratch.drop()  # the shuffled texts
     first = scratch.write(single.groupBy("d", "e").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).filter("lo < hi").select("d", "e", "lo"), "first")
     late = single.join(first, ["d", "e"]).filter("k > lo").select("k", "th", F.col("s").alias("a"), (F.col("s") + window).alias("b"))
     late = scratch.write(late, "late")
