@@ -272,3 +272,39 @@ cnt AS (SELECT a, CAST(sum(copies) AS BIGINT) AS add FROM pair GROUP BY a)
 SELECT s.doc_id, coalesce(cnt.add, 0) + rep.copies - 1 AS n_links, least(rep.rep, coalesce(low.b, rep.rep)) AS class_id
 FROM s JOIN rep ON rep.h = md5(array_to_string(s.g, '|')) LEFT JOIN cnt ON cnt.a = rep.rep LEFT JOIN low ON low.a = rep.rep
 """
+
+
+@query
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from talkgrain.llm.common import Scratch
+    from talkgrain.llm.importance import resample
+
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), Scratch(spark, "op11"))
+
+
+ORACLE["op11_importance"] = r"""
+WITH t AS (SELECT list_transform(range(256), lambda x: list_reduce(list_prepend(x, [0, 0, 0, 0, 0, 0, 0, 0]), lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+x AS (SELECT row_number() OVER () AS r, doc_id, text, true AS raw FROM documents UNION ALL SELECT -row_number() OVER (), NULL, text, false FROM benchmark),
+w AS (SELECT r, doc_id, raw, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM x),
+f AS (SELECT r, raw, unnest(w) AS w FROM w),
+h AS (SELECT w, hex(encode(w)) AS h FROM (SELECT DISTINCT w FROM f)),
+b AS (SELECT w, xor(list_reduce(list_prepend(4294967295, list_transform(range(len(h) // 2), lambda i: CAST('0x' || h[2 * i + 1 : 2 * i + 2] AS BIGINT))),
+             lambda c, y: xor(c >> 8, t.t[(xor(c, y) & 255) + 1])), 4294967295) % 10000 AS bucket FROM h, t),
+c AS (SELECT bucket, count(*) FILTER (WHERE raw) AS s, count(*) FILTER (WHERE NOT raw) AS t FROM f JOIN b USING (w) GROUP BY bucket),
+g AS (SELECT bucket, CAST(floor(1000 * ln((CAST(t AS DOUBLE) + 1) * (sum(s) OVER () + 10000) / ((CAST(s AS DOUBLE) + 1) * (sum(t) OVER () + 10000)))) AS BIGINT) AS gain FROM c),
+q AS (SELECT r, CAST(sum(gain) AS BIGINT) AS weight FROM f JOIN b USING (w) JOIN g USING (bucket) GROUP BY r),
+d AS (SELECT w.r, w.doc_id, CAST(len(w.w) AS BIGINT) AS n_features, coalesce(q.weight, 0) AS weight,
+             coalesce(q.weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || left(sha256('2024:' || doc_id), 8) AS BIGINT) + 0.5) / 4294967296))) AS BIGINT) AS score
+      FROM w LEFT JOIN q USING (r) WHERE raw),
+k AS (SELECT *, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS n FROM d WHERE n_features >= 20)
+SELECT d.doc_id, d.n_features, d.weight, d.score, CASE WHEN k.rank <= 10 * k.n // 100 THEN k.rank END AS rank FROM d LEFT JOIN k USING (r)
+"""
+
+
+@query
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tested against a plain eigendecomposition: SQL can't express the rotations."""
+    from talkgrain.llm.common import Scratch
+    from talkgrain.llm.whitening import whitened
+
+    return whitened(table(spark, sf_dir, "embeddings"), Scratch(spark, "op13"))
