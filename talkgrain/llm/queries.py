@@ -308,3 +308,12 @@ def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     from talkgrain.llm.whitening import whitened
 
     return whitened(table(spark, sf_dir, "embeddings"), Scratch(spark, "op13"))
+
+
+@query
+def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tested against a plain search and a plain estimate: SQL can't express the labelers' model."""
+    from talkgrain.llm.common import Scratch
+    from talkgrain.llm.pii import personal_data
+
+    return personal_data(table(spark, sf_dir, "documents"), Scratch(spark, "op12"))
