@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 
 from talkgrain.functions import scoring as sc
 from talkgrain.functions import text as tx
+from talkgrain.operators.text_index import TextIndex
 
 CANDIDATES = 30
 
@@ -25,14 +26,17 @@ def postings(units: DataFrame, unit_id: str, text: Column) -> DataFrame:
     return units.select(unit_id, F.explode(t).alias("term")).groupBy(unit_id, "term").agg(F.count("*").alias("tf"))
 
 
-def lexical(queries: DataFrame, units: DataFrame, query_id: str, query: Column, unit_id: str, text: Column, n: int = CANDIDATES, tie: list[Column] | None = None) -> DataFrame:
+def lexical(queries: DataFrame, units: DataFrame, query_id: str, query: Column, unit_id: str, text: Column, n: int = CANDIDATES, tie: list[Column] | None = None, index: TextIndex | None = None) -> DataFrame:
     """query_id, unit_id, rank, lex_pos: the units with any of a query's telling terms, by matching occurrences.
 
-    An equi-join of query terms with postings: work follows matches, not queries times units.
+    An equi-join of query terms with postings: work follows matches, not queries times units. With an index of the units their texts aren't read.
     """
     q = queries.select(query_id, F.explode(tx.telling_terms(query)).alias("term"))
     wanted = q.select("term").distinct()
-    p = postings(units, unit_id, text).join(wanted, "term", "left_semi")
+    if index is None:
+        p = postings(units, unit_id, text).join(wanted, "term", "left_semi")
+    else:
+        p = index.postings(wanted).withColumnRenamed("unit", unit_id)
     scored = q.join(p, "term").groupBy(query_id, unit_id).agg(sc.lexical_rank(F.sum("tf")).alias("rank"))
     if tie:
         scored = scored.join(units.select(unit_id, *[t.alias(f"_tie{i}") for i, t in enumerate(tie)]), unit_id)
@@ -48,12 +52,12 @@ def dense(probes: DataFrame, vectors: DataFrame, query_id: str, unit_id: str, n:
     """query_id, unit_id, similarity, dense_pos: exact nearest vectors of each probe by cosine.
 
     probes: a stated set of query vectors (query_id, probe), dealt to all tasks in blocks of about `block`; each task ranks its vectors and
-    passes on n a probe. Probes of a length that no vector has, null and zero ones find nothing.
+    passes on n a probe. Probes of a length that no vector has, null and zero ones find nothing, and such vectors aren't found.
     """
     norm = lambda c: F.sqrt(sc.dot(F.col(c), F.col(c)))
-    few = probes.select(query_id, "probe", norm("probe").alias("_np"))  # norms once a vector, not once a pair
+    few = probes.select(query_id, "probe", norm("probe").alias("_np")).filter("_np > 0")  # norms once a vector, not once a pair
     blocks = -(-few.count() // block) or 1
-    every = vectors.select(unit_id, "embedding", norm("embedding").alias("_nv"))
+    every = vectors.select(unit_id, "embedding", norm("embedding").alias("_nv")).filter("_nv > 0")
 
     def searched(part: DataFrame) -> DataFrame:
         pairs = every.join(F.broadcast(part), F.size("embedding") == F.size("probe"))

@@ -64,8 +64,8 @@ def tool_outcomes(starts: DataFrame, results: DataFrame) -> DataFrame:
 
 
 def event_time(processed: Column, frame_age_ms: Column, stop_ms: Column) -> Column:
-    """When it happened, in microseconds: when it was processed, less the frame's age and the silence waited for."""
-    return micros(processed) - ((F.coalesce(frame_age_ms, F.lit(0.0)) + F.coalesce(stop_ms, F.lit(0.0))) * 1000).cast("long")
+    """When it happened, in microseconds: when it was processed, less the frame's age and the silence waited for, rounded to whole microseconds."""
+    return micros(processed) - F.round((F.coalesce(frame_age_ms, F.lit(0.0)) + F.coalesce(stop_ms, F.lit(0.0))) * 1000).cast("long")
 
 
 def recording_state(log: DataFrame, key: str = "recording_id") -> DataFrame:

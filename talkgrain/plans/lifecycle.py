@@ -108,7 +108,7 @@ def tool_pairs(spark, d):
     return p.select("tool_call_id", "status", F.when(F.col("ended_at").isNotNull(), F.col("duration_ms")).alias("duration_ms"))
 
 
-@query("""SELECT event_id, epoch_us(ts) - CAST((value + CASE WHEN event_type = 'view' THEN 200 ELSE 0 END) * 1000 AS BIGINT) AS at FROM events""")
+@query("""SELECT event_id, epoch_us(ts) - CAST(round((value + CASE WHEN event_type = 'view' THEN 200 ELSE 0 END) * 1000) AS BIGINT) AS at FROM events""")
 def corrected_event_time(spark, d):
     stop = F.when(F.col("event_type") == "view", 200.0)
     return table(spark, d, "events").select("event_id", transcripts.event_time(F.col("ts"), F.col("value"), stop).alias("at"))

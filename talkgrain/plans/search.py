@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from talkgrain.functions import text as tx
 from talkgrain.operators import retrieval
+from talkgrain.plans.indexes import document_index
 from talkgrain.plans.registry import query
 from talkgrain.session import table
 
@@ -34,14 +35,14 @@ lex AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER B
 
 @query(f"WITH {_LEXICAL} SELECT item_id, doc_id, rank, lex_pos AS pos FROM lex")
 def lexical_topk(spark, d):
-    out = retrieval.lexical(table(spark, d, "benchmark"), table(spark, d, "documents"), "item_id", F.col("text"), "doc_id", F.col("text"))
+    out = retrieval.lexical(table(spark, d, "benchmark"), table(spark, d, "documents"), "item_id", F.col("text"), "doc_id", F.col("text"), index=document_index(spark, d))
     return out.select("item_id", "doc_id", "rank", F.col("lex_pos").cast("long").alias("pos"))
 
 
 def _search(spark, d):
     """Scored candidates. An item's vector is the embedding of its id, a document's likewise; authority is 1 + doc_id mod 5."""
     docs, items, e = table(spark, d, "documents"), table(spark, d, "benchmark"), table(spark, d, "embeddings")
-    lex = retrieval.lexical(items, docs, "item_id", F.col("text"), "doc_id", F.col("text"))
+    lex = retrieval.lexical(items, docs, "item_id", F.col("text"), "doc_id", F.col("text"), index=document_index(spark, d))
     known = e.join(docs.select(F.col("doc_id").alias("vec_id")), "vec_id", "left_semi").select(F.col("vec_id").alias("doc_id"), "embedding")
     probes = e.join(items.select(F.col("item_id").alias("vec_id")), "vec_id", "left_semi").select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("probe"))
     vec = retrieval.dense(probes, known, "item_id", "doc_id")

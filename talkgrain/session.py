@@ -54,3 +54,36 @@ def ship(spark: SparkSession) -> None:
             z.write(f, str(Path(package.name) / f.relative_to(package)))
     sc.addPyFile(str(archive))
     sc._talkgrain_shipped = sc.applicationId
+
+
+def _file(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    p, fs = _file(spark, path)
+    return fs.exists(p)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    p, fs = _file(spark, path)
+    fs.delete(p, True)
+
+
+def rename(spark: SparkSession, path: str, to: str) -> None:
+    p, fs = _file(spark, path)
+    if not fs.rename(p, _file(spark, to)[0]):
+        raise OSError(f"{path} could not be moved to {to}")
+
+
+def kept_table(spark: SparkSession, sf_dir: str, table_: str, name: str, build) -> str:
+    """The folder that build(path) fills once a session and state of a table: it is built in a folder of its own and then moved, so that no reader sees half of it."""
+    files = spark.read.parquet(f"{sf_dir}/{table_}.parquet").select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
+    state = files.selectExpr("bit_xor(xxhash64(file_path, file_size, file_modification_time)) AS s").first()["s"] or 0
+    path = f"{shared_dir(spark)}/{name}-{spark.sparkContext.applicationId}-{state & (2**64 - 1):016x}"
+    if not exists(spark, path):
+        own = f"{path}.{uuid.uuid4().hex}"
+        build(own)
+        rename(spark, own, path)
+    return path

@@ -12,7 +12,8 @@ D = "/root/testdata/sf0.001"
 
 
 def plain(v):
-    if isinstance(v, bool) or v is None or isinstance(v, str):
+    """Whole numbers, texts, dates and truth values as they are; fractions to nine digits."""
+    if v is None or isinstance(v, bool | int | str):
         return v
     if hasattr(v, "isoformat"):
         return v.isoformat().replace("+00:00", "")
