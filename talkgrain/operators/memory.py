@@ -105,3 +105,26 @@ def marked(messages: DataFrame, key: str, order: str, marker: str) -> DataFrame:
     """key, summary: of the first user message that opens with the marker what follows it."""
     m = messages.filter((F.col("role") == "user") & F.col("text").startswith(marker))
     return m.groupBy(key).agg(F.min_by(F.trim(F.substring("text", len(marker) + 1, 1_000_000_000)), order).alias("summary"))
+
+
+def within_budget(messages: DataFrame, key: str, order: str, chars: int, lead: str = "developer", told: int = 24) -> DataFrame:
+    """The rows (key, order, role, content) that a budget of characters holds for each key: those of the leading role first, then the newest others.
+
+    Of rows that say the same, case and white space apart, the first in that order counts; a row of `told` characters or more that the leading rows say
+    already goes, as do empty ones. The row that crosses the budget is cut. Rows are numbered from both ends by running lengths, so no key's rows are
+    gathered in a list.
+    """
+    squeezed = lambda c: F.lower(F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " ")))
+    m = messages.select(key, order, "role", "content").withColumn("_norm", squeezed(F.col("content"))).filter("_norm <> ''").withColumn("_lead", F.coalesce(F.col("role") == lead, F.lit(False)))
+    place = [F.when(F.col("_lead"), F.col(order)).asc(), F.col(order).desc(), F.col("content")]
+    once = m.withColumn("_nth", F.row_number().over(W.partitionBy(key, "_norm").orderBy(F.col("_lead").desc(), *place))).filter("_nth = 1").drop("_nth")
+    length = F.length("content")
+
+    def cut(rows: DataFrame, by: list, used) -> DataFrame:
+        before = F.sum(length).over(W.partitionBy(key).orderBy(*by, "content").rowsBetween(W.unboundedPreceding, 0)) - length + used
+        return rows.withColumn("_before", before).filter(F.col("_before") < chars).withColumn("content", F.left("content", (chars - F.col("_before")).cast("int")))
+
+    first = cut(once.filter("_lead"), [F.col(order).asc()], F.lit(0)).select(key, order, "role", "content")
+    said = first.groupBy(key).agg(F.sum(length).alias("_used"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, "content"))), lambda s: squeezed(s["content"])), " ").alias("_said"))
+    rest = once.filter("not _lead").join(said, key, "left").filter(~((F.length("_norm") >= told) & F.contains(F.coalesce("_said", F.lit("")), F.col("_norm"))))
+    return first.unionByName(cut(rest, [F.col(order).desc()], F.coalesce("_used", F.lit(0))).select(key, order, "role", "content"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from talkgrain.functions import facts, redact, rules, speech, urls
+from talkgrain.functions import facts, redact, rules, spans, speech, urls
 from talkgrain.functions import text as tx
 from talkgrain.operators import corpus, knowledge, memory, tables
 from talkgrain.plans.registry import query
@@ -283,7 +283,7 @@ def spoken_digits(spark, d):
 def spoken_addresses(spark, d):
     k = F.col("c_custkey")
     said = F.when(k % 3 == 0, F.concat(F.lit("write to user"), k, F.lit(" at example dot com"))).when(k % 3 == 1, F.concat(F.lit("it is USER"), k, F.lit("@Example.com please"))).otherwise(F.concat(F.lit("a@b.com or c@d.com "), k))
-    return table(spark, d, "customer").select("c_custkey", speech.spoken_email_udf(said).alias("address"))
+    return table(spark, d, "customer").select("c_custkey", spans.only_value(spans.addresses(said)).alias("address"))
 
 
 @query("""WITH x AS (SELECT c_custkey, replace(c_name, 'Customer#', '') AS n FROM customer)

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from talkgrain.functions import facts
-from talkgrain.operators import tables
+from talkgrain.operators import memory, tables
 
 C = F.col
 
@@ -32,10 +32,10 @@ def test_json(spark):
 
 def test_budget(spark):
     ms = [{"role": "developer", "content": "You know that the customer likes green tea."}, {"role": "user", "content": "hi"}, {"role": "user", "content": "the customer likes green tea."}, {"role": "assistant", "content": "Hello there"}, {"role": "user", "content": "hello  THERE"}]
-    got = facts.budgeted(ms, 54)
-    assert [m["content"] for m in got] == [ms[0]["content"], "hello  THE"[:11]] or [m["role"] for m in got] == ["developer", "user"]
-    df = spark.createDataFrame([([(m["role"], m["content"]) for m in ms],), (None,)], "m array<struct<role:string,content:string>>")
-    assert [len(r[0]) for r in df.select(facts.budgeted_udf(1000)("m")).collect()] == [3, 0]
+    df = spark.createDataFrame([(1, i, m["role"], m["content"]) for i, m in enumerate(ms)] + [(2, 0, "user", None), (2, 1, None, "x")], "k int, o int, role string, content string")
+    got = sorted((r.k, r.o, r.content) for r in memory.within_budget(df, "k", "o", 54).collect())
+    assert got == [(1, 0, ms[0]["content"]), (1, 4, "hello  THERE"[: 54 - len(ms[0]["content"])]), (2, 1, "x")]
+    assert sorted((r.k, r.o) for r in memory.within_budget(df, "k", "o", 1000).collect()) == [(1, 0), (1, 1), (1, 4), (2, 1)]
     hits = [{"title": "T", "source": "s", "score": 0.5, "answer": "a" * 500}] * 3
     cut = facts.context_lines(hits, 200, 600, lambda t, n: t[:n])
     assert len(cut) <= 600 and cut.startswith("[1] T | source=s | score=0.500\naaa") and "[3]" in cut

@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from talkgrain.functions import spans
 from talkgrain.functions import speech as sp
 
 
@@ -51,8 +52,9 @@ def test_digits(spark):
         ("my email is kim at uh the domain example point co dot in", "kim@example.co.in"),
     ],
 )
-def test_email(said, address):
-    assert sp.spoken_email(said) == address
+def test_email(spark, said, address):
+    df = spark.createDataFrame([(said,)], "t string")
+    assert df.select(spans.only_value(spans.addresses(F.col("t")))).first()[0] == address
 
 
 #: A form of the test's own.
