@@ -20,6 +20,8 @@ from talkgrain.llm.common import Scratch, components
 
 #: Vectors of a tile. A vector is read once for each tile that its own meets; two tiles of 64 doubles a vector are 8 MB.
 TILE = 8192
+#: So many tiles at least, where there are vectors enough, so that their pairs are tasks for all cores.
+TILES = 6
 AXES = 4
 SLACK = 1e-9
 
@@ -76,6 +78,7 @@ def _placed(reps: DataFrame, axes: np.ndarray, scratch: Scratch, tile: int) -> t
             yield pa.RecordBatch.from_arrays([b.column("rep"), b.column("n"), b.column("v"), pa.array(list(y), pa.list_(pa.float64()))], names=["rep", "n", "v", "y"])
 
     n = reps.count()
+    tile = min(tile, max(1024, -(-n // TILES)))
     rot = reps.select("rep", "n", "v").mapInArrow(rotate, f"rep long, n long, v {dict(reps.dtypes)['v']}, y array<double>")
     # Cells: the same number of quantile bins along each leading axis, some tiles a cell at most.
     bins = max(1, round((n / tile) ** (1 / lead)))
@@ -105,14 +108,13 @@ def _tile_pairs(boxes: DataFrame, lead: int, radius: float) -> DataFrame:
     return near.select(F.least("a.tile", "b.tile").alias("p"), F.greatest("a.tile", "b.tile").alias("q")).distinct()
 
 
-def compare(x: np.ndarray, y: np.ndarray, axes: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of rows of x and y whose cosine is at least `least`."""
+def compared(x: np.ndarray, y: np.ndarray, axes: np.ndarray, least: float):
+    """Index pairs of rows of x and y whose cosine is at least `least`, in portions of at most 200,000 pairs, so that none but these are held."""
     ux, uy = _unit(x), _unit(y)
     rx, ry = ux @ axes, uy @ axes
     dim, step = x.shape[1], 512
     tail = lambda r: np.sqrt(np.maximum(0, np.cumsum((r * r)[:, ::-1], axis=1)[:, ::-1]))
     tx, ty = (np.concatenate([tail(r), np.zeros((len(r), 1))], axis=1) for r in (rx, ry))
-    out_i, out_j = [], []
     for lo in range(0, len(x), step):
         at, done = slice(lo, lo + step), 0
         acc = np.zeros((len(rx[at]), len(ry)))
@@ -137,15 +139,19 @@ def compare(x: np.ndarray, y: np.ndarray, axes: np.ndarray, least: float) -> tup
             vx, vy = _scaled(x[at][p]), _scaled(y[q])
             cos = (vx * vy).sum(axis=1) / (np.sqrt((vx * vx).sum(axis=1)) * np.sqrt((vy * vy).sum(axis=1)))
             ok = cos >= least
-            out_i.append(p[ok] + lo)
-            out_j.append(q[ok])
+            yield p[ok] + lo, q[ok]
+
+
+def compare(x: np.ndarray, y: np.ndarray, axes: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs at once."""
+    parts = [*compared(x, y, axes, least)]
     z = np.zeros(0, np.int64)
-    return np.concatenate(out_i or [z]), np.concatenate(out_j or [z])
+    return tuple(np.concatenate([z, *(p[k] for p in parts)]) for k in (0, 1))
 
 
-def forest(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
-    """For each of n nodes the smallest node that links (i, j) reach from it."""
-    label = np.arange(n)
+def forest(i: np.ndarray, j: np.ndarray, n: int, label: np.ndarray | None = None) -> np.ndarray:
+    """For each of n nodes the smallest node that links (i, j) reach from it; label: what earlier links reach."""
+    label = np.arange(n) if label is None else label
     while len(i):
         low = np.minimum(label[i], label[j])
         new = label.copy()
@@ -171,7 +177,9 @@ def links(vectors: DataFrame, scratch: Scratch, least: float = 0.95, tile: int =
     vec_id are vectors of their own and link if they reach the threshold. Rows without vec_id are dropped. least must be above 0.
     """
     v = scratch.write(vectors.filter("vec_id is not null").select(F.col("vec_id").cast("long").alias("vec_id"), F.when(usable(F.col("embedding")), F.col("embedding")).alias("v")), "vectors")
-    reps = scratch.write(v.filter("v is not null").groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")), "reps")
+    # Distinct vectors are numbered, as two of them may have the same vec_id.
+    reps = v.filter("v is not null").groupBy("v").agg(F.min("vec_id").alias("low"), F.count("*").alias("n"))
+    reps = scratch.write(reps.withColumn("rep", F.monotonically_increasing_id()), "reps")
     found = None
     for (dim,) in reps.select(F.size("v").alias("d")).distinct().collect():  # lengths of vectors, one as a rule
         one = _links_of(reps.filter(F.size("v") == dim), dim, scratch, least, tile)
@@ -181,9 +189,10 @@ def links(vectors: DataFrame, scratch: Scratch, least: float = 0.95, tile: int =
     found = scratch.write(found, "links")
     count = found.groupBy("rep").agg(F.sum("add").alias("add"))
     edges = found.filter("rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b"))
-    comp = components(edges, scratch)
-    rep = reps.join(count, "rep", "left").join(comp.withColumnRenamed("node", "rep"), "rep", "left")
-    rep = scratch.write(rep.select("v", F.col("n").alias("copies"), F.coalesce("add", F.lit(0)).alias("add"), F.coalesce("component", "rep").alias("component_id")), "result")
+    comp = components(edges, scratch).withColumnRenamed("node", "rep")
+    small = scratch.write(comp.join(reps.select("rep", "low"), "rep").groupBy("component").agg(F.min("low").alias("smallest")), "smallest")
+    rep = reps.join(count, "rep", "left").join(comp, "rep", "left").join(small, "component", "left")
+    rep = scratch.write(rep.select("v", F.col("n").alias("copies"), F.coalesce("add", F.lit(0)).alias("add"), F.coalesce("smallest", "low").alias("component_id")), "result")
     out = v.join(rep.withColumnRenamed("v", "w"), F.col("v") == F.col("w"), "left")
     out = out.select("vec_id", F.coalesce(F.col("add") + F.col("copies") - 1, F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.col("vec_id") == F.col("component_id"))
@@ -204,14 +213,15 @@ def _links_of(reps: DataFrame, dim: int, scratch: Scratch, least: float, tile: i
         order = np.argsort(rep, kind="stable")  # so that the forest's roots are smallest
         rep, n, v, mine = rep[order], n[order], v[order], mine[order]
         a, b = np.flatnonzero(mine), np.flatnonzero(mine if same else ~mine)
-        i, j = compare(v[a], v[b], axes, least)
-        i, j = a[i], b[j]
-        if same:
-            i, j = i[i < j], j[i < j]
-        add = np.zeros(len(rep), np.int64)
-        np.add.at(add, i, n[j])
-        np.add.at(add, j, n[i])
+        add, label = np.zeros(len(rep), np.int64), np.arange(len(rep))
+        for i, j in compared(v[a], v[b], axes, least):
+            i, j = a[i], b[j]
+            if same:
+                i, j = i[i < j], j[i < j]
+            np.add.at(add, i, n[j])
+            np.add.at(add, j, n[i])
+            label = forest(i, j, len(rep), label)
         hit = add > 0
-        return pa.table({"rep": rep[hit], "add": add[hit], "root": rep[forest(i, j, len(rep))[hit]]})
+        return pa.table({"rep": rep[hit], "add": add[hit], "root": rep[label[hit]]})
 
     return rows.groupBy("p", "q").applyInArrow(task, "rep long, add long, root long")

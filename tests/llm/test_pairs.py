@@ -153,3 +153,35 @@ def test_embedding_links_of_huge_and_tiny_components(spark):
     v = [(1, [1e200, 1e200]), (2, [1e200, 1.0001e200]), (3, [1e-200, 1e-200]), (4, [1.0, -1.0]), (5, [1e308, -1e308])]
     got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in rows(links(spark.createDataFrame(v, "vec_id long, embedding array<double>"), Scratch(spark, "t")))}
     assert got == {1: (2, 1), 2: (2, 1), 3: (2, 1), 4: (1, 4), 5: (1, 4)}
+
+
+def test_embedding_links_where_ids_repeat(spark):
+    """Vectors of one id are vectors of their own."""
+    kind = "vec_id long, embedding array<double>"
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in [(1, "100"), (1, "010"), (2, [1, 0.01, 0]), (3, [0.01, 1, 0]), (1, "001"), (7, "002")]], kind)
+    got = sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in rows(links(df, Scratch(spark, "t"))))
+    assert got == [(1, 1, 1), (1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 1, 1), (7, 1, 1)]
+    rng = np.random.default_rng(6)
+    v = rng.normal(size=(12, 3))[rng.integers(0, 12, 90)] + rng.normal(size=(90, 3)) * 0.1
+    v[80:] = v[:10]
+    ids = rng.integers(0, 40, 90).tolist()
+    u = v / np.sqrt((v * v).sum(axis=1, keepdims=True))
+    pairs = [(i, j) for i in range(90) for j in range(i) if u[i] @ u[j] >= 0.95]
+    root = labels(90, pairs)
+    low = {r: min(i for i, x in zip(ids, root, strict=True) if x == r) for r in root}
+    want = sorted((ids[k], sum(k in p for p in pairs), low[root[k]]) for k in range(90))
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in zip(ids, v, strict=True)], kind)
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in rows(links(df, Scratch(spark, "t"), tile=20))) == want
+
+
+def test_links_of_a_full_tile_are_not_held():
+    """All vectors linked: portions stay small, and the forest takes them one by one."""
+    from talkgrain.llm.embedding_dedup import compared
+
+    x = np.random.default_rng(1).normal(size=(1, 6)) + np.random.default_rng(2).normal(size=(1500, 6)) * 1e-3
+    label, n = np.arange(1500), 0
+    for i, j in compared(x, x, np.eye(6), 0.95):
+        assert len(i) <= 200_000
+        n += len(i)
+        label = forest(i, j, 1500, label)
+    assert n == 1500 * 1500 and not label.any()
