@@ -135,3 +135,17 @@ def scored(documents: DataFrame) -> DataFrame:
     floors = {"heading": 0.8, "numeric": 0.9, "text": 0.55, "unique": 0.7}
     warnings = F.array_compact(F.array(*[F.when(F.col(f"_{k}") < f, k) for k, f in floors.items()]))
     return documents.withColumn("quality", F.round(F.least(F.lit(1.0), quality), 4)).withColumn("warnings", warnings).drop(*[f"_{k}" for k in cover])
+
+
+def best_documents(pages: DataFrame, page_id: str = "page_id") -> DataFrame:
+    """Each page's document by the extractor whose result is best: by quality, then headings, then length, then the name. Pages need distinct page_ids."""
+    from functools import reduce
+
+    from talkgrain.sources.html import EXTRACTORS, page_documents
+
+    each = [scored(page_documents(pages, page_id, e)).withColumn("extractor", F.lit(e)) for e in sorted(EXTRACTORS)]
+    rows = reduce(DataFrame.unionByName, each)
+    length = F.aggregate("blocks", F.lit(0), lambda n, b: n + F.length(b["text"]))
+    order = F.struct("quality", F.size("headings").alias("h"), length.alias("n"), "extractor")
+    best = rows.groupBy(page_id).agg(F.max_by(F.struct(*[c for c in rows.columns if c != page_id]), order).alias("d"))
+    return best.select(page_id, "d.*")

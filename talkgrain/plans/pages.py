@@ -129,3 +129,9 @@ array_to_string(list_slice(string_split(trim(regexp_replace(coalesce(text, ''),
 def safe_metadata(spark, d):
     t = F.col("text")
     return table(spark, d, "documents").select("doc_id", tx.safe_metadata(t).alias("meta"), tx.title_of(t).alias("title"))
+
+
+@query()
+def page_extractors(spark, d):
+    """Which way of finding a page's content is best, and what it gives. Held against literal pages in the tests: SQL has no HTML parser."""
+    return chunking.best_documents(table(spark, d, "pages")).select("page_id", "extractor", "quality", F.size("blocks").cast("long").alias("n_blocks"))

@@ -13,6 +13,7 @@ from dataclasses import dataclass, field
 from html.parser import HTMLParser
 from urllib.parse import urljoin, urlsplit
 
+import ahocorasick
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -146,6 +147,17 @@ def table_records(markdown: str) -> list[str]:
     return [t for t in texts if t]
 
 
+def contained(patterns: set[str], texts: list[str]) -> list[set[str]]:
+    """The patterns that each text contains, itself included: one automaton of all patterns reads each text once, however many patterns there are."""
+    machine = ahocorasick.Automaton()
+    for p in patterns - {""}:
+        machine.add_word(p, p)
+    if not len(machine):
+        return [set() for _ in texts]
+    machine.make_automaton()
+    return [{p for _, p in machine.iter(t)} for t in texts]
+
+
 def once(blocks: list[dict]) -> list[dict]:
     """Without repeats, and without blocks (headings apart) of 15 characters or more that another block contains."""
     seen, left = set(), []
@@ -155,17 +167,51 @@ def once(blocks: list[dict]) -> list[dict]:
             seen.add(k)
             left.append((k[1], b))
     bodies = [k for k, b in left if b["kind"] != "heading"]
-    inside = lambda k: len(k) >= 15 and any(k != o and k in o for o in bodies)
-    return [b for k, b in left if b["kind"] == "heading" or not inside(k)]
+    inside = {k for o, found in zip(bodies, contained({k for k in bodies if len(k) >= 15}, bodies), strict=True) for k in found if k != o}
+    return [b for k, b in left if b["kind"] == "heading" or k not in inside]
+
+
+def main_root(top: Node) -> Node:
+    """The longest main or article element, else the body."""
+    roots = [n for n in top.walk() if n.tag in ("main", "article") or n.attrs.get("role") == "main"]
+    return max(roots, key=lambda n: len(n.text()), default=None) or next((n for n in top.walk() if n.tag == "body"), top)
+
+
+#: Elements that may hold a page's content, and those whose text never is.
+HOLDERS = {"body", "div", "section", "article", "main", "td", "center"}
 
 
-def semantic_blocks(page: str | None, url: str | None) -> dict:
-    """title, visible text, headings and blocks of the page's main content."""
+def densest_root(top: Node) -> Node:
+    """The element whose children hold the densest text: characters outside of links for each element, less for a large share of links.
+
+    One pass from the leaves up; a holder's score is the sum of its own text and its children's densities, so that a column of paragraphs wins over any one of them and over the
+    page around it, whose other children add little.
+    """
+    order, dropped = [], set()
+    for n in top.walk():
+        if n.tag in DROPPED or id(n.up) in dropped:
+            dropped.add(id(n))
+        else:
+            order.append(n)
+    chars, linked, tags, score = {}, {}, {}, {}
+    for n in reversed(order):  # children before their parents
+        own = sum(len(c.strip()) for c in n.inner if isinstance(c, str))
+        inner = [c for c in n.inner if isinstance(c, Node) and id(c) not in dropped]
+        chars[id(n)] = own + sum(chars[id(c)] for c in inner)
+        linked[id(n)] = chars[id(n)] if n.tag == "a" else sum(linked[id(c)] for c in inner)
+        tags[id(n)] = 1 + sum(tags[id(c)] for c in inner)
+        density = lambda c: (chars[id(c)] - linked[id(c)]) ** 2 / max(1, chars[id(c)]) / tags[id(c)]
+        score[id(n)] = own + sum(map(density, inner))
+    best = max((n for n in reversed(order) if n.tag in HOLDERS), key=lambda n: score[id(n)], default=None)  # of equals the innermost
+    return best or next((n for n in order if n.tag == "body"), top)
+
+
+def semantic_blocks(page: str | None, url: str | None, choose=main_root) -> dict:
+    """title, visible text, headings and blocks of the page's main content: what is in the element that `choose` finds."""
     top, base = tree(page), url or ""
     meta = {n.attrs.get("property") or n.attrs.get("name"): _space(n.attrs.get("content", "")) for n in top.walk() if n.tag == "meta"}
     title = meta.get("og:title") or meta.get("twitter:title") or next((_space(n.text()) for n in top.walk() if n.tag == "title"), None) or None
-    roots = [n for n in top.walk() if n.tag in ("main", "article") or n.attrs.get("role") == "main"]
-    root = max(roots, key=lambda n: len(n.text()), default=None) or next((n for n in top.walk() if n.tag == "body"), top)
+    root = choose(top)
     for n in root.walk():
         n.inner = [c for c in n.inner if isinstance(c, str) or c.tag not in DROPPED]
     visible = _space(root.text())
@@ -259,8 +305,9 @@ def merge(blocks: list[dict], records: list[dict]) -> list[dict]:
     if not records:
         return blocks
     answers = {k for r in records if r["kind"] != "heading" and len(k := _key(r["text"])) >= 20}
-    covered = lambda k: k in answers or sum(a in k for a in answers) > 1
-    return once([*(b for b in blocks if b["kind"] == "heading" or not covered(_key(b["text"]))), *records])
+    keys = [_key(b["text"]) for b in blocks]
+    covered = [k in answers or len(found) > 1 for k, found in zip(keys, contained(answers, keys), strict=True)]
+    return once([*(b for b, c in zip(blocks, covered, strict=True) if b["kind"] == "heading" or not c), *records])
 
 
 def markdown_blocks(text: Column) -> Column:
@@ -295,8 +342,13 @@ def to_markdown(blocks: Column) -> Column:
     return F.array_join(F.filter(F.transform(blocks, one), lambda x: F.trim(x) != ""), "\n\n")
 
 
-def page_documents(pages: DataFrame, page_id: str = "page_id") -> DataFrame:
+#: Ways to find a page's content.
+EXTRACTORS = {"semantic": main_root, "density": densest_root}
+
+
+def page_documents(pages: DataFrame, page_id: str = "page_id", extractor: str = "semantic") -> DataFrame:
     """page_id, url, title, visible, headings, blocks. Repeated pages are parsed each; a null page has no blocks."""
+    choose = EXTRACTORS[extractor]
     kind = dict(pages.dtypes)[page_id]
     schema = T.StructType([*(T.StructField(n, t) for n, t in ((page_id, T._parse_datatype_string(kind)), ("url", T.StringType()), ("title", T.StringType()), ("visible", T.StringType()), ("headings", T.ArrayType(T.StringType())), ("blocks", T.ArrayType(BLOCK))))])
 
@@ -304,7 +356,7 @@ def page_documents(pages: DataFrame, page_id: str = "page_id") -> DataFrame:
         for b in batches:
             rows = []
             for i, u, h in zip(b[page_id], b["url"], b["html"], strict=True):
-                d = semantic_blocks(h, u)
+                d = semantic_blocks(h, u, choose)
                 d["blocks"] = merge(d["blocks"], record_blocks(h))
                 rows.append({page_id: i, "url": u, **d})
             yield pd.DataFrame(rows, columns=[f.name for f in schema])
