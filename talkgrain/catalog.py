@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from talkgrain.plans import corpus, evidence, indexes, knowledge, lifecycle, pages, search, streams, telemetry  # noqa: F401  (they register their queries)
+from talkgrain.plans import corpus, evidence, indexes, knowledge, lifecycle, pages, search, signals, streams, telemetry  # noqa: F401  (they register their queries)
 from talkgrain.plans.registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES", "flagship"]

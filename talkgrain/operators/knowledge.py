@@ -71,3 +71,18 @@ def decided(units: DataFrame, flag: str, by: str) -> DataFrame:
 def newest_first(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
     nth = F.row_number().over(W.partitionBy(key).orderBy(*[F.col(o).desc() for o in order]))
     return rows.withColumn("pos", nth)
+
+
+def narrow_release(units: DataFrame, releases: DataFrame, version: int, host: str, prefix: str) -> tuple[DataFrame, DataFrame]:
+    """(units, release): the drafts of units(unit_id, status, source_uri) under one host and path prefix approved, and rows (version, unit_id) of all approved units there.
+
+    A version that releases(version) has already isn't made again: units stay as they are, and the release has no rows. The prefix ends at a path's part.
+    """
+    uri = F.lower(F.coalesce("source_uri", F.lit("")))
+    path = F.regexp_extract(F.coalesce("source_uri", F.lit("")), "^[A-Za-z]+://[^/?#]*([^?#]*)", 1)
+    base = prefix.rstrip("/")
+    inside = (F.regexp_extract(uri, "^[a-z]+://([^/?#]*)", 1) == host.lower()) & ((path == base) | path.startswith(base + "/"))
+    if not releases.filter(F.col("version") == version).isEmpty():
+        return units, units.select(F.lit(version).alias("version"), "unit_id").filter("false")
+    done = units.withColumn("status", F.when(inside & (F.col("status") == "draft"), "approved").otherwise(F.col("status")))
+    return done, done.filter(inside & (F.col("status") == "approved")).select(F.lit(version).alias("version"), "unit_id")

@@ -135,3 +135,28 @@ def evaluate(first_rank: DataFrame, k: int) -> DataFrame:
     r = F.col("rank")
     n = F.nullif(F.count("*"), F.lit(0))
     return first_rank.agg(F.count("*").alias("n"), (F.count_if(r <= k) / n).alias("recall_at_k"), (F.sum(F.coalesce(1.0 / r, F.lit(0.0))) / n).alias("mrr"))
+
+
+def report(cases: DataFrame, share: float = 0.95) -> DataFrame:
+    """One row over cases(expected_status, status, expects: whether a hit is expected, rank: of the first expected hit, mode, latency_ms).
+
+    status_accuracy, recall, mrr and no_answer_accuracy are null where no case counts for them; p95 is the latency of the nearest rank, half to even; modes
+    has `mode=cases`, sorted; failures are cases of another status, or without the hit expected.
+    """
+    right, asked, silent = F.col("expected_status") == F.col("status"), F.col("expects"), F.col("expected_status") == "no_answer"
+    part = lambda hit, of: F.count_if(hit & of) / F.nullif(F.count_if(of), F.lit(0))
+    n = F.count("*")
+    ordered = F.array_sort(F.collect_list("latency_ms"))
+    figures = cases.agg(
+        n.alias("cases"),
+        part(right, F.lit(True)).alias("status_accuracy"),
+        part(F.col("rank").isNotNull(), asked).alias("recall"),
+        (F.sum(F.when(asked, F.coalesce(1.0 / F.col("rank"), F.lit(0.0)))) / F.nullif(F.count_if(asked), F.lit(0))).alias("mrr"),
+        part(F.col("status") != "ok", silent).alias("no_answer_accuracy"),
+        F.median("latency_ms").alias("p50_ms"),
+        F.get(ordered, F.bround((F.size(ordered) - 1) * F.lit(share)).cast("int")).alias("p95_ms"),
+        F.max("latency_ms").alias("max_ms"),
+        F.count_if(~right | (asked & F.col("rank").isNull())).alias("failures"),
+    )
+    modes = cases.groupBy("mode").agg(F.count("*").alias("c")).agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", "mode", "c"))), ",").alias("modes"))
+    return figures.join(F.broadcast(modes), F.lit(True), "left")
