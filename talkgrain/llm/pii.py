@@ -289,10 +289,11 @@ def classifier(table: DataFrame, weights: dict) -> dict:
 
 
 def sure(s: Column, model: dict, labels: dict, least: float = SURE) -> Column:
-    """Whether label model and classifier both take a candidate for personal data. Its numbers must pass their check, and a gazetteer or a cue must speak for it."""
+    """Whether label model and classifier both take a candidate for personal data. Its numbers must pass their check, and a gazetteer or a cue must speak for it,
+    a cue if it is an unbroken number, which could be a count or a key of anything."""
     at = math.log(least / (1 - least))
     votes_ = {f: s[f] for f in LABELERS}
-    backed = (s["check"] == "1") & ((s["gazetteer"] == "1") | (s["cue"] == "1")) & (s["cue"] != "0") & (s["edge"] == "1")
+    backed = (s["check"] == "1") & ((s["gazetteer"] == "1") | (s["cue"] == "1")) & (s["cue"] != "0") & (s["edge"] == "1") & ((s["signs"] != "n") | (s["cue"] == "1"))
     return backed & (log_odds(s["kind"], votes_, labels) >= at) & (log_odds(s["kind"], votes_ | {f: s[f] for f in SHAPE}, model) >= at)
 
 
