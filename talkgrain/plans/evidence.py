@@ -52,3 +52,13 @@ def budgeted_messages(spark, d):
     """What of each conversation a budget of 1500 characters holds."""
     m = table(spark, d, "conversations").select("conv_id", "turn", "role", F.col("text").alias("content"))
     return memory.within_budget(m, "conv_id", "turn", 1500, "system")
+
+
+@query("""WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), s AS (SELECT p.vec_id AS q, v.vec_id, list_cosine_similarity(v.e, p.e) AS s FROM v, v p WHERE p.vec_id % 20 = 0 AND v.label = p.label AND v.vec_id <> p.vec_id)
+SELECT q, vec_id, round(s, 6) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY s DESC, vec_id) AS n FROM s) WHERE n <= 5 AND s >= 0.25""")
+def memory_recall_near(spark, d):
+    """memory_recall with a floor that chunks of these vectors reach; the floor comes after the limit."""
+    e = table(spark, d, "embeddings")
+    probes = e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("probe_conv"), F.col("label").alias("probe_user"), F.col("embedding").alias("probe"))
+    held = e.select(F.col("vec_id").alias("conv_id"), F.lit(0).alias("chunk"), F.col("label").alias("user"), "embedding")
+    return memory.recall(probes, held, least=0.25).select(F.col("probe_conv").alias("q"), F.col("conv_id").alias("vec_id"), F.round("similarity", 6).alias("similarity"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 import zipfile
@@ -36,8 +37,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """The rows as a table in the shared folder, so that lineage ends there and a lost executor costs a re-read only."""
+    """The rows as a table in the shared folder, so that lineage ends there and a lost executor costs a re-read only. It goes when the program ends."""
     path = f"{shared_dir(df.sparkSession)}/settled-{uuid.uuid4().hex}"
+    atexit.register(_gone, df.sparkSession, path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -56,6 +58,13 @@ def ship(spark: SparkSession) -> None:
     sc._talkgrain_shipped = sc.applicationId
 
 
+def _gone(spark: SparkSession, path: str) -> None:
+    try:
+        delete(spark, path)
+    except Exception:  # the session has ended already
+        pass
+
+
 def _file(spark: SparkSession, path: str):
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -78,12 +87,14 @@ def rename(spark: SparkSession, path: str, to: str) -> None:
 
 
 def kept_table(spark: SparkSession, sf_dir: str, table_: str, name: str, build) -> str:
-    """The folder that build(path) fills once a session and state of a table: it is built in a folder of its own and then moved, so that no reader sees half of it."""
+    """The folder that build(path) fills once a session and state of a table: it is built in a folder of its own and then moved, so that no reader sees half of it.
+    It goes when the program ends."""
     files = spark.read.parquet(f"{sf_dir}/{table_}.parquet").select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
     state = files.selectExpr("bit_xor(xxhash64(file_path, file_size, file_modification_time)) AS s").first()["s"] or 0
     path = f"{shared_dir(spark)}/{name}-{spark.sparkContext.applicationId}-{state & (2**64 - 1):016x}"
     if not exists(spark, path):
         own = f"{path}.{uuid.uuid4().hex}"
+        atexit.register(_gone, spark, path)
         build(own)
         rename(spark, own, path)
     return path

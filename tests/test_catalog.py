@@ -10,6 +10,12 @@ def test_oracle(spark, name):
     assert_same(spark, catalog.QUERIES[name], catalog.ORACLE[name])
 
 
+@pytest.mark.parametrize("name", ["corrected_event_time", "event_fingerprints", "local_times", "turn_ends", "unsuperseded_results", "value_provenance"])
+def test_oracle_on_more_rows(spark, name):
+    """Times, hashes and orders, of which the small tables have few odd cases."""
+    assert_same(spark, catalog.QUERIES[name], catalog.ORACLE[name], "/root/testdata/sf0.01")
+
+
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLE)))
 def test_runs(spark, name):
     assert catalog.QUERIES[name](spark, D).count() >= 0
