@@ -66,7 +66,7 @@ r AS (SELECT item_id, doc_id, sum(0.1 / (p - first)) AS rank FROM c WHERE before
 def cover_density_topk(spark, d):
     """Documents with both of two words, by how near they stand."""
     ends = lambda w: F.array_sort(F.array_distinct(w))
-    return _searched(spark, d, lambda w: F.when(F.size(F.array_distinct(w)) > 1, F.concat_ws(" ", F.get(ends(w), F.lit(0)), F.element_at(ends(w), -1))))
+    return _searched(spark, d, lambda w: F.when(F.size(F.array_distinct(w)) > 1, F.format_string('"%s" "%s"', F.get(ends(w), F.lit(0)), F.element_at(ends(w), -1))))
 
 
 @query(rf"""WITH {_POS}, q AS (SELECT item_id, w[2] AS a, w[3] AS b FROM it WHERE len(w) > 2),
@@ -81,8 +81,8 @@ def phrase_topk(spark, d):
 r AS (SELECT item_id, doc_id, 0.1 * count(*) AS rank FROM (SELECT DISTINCT item_id, doc_id, p FROM (SELECT item_id, a AS t, c FROM q UNION SELECT item_id, b, c FROM q) x JOIN pos ON term = t
       WHERE NOT EXISTS (SELECT 1 FROM pos o WHERE o.doc_id = pos.doc_id AND o.term = x.c)) GROUP BY ALL) {_BEST}""")
 def either_without_topk(spark, d):
-    """Documents with either of two words and without a third: `a -c or b -c`."""
-    return _searched(spark, d, lambda w: F.when(F.size(w) > 2, F.format_string("%s -%s or %s -%s", F.get(w, F.lit(0)), F.element_at(w, -1), F.get(w, F.lit(1)), F.element_at(w, -1))))
+    """Documents with either of two words and without a third: `a -c or b -c`, each in quotes, as a word may be `or`."""
+    return _searched(spark, d, lambda w: F.when(F.size(w) > 2, F.format_string('"%s" -"%s" or "%s" -"%s"', F.get(w, F.lit(0)), F.element_at(w, -1), F.get(w, F.lit(1)), F.element_at(w, -1))))
 
 
 @query(rf"""SELECT term, count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n FROM (SELECT doc_id, term, count(*) AS n FROM (SELECT doc_id,
