@@ -68,7 +68,8 @@ def _pairs(h: DataFrame, radius: int, ratio: float) -> DataFrame:
     same = (F.col("l.unit_type") == F.col("r.unit_type")) & (F.col("l.part") == F.col("r.part")) & (F.col("l.unit_id") < F.col("r.unit_id"))
     d = hamming(F.col("l.hash"), F.col("r.hash"))
     close = (d <= radius) & (F.least("l.tokens", "r.tokens") >= ratio * F.greatest("l.tokens", "r.tokens"))
-    return left.join(right, same & close).select(F.col("l.unit_id").alias("left_id"), F.col("r.unit_id").alias("right_id"), d.alias("dist")).distinct()
+    # Merged, as Spark takes the tenfold rows for no larger than the hashes' file and would send them to the driver and on to every task.
+    return left.join(right.hint("merge"), same & close).select(F.col("l.unit_id").alias("left_id"), F.col("r.unit_id").alias("right_id"), d.alias("dist")).distinct()
 
 
 def near_members(units: DataFrame, least_tokens: int = 12) -> DataFrame:
@@ -90,7 +91,7 @@ def _members(h: DataFrame) -> DataFrame:
     key = ["unit_type", "hash", "tokens"]
     h = h.filter(F.col("unit_type").isNotNull())
     low = h.groupBy(*key).agg(F.min("unit_id").alias("left_id"), F.max("unit_id").alias("_last")).filter("left_id < _last").drop("_last")
-    return h.join(low, key).filter("unit_id > left_id").select("left_id", F.col("unit_id").alias("right_id"), F.lit(0).alias("dist")).distinct()
+    return h.join(low.hint("merge"), key).filter("unit_id > left_id").select("left_id", F.col("unit_id").alias("right_id"), F.lit(0).alias("dist")).distinct()
 
 
 def greedy_clusters(pairs: DataFrame, left: str = "left_id", right: str = "right_id") -> DataFrame:

@@ -58,3 +58,12 @@ def test_means_that_end_in_a_five(spark, tmp_path):
     spark.read.parquet(f"{d}/events.parquet").repartition(7, "value").write.parquet(f"{d}/dealt/events.parquet")
     got = {r.user_id: (r.client_n, r.avg_ms, r.p50_ms) for r in catalog.QUERIES["fallback_latency"](spark, f"{d}/dealt").collect()}
     assert got == want
+
+
+def test_near_duplicates_broadcast_nothing(spark):
+    """Tenfold rows of the hashes, that look small in their file, are merged, not sent to the driver."""
+    from talkgrain.operators.corpus import near_duplicates
+
+    u = spark.range(40).selectExpr("id AS unit_id", "'t' AS unit_type", "repeat(concat('w', id % 30, ' x y z '), 8) AS answer")
+    plan = near_duplicates(u)._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
