@@ -67,3 +67,28 @@ def test_near_duplicates_broadcast_nothing(spark):
     u = spark.range(40).selectExpr("id AS unit_id", "'t' AS unit_type", "repeat(concat('w', id % 30, ' x y z '), 8) AS answer")
     plan = near_duplicates(u)._jdf.queryExecution().sparkPlan().toString()
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_tickets_by_classes(spark):
+    """Classes of equal terms give the rows that all pairs give, ties and repeated descriptions included; as many pairs as classes have are scored."""
+    from pyspark.sql import functions as F
+
+    from talkgrain.operators import retrieval
+
+    words = ["ab", "cd", "ef", "gh"]
+    entries = [(i, words[i % 2], words[i % 3], f"{words[i % 4]} {words[(i // 4) % 4]}") for i in range(96)]
+    texts = [(1, "ab cd"), (2, "cd ab"), (3, "ef"), (3, "gh ab"), (4, ""), (5, None), (6, "zz"), (7, "ab cd")]
+    e = spark.createDataFrame(entries, "k long, c string, s string, r string")
+    d = spark.createDataFrame(texts, "q_id int, t string")
+    out = retrieval.tickets(d, e, "q_id", F.col("t"), "k", F.col("c"), F.col("s"), F.col("r"))
+    want = []
+    for q_id in {q for q, _ in texts}:
+        rows = []
+        for t in [set((t or "").split()) for q, t in texts if q == q_id]:
+            for k, c, s, r in entries:
+                w = (len(t & {c}) + 1.5 * len(t & {s}) + 2.0 * len(t & set(r.split()))) / max(1, len(t) + len({s} | set(r.split())))
+                rows += [(-round(w, 6), k)] if w > 0 else []
+        want += [(q_id, k, -w, i + 1) for i, (w, k) in enumerate(sorted(rows)[:5])]
+    assert sorted(tuple(r) for r in out.collect()) == sorted(want)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [q#" in plan  # each set of terms is asked for once
