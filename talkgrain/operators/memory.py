@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from talkgrain.functions import scoring as sc
 from talkgrain.functions import text as tx
+from talkgrain.operators.nearest import candidates
 
 CHUNK = 8
 #: Markup that no remembered text may hold.
@@ -38,9 +38,14 @@ def chunks(messages: DataFrame, key: str, order: str, names: dict[str, str], siz
 
 
 def recall(probes: DataFrame, chunks_: DataFrame, n: int = 5, least: float = 0.72) -> DataFrame:
-    """Of each probe's n nearest chunks (not of its own conversation) those above the floor. The floor comes after the limit."""
-    j = chunks_.join(probes, (F.col("user") == F.col("probe_user")) & (F.col("conv_id") != F.col("probe_conv")))
-    j = j.withColumn("similarity", sc.cosine(F.col("embedding"), F.col("probe")))
+    """Of each probe's n nearest chunks (not of its own conversation) those above the floor, without their vectors. The floor comes after the limit.
+
+    A user's chunks and probes are dealt into tiles, so one user's very many chunks are no single task's.
+    """
+    query, unit = F.struct(*[c for c in probes.columns if c != "probe"]), F.struct(*[c for c in chunks_.columns if c != "embedding"])
+    asked = probes.filter("probe_conv is not null").select(F.col("probe_user").alias("key"), query.alias("query"), F.col("probe").alias("vector"), F.col("probe_conv").cast("string").alias("own"))
+    held = chunks_.filter("conv_id is not null").select(F.col("user").alias("key"), unit.alias("unit"), F.struct("conv_id", "chunk").alias("order"), F.col("embedding").alias("vector"), F.col("conv_id").cast("string").alias("own"))
+    j = candidates(asked, held, n).select("query.*", "unit.*", "similarity")
     nth = F.row_number().over(W.partitionBy("probe_conv").orderBy(F.col("similarity").desc(), "conv_id", "chunk"))
     return j.withColumn("pos", nth).filter((F.col("pos") <= n)).filter(F.col("similarity") >= least)
 

@@ -92,3 +92,36 @@ def test_tickets_by_classes(spark):
     assert sorted(tuple(r) for r in out.collect()) == sorted(want)
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate [q#" in plan  # each set of terms is asked for once
+
+
+def test_nearest_in_tiles(spark, monkeypatch):
+    """Many tiles, copies, opposite vectors (all 0), two lengths, zero and null vectors: as all pairs give, scored without a join of single pairs."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from talkgrain.functions import scoring as sc
+    from talkgrain.operators import memory, nearest, retrieval
+
+    monkeypatch.setattr(nearest, "PROBES", 7)
+    monkeypatch.setattr(nearest, "VECTORS", 11)
+    rng = np.random.default_rng(5)
+    base = [[float(x) for x in np.float32(rng.normal(size=4))] for _ in range(40)]
+    vectors = [(i, base[i % 40]) for i in range(120)] + [(i, [-x for x in base[0]]) for i in range(120, 140)] + [(140, [1.0, 2.0]), (141, [2.0, 1.0]), (142, [0.0] * 4), (143, None)]
+    v = spark.createDataFrame(vectors, "id long, embedding array<float>")
+    p = v.filter("id % 5 = 0").select(F.col("id").alias("q"), F.col("embedding").alias("probe"))
+    pairs = p.join(v, F.size("probe") == F.size("embedding")).filter("id <> 142 and q <> 142 and probe is not null")
+    want = {}
+    for r in pairs.select("q", "id", sc.clamp(sc.cosine(F.col("embedding"), F.col("probe"))).alias("s")).collect():
+        want.setdefault(r.q, []).append((-round(r.s, 9), r.id, r.s))
+    want = {(q, x[1], x[2], n + 1) for q, rows in want.items() for n, x in enumerate(sorted(rows)[:6])}
+    out = retrieval.dense(p, v, "q", "id", 6)
+    assert {tuple(r) for r in out.collect()} == want
+    assert "FlatMapCoGroupsInArrow" in out._jdf.queryExecution().executedPlan().toString()
+    probes = p.filter("size(probe) = 4 and q <> 142").select(F.col("q").alias("probe_conv"), (F.col("q") % 3).alias("probe_user"), "probe")
+    chunks = v.filter("size(embedding) = 4 and id <> 142").select(F.col("id").alias("conv_id"), F.lit(0).alias("chunk"), (F.col("id") % 3).alias("user"), "embedding")
+    want = {}
+    near = chunks.join(probes, (F.col("user") == F.col("probe_user")) & (F.col("conv_id") != F.col("probe_conv")))
+    for r in near.select("probe_conv", "conv_id", sc.cosine(F.col("embedding"), F.col("probe")).alias("s")).collect():
+        want.setdefault(r.probe_conv, []).append((-r.s, r.conv_id))
+    want = {(q, k, -s) for q, rows in want.items() for s, k in sorted(rows)[:5] if -s >= 0.3}
+    assert {(r.probe_conv, r.conv_id, r.similarity) for r in memory.recall(probes, chunks, least=0.3).collect()} == want
