@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from talkgrain.functions import text as tx
-from talkgrain.sources.html import plain, table_records
+from talkgrain.sources.html import plain, slices, table_records
 
 _TOKEN = re.compile(r"\w+(?:[-']\w+)*|[^\w\s]")
 CHUNK = T.ArrayType(
@@ -86,11 +87,15 @@ def chunked(documents: DataFrame, page_id: str = "page_id", most: int = 220, ove
     Packing carries state through a document, so it is a function of the document's own block array; no grouping, no shuffle.
     """
 
-    @F.pandas_udf(CHUNK)
-    def run(title: pd.Series, blocks: pd.Series) -> pd.Series:
-        return pd.Series([chunks(t, list(b) if b is not None else [], most, overlap, least_chars) for t, b in zip(title, blocks, strict=True)])
+    schema = T.StructType([documents.schema[page_id], T.StructField("title", T.StringType()), T.StructField("_c", CHUNK)])
+    arrow = to_arrow_schema(schema)
 
-    rows = documents.select(page_id, "title", F.posexplode(run("title", "blocks")).alias("chunk", "c")).select(page_id, "title", "chunk", "c.*")
+    def run(batches):
+        for part in slices(batches):
+            yield pa.RecordBatch.from_pylist([{page_id: r[page_id], "title": r["title"], "_c": chunks(r["title"], r["blocks"] or [], most, overlap, least_chars)} for r in part], schema=arrow)
+
+    rows = documents.select(page_id, "title", "blocks").mapInArrow(run, schema)
+    rows = rows.select(page_id, "title", F.posexplode("_c").alias("chunk", "c")).select(page_id, "title", "chunk", "c.*")
     return rows.withColumn("unit_type", unit_type(F.coalesce("title", F.lit("")), F.col("content"))).drop("title")
 
 

@@ -125,3 +125,20 @@ def test_nearest_in_tiles(spark, monkeypatch):
         want.setdefault(r.probe_conv, []).append((-r.s, r.conv_id))
     want = {(q, k, -s) for q, rows in want.items() for s, k in sorted(rows)[:5] if -s >= 0.3}
     assert {(r.probe_conv, r.conv_id, r.similarity) for r in memory.recall(probes, chunks, least=0.3).collect()} == want
+
+
+def test_pages_are_python_objects_a_few_at_a_time(spark):
+    """Pages and documents of one Arrow batch are parsed and packed in slices."""
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    from talkgrain.operators import chunking
+    from talkgrain.sources import html
+
+    batch = pa.RecordBatch.from_pydict({"i": list(range(html.SLICE * 2 + 5))})
+    assert [len(s) for s in html.slices([batch, batch.slice(0, 0)])] == [html.SLICE, html.SLICE, 5]
+    pages = spark.range(0, 300, 1, 1).select(F.col("id").alias("page_id"), F.lit("https://a.b/c").alias("url"), F.concat(F.lit("<main><h1>T</h1><p>"), F.repeat(F.concat(F.lit("w"), "id", F.lit(" ")), 30), F.lit("</p></main>")).alias("html"))
+    out = chunking.chunked(html.page_documents(pages))
+    assert sorted(r.page_id for r in out.collect()) == list(range(300))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 2 and "MapInPandas" not in plan and "ArrowEvalPython" not in plan
