@@ -99,16 +99,17 @@ def greedy_clusters(pairs: DataFrame, left: str = "left_id", right: str = "right
 
     A unit is a keeper if none of its smaller partners is one. Settled in rounds: each fixes the units all of whose smaller
     partners are settled; chains of near pairs are short, so there are few rounds. An error if a round settles none (pairs in a circle).
+    All joins are merges: a round's states look small in their files, and would be sent to the driver whole.
     """
     edges = pairs.select(F.col(left).alias("a"), F.col(right).alias("b"))
     nodes = edges.select(F.col("a").alias("v")).union(edges.select(F.col("b").alias("v"))).distinct()
     state = nodes.withColumn("keeper", F.lit(None).cast("boolean"))
     left_open = None
     while True:
-        smaller = edges.join(state.withColumnRenamed("v", "a"), "a").groupBy("b").agg(
+        smaller = edges.join(state.withColumnRenamed("v", "a").hint("merge"), "a").groupBy("b").agg(
             F.bool_or(F.coalesce("keeper", F.lit(False))).alias("absorbed"), F.bool_or(F.col("keeper").isNull()).alias("open")
         )
-        nxt = state.join(smaller, F.col("v") == F.col("b"), "left").select(
+        nxt = state.join(smaller.hint("merge"), F.col("v") == F.col("b"), "left").select(
             "v", F.when(F.coalesce("absorbed", F.lit(False)), False).when(F.coalesce("open", F.lit(False)), F.lit(None)).otherwise(True).alias("keeper")
         )
         state = settled(nxt)
@@ -118,7 +119,7 @@ def greedy_clusters(pairs: DataFrame, left: str = "left_id", right: str = "right
         if was == left_open:
             raise RuntimeError("clusters did not settle")
     keepers = state.filter("keeper").select(F.col("v").alias("a"))
-    return edges.join(keepers, "a", "left_semi").groupBy(F.col("b").alias("member")).agg(F.min("a").alias("keeper"))
+    return edges.join(keepers.hint("merge"), "a", "left_semi").groupBy(F.col("b").alias("member")).agg(F.min("a").alias("keeper"))
 
 
 def contradictions(units: DataFrame, known: DataFrame | None = None) -> DataFrame:

@@ -142,3 +142,16 @@ def test_pages_are_python_objects_a_few_at_a_time(spark):
     assert sorted(r.page_id for r in out.collect()) == list(range(300))
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert plan.count("MapInArrow") == 2 and "MapInPandas" not in plan and "ArrowEvalPython" not in plan
+
+
+def test_greedy_clusters_broadcast_nothing(spark, monkeypatch):
+    """Neither in a round nor at the end."""
+    from talkgrain.operators import corpus
+
+    plans = []
+    seen = lambda df: str(df._jdf.queryExecution().sparkPlan().toString())
+    settled = corpus.settled
+    monkeypatch.setattr(corpus, "settled", lambda df: plans.append(seen(df)) or settled(df))
+    out = corpus.greedy_clusters(spark.createDataFrame([(1, 2), (2, 3), (3, 4), (1, 5)], "left_id long, right_id long"))
+    assert {tuple(r) for r in out.collect()} == {(2, 1), (5, 1), (4, 3)}
+    assert plans and not any("Broadcast" in p for p in [*plans, seen(out)])
