@@ -1,7 +1,8 @@
 """A positional inverted index kept as a table, with upkeep by increments, and search in it by words, phrases and exclusions.
 
-The table is a log of generations. One holds the postings (term, unit, positions) of the units that came with it, dealt into folders by hash of the term, and a list
-of these units and of those deleted. A posting counts if its generation is the last that names its unit, so adding, changing and deleting units never
+The table is a log of generations. One holds the postings (unit, term, positions) of the units that came with it, dealt into folders by hash of the term, and a list
+of these units and of those deleted. A row has the postings of a term in some units that one task read together: texts are inverted where they are read, none of
+their words is shuffled. A posting counts if its generation is the last that names its unit, so adding, changing and deleting units never
 rewrites what is there; compact() does. Writing a generation again replaces it, as a streaming sink must when a batch is retried.
 """
 
@@ -9,6 +10,9 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -20,7 +24,11 @@ from talkgrain.session import delete, exists, rename
 PARTS = 32
 #: Rank of a cover that holds nothing but the words asked for.
 UNIT_RANK = 0.1
-_POSTINGS = "unit {kind}, term string, positions array<int>, tf bigint, part int, gen bigint"
+#: Words that are inverted at a time; a longer text is alone.
+WORDS = 1 << 20
+_ROWS = "term string, units array<{kind}>, tfs array<int>, positions array<array<int>>"
+#: More than any place in a text.
+_FAR = 1 << 32
 
 
 def words(text: Column) -> Column:
@@ -28,6 +36,44 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TERM), F.lit(0))
 
 
+def _starts(*columns: np.ndarray) -> np.ndarray:
+    """Where a row differs from the one before."""
+    new = np.ones(len(columns[0]), bool)
+    new[1:] = np.any([c[1:] != c[:-1] for c in columns], axis=0)
+    return np.flatnonzero(new)
+
+
+def _lists(starts: np.ndarray, values: pa.Array) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.append(starts, len(values)).astype(np.int32)), values)
+
+
+def _inverted(batches):
+    """unit, words to term, units, tfs, positions, for a bounded number of words at a time."""
+    for b in batches:
+        words, ends = b.column("words"), b.column("words").offsets.to_numpy()
+        lo = 0
+        while lo < b.num_rows:
+            hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + WORDS, "right")) - 1)
+            first, n = ends[lo:hi], np.diff(ends[lo : hi + 1])
+            coded = words.values.slice(ends[lo], ends[hi] - ends[lo]).dictionary_encode()
+            unit, at = np.repeat(np.arange(hi - lo), n), np.arange(ends[lo], ends[hi]) - np.repeat(first, n)
+            code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+            order = np.argsort(code * (hi - lo) + unit, kind="stable")  # so that places stay in order
+            code, unit, at = code[order], unit[order], at[order].astype(np.int32)
+            post = _starts(code, unit)
+            terms = _starts(code[post])
+            cols = coded.dictionary.take(pa.array(code[post][terms])), b.column("unit").slice(lo, hi - lo).take(pa.array(unit[post])), pa.array(np.diff(np.append(post, len(at))).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([cols[0], *(_lists(terms, c) for c in (*cols[1:], _lists(post, pa.array(at))))], names=["term", "units", "tfs", "positions"])
+            lo = hi
+
+
+def _packed(batches):
+    """Sorted postings (term, unit, tf, positions) to rows of a term, units, tfs, positions."""
+    for b in batches:
+        terms = _starts(b.column("term").dictionary_encode().indices.to_numpy(zero_copy_only=False))
+        yield pa.RecordBatch.from_arrays([b.column("term").take(pa.array(terms)), *(_lists(terms, b.column(c)) for c in ("unit", "tf", "positions"))], names=["term", "units", "tfs", "positions"])
+
+
 def _part(term: Column) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(PARTS)).cast("int")
 
@@ -45,10 +91,16 @@ class TextIndex:
         """
         gone = F.coalesce(deleted, F.lit(False)) if deleted is not None else F.lit(False)
         rows = units.filter(F.col(unit_id).isNotNull()).select(F.col(unit_id).cast(self.kind).alias("unit"), gone.alias("gone"), words(text).alias("words"))
-        found = rows.filter("not gone").select("unit", F.posexplode("words").alias("position", "term"))
-        found = found.groupBy("unit", "term").agg(F.array_sort(F.collect_list("position")).alias("positions"))
-        found = found.withColumn("tf", F.size("positions").cast("bigint")).withColumn("part", _part(F.col("term")))
-        found.repartition("part", F.pmod(F.xxhash64("unit"), F.lit(4))).sortWithinPartitions("part", "term").write.mode("overwrite").partitionBy("part").parquet(f"{self.path}/postings/gen={gen}")
+        there, kind = rows.filter("not gone").select("unit", "words"), _ROWS.format(kind=self.kind)
+        twice = there.groupBy("unit").count().filter("count > 1").select("unit")
+        if twice.isEmpty():
+            found = there.mapInArrow(_inverted, kind)
+        else:
+            more = there.join(twice, "unit", "left_semi").select("unit", F.posexplode("words").alias("position", "term"))
+            more = more.groupBy("unit", "term").agg(F.array_sort(F.collect_list("position")).alias("positions"))
+            more = more.select("term", F.array("unit").alias("units"), F.array(F.size("positions")).alias("tfs"), F.array("positions").alias("positions"))
+            found = there.join(twice, "unit", "left_anti").mapInArrow(_inverted, kind).unionByName(more)
+        found.withColumn("part", _part(F.col("term"))).write.mode("overwrite").partitionBy("part").parquet(f"{self.path}/postings/gen={gen}")
         rows.groupBy("unit").agg(F.min("gone").alias("gone")).write.mode("overwrite").parquet(f"{self.path}/units/gen={gen}")
 
     def sink(self, unit_id: str, text: Column, deleted: Column | None = None):
@@ -63,16 +115,18 @@ class TextIndex:
         last = log.groupBy("unit").agg(F.max_by("gone", "gen").alias("gone"), F.max("gen").alias("gen"))
         return last.filter("not gone").select("unit", "gen")
 
-    def postings(self, terms: DataFrame | None = None) -> DataFrame:
-        """unit, term, tf, positions: those of live units; of the terms(term) only, if given, from the folders that can hold them."""
+    def postings(self, terms: DataFrame | None = None, places: bool = True) -> DataFrame:
+        """unit, term, tf and, unless told not to, positions: those of live units; of the terms(term) only, if given, from the folders that can hold them."""
         if not exists(self.spark, f"{self.path}/postings"):
-            return self.spark.createDataFrame([], "unit " + self.kind + ", term string, tf bigint, positions array<int>")
-        p = self.spark.read.schema(_POSTINGS.format(kind=self.kind)).parquet(f"{self.path}/postings")
+            return self.spark.createDataFrame([], f"unit {self.kind}, term string, tf bigint" + ", positions array<int>" * places)
+        p = self.spark.read.schema(_ROWS.format(kind=self.kind) + ", part int, gen bigint").parquet(f"{self.path}/postings")
         if terms is not None:
             parts = [r[0] for r in terms.select(_part(F.col("term"))).distinct().collect()]  # at most PARTS numbers
             p = p.filter(F.col("part").isin(parts)).join(terms.select("term").distinct(), "term", "left_semi")
+        each = ["units", "tfs", "positions"][: 2 + places]
+        p = p.select("term", "gen", F.inline(F.arrays_zip(*each)).alias("unit", "tf", *each[2:])).withColumn("tf", F.col("tf").cast("bigint"))
         generations = len(self.generations())
-        return (p if generations == 1 and not self._deletes() else p.join(self.live(), ["unit", "gen"], "left_semi")).select("unit", "term", "tf", "positions")
+        return (p if generations == 1 and not self._deletes() else p.join(self.live(), ["unit", "gen"], "left_semi")).select("unit", "term", "tf", *each[2:])
 
     def generations(self) -> list[int]:
         jvm = self.spark.sparkContext._jvm
@@ -89,8 +143,9 @@ class TextIndex:
         if not gens:
             return
         new = f"{self.path}.{uuid.uuid4().hex}"
-        p = self.postings().withColumn("part", _part(F.col("term")))
-        p.repartition("part", F.pmod(F.xxhash64("unit"), F.lit(4))).sortWithinPartitions("part", "term").write.partitionBy("part").parquet(f"{new}/postings/gen={gens[-1]}")
+        p = self.postings().withColumn("tf", F.col("tf").cast("int")).withColumn("part", _part(F.col("term")))
+        p = p.repartition("part", F.pmod(F.xxhash64("unit"), F.lit(4))).sortWithinPartitions("part", "term").drop("part")
+        p.mapInArrow(_packed, _ROWS.format(kind=self.kind)).withColumn("part", _part(F.col("term"))).write.partitionBy("part").parquet(f"{new}/postings/gen={gens[-1]}")
         self.live().select("unit", F.lit(False).alias("gone")).write.parquet(f"{new}/units/gen={gens[-1]}")
         delete(self.spark, self.path)
         rename(self.spark, new, self.path)
@@ -112,38 +167,65 @@ def parsed(queries: DataFrame, query_id: str, query: Column) -> DataFrame:
     return q.join(asked, [query_id, "alternative"], "left_semi")
 
 
-def occurrences(items: DataFrame, postings: DataFrame, query_id: str) -> DataFrame:
-    """query_id, alternative, item, excluded, unit, first, last: each place where an item's terms stand side by side, in order."""
-    n = F.size("terms")
-    each = items.select(query_id, "alternative", "item", "excluded", n.alias("n"), F.posexplode("terms").alias("k", "term"))
-    hit = each.join(postings.select("unit", "term", "positions"), "term")
-    starts = hit.select(query_id, "alternative", "item", "excluded", "unit", "n", "k", F.explode("positions").alias("at")).withColumn("first", F.col("at") - F.col("k"))
-    one = starts.filter("n = 1").select(query_id, "alternative", "item", "excluded", "unit", "first", F.col("first").alias("last"))
-    key = [query_id, "alternative", "item", "excluded", "unit", "n", "first"]
-    more = starts.filter("n > 1").groupBy(*key).agg(F.count("*").alias("_c")).filter("_c = n")
-    return one.unionByName(more.select(query_id, "alternative", "item", "excluded", "unit", "first", (F.col("first") + F.col("n") - 1).alias("last")))
-
-
-def _covers(places: Column, items: Column) -> Column:
-    """The shortest stretches that hold all items, of places (last, first, item) in order: as (first, last), in one sweep.
-
-    The sweep keeps each item's latest start. Where all have one, the least of them is where a stretch that ends here must begin; it is a shortest one if
-    that start is later than that of any stretch before.
-    """
-    start = F.struct(F.transform(items, lambda _: F.lit(-1)).alias("at"), F.lit(-1).alias("done"), F.lit(-1).alias("first"), F.lit(-1).alias("last"))
-
-    def step(s: Column, p: Column) -> Column:
-        at = F.zip_with(s["at"], items, lambda a, i: F.when(i == p["item"], F.greatest(a, p["first"])).otherwise(a))
-        return F.get(F.transform(F.array(at), lambda at: F.get(F.transform(F.array(F.array_min(at)), lambda low: F.struct(
-            at.alias("at"), F.greatest(s["done"], low).alias("done"), F.when(low > s["done"], low).otherwise(-1).alias("first"), p["last"].alias("last"))), F.lit(0))), F.lit(0))
-
-    # Each element becomes the state after it: blocks keep the copies of the array of states short.
-    def block(acc: Column, p: Column) -> Column:
-        return F.get(F.transform(F.array(step(acc["state"], p)), lambda new: F.struct(
-            new.alias("state"), F.when(new["first"] >= 0, F.concat(acc["found"], F.array(F.struct(new["first"].alias("first"), new["last"].alias("last"))))).otherwise(acc["found"]).alias("found"))), F.lit(0))
-
-    none = F.array().cast("array<struct<first:int,last:int>>")
-    return F.aggregate(places, F.struct(start.alias("state"), none.alias("found")), block)["found"]
+def _latest(group: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """The greatest value so far, within each of the groups in order; values are from 0 to _FAR."""
+    return np.maximum.accumulate(group * _FAR + value) - group * _FAR
+
+
+def _before(group: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """The greatest value of the rows before, within each of the groups in order; 0 for a first one."""
+    out = np.zeros(len(value), np.int64)
+    out[1:] = np.where(group[1:] == group[:-1], _latest(group, value)[:-1], 0)
+    return out
+
+
+def _covered(b: pa.RecordBatch, group: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Groups with covers, their ranks and numbers of covers. Rows: the hits of whole groups, numbered in order."""
+    col = {c: b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("alternative", "item", "slot", "need", "n", "k", "excluded")}
+    _, alt = np.unique(np.stack([group, col["alternative"]]), axis=1, return_inverse=True)
+    kinds, row, item = np.unique(alt.ravel() * _FAR + col["item"], return_index=True, return_inverse=True)
+    alt, slot, need, n, excluded = alt.ravel()[row], col["slot"][row], col["need"][row], col["n"][row], col["excluded"][row] > 0
+    of_alt = group[row]
+    # Places where an item's terms stand side by side: those at which each of its terms speaks for the same start.
+    places = b.column("positions")
+    size = pc.list_value_length(places).to_numpy(zero_copy_only=False)
+    hit, at = np.repeat(np.arange(b.num_rows), size), places.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    once = _starts(hit, at)
+    hit, first = hit[once], at[once] - col["k"][hit[once]]
+    hit, first = hit[first >= 0], first[first >= 0]
+    start, said = np.unique(item.ravel()[hit] * _FAR + first, return_counts=True)
+    it, first = start // _FAR, start % _FAR
+    whole = said == n[it]
+    it, first = it[whole], first[whole]
+    barred = np.zeros(alt.max() + 1, bool)
+    barred[alt[it[excluded[it]]]] = True
+    good = ~excluded[it] & ~barred[alt[it]]
+    it, first = it[good], first[good]
+    has = np.bincount(alt[np.unique(it)], minlength=len(barred))
+    full = has[alt[it]] == need[it]
+    # Of each full alternative the shortest stretches that hold all items, in one sweep over places by their ends: it keeps each item's latest start. Where all
+    # have one, the least of them is where a stretch that ends here must begin; it is a shortest one if that start is later than that of any stretch before.
+    p, f = it[full], first[full]
+    last = f + n[p] - 1
+    order = np.lexsort((slot[p], f, last, alt[p]))
+    p, f, last = p[order], f[order], last[order]
+    a, low = alt[p], np.full(len(p), _FAR - 1)
+    for j in range(int(need[p].max(initial=0))):
+        low = np.where(j < need[p], np.minimum(low, _latest(a, np.where(slot[p] == j, f + 1, 0))), low)
+    is_cover = low > _before(a, low)
+    g, f, last = of_alt[p[is_cover]], low[is_cover] - 1, last[is_cover]
+    order = np.lexsort((-f, last, g))
+    g, f, last = g[order], f[order], last[order]
+    least = f + 1 > _before(g, f + 1)  # none within it, of another alternative either; of equal ones the first
+    g, f, last = g[least], f[least], last[least]
+    here = np.isin(of_alt[it], g)
+    span = n[it[here]]
+    word = np.repeat(first[here], span) + np.arange(span.sum()) - np.repeat(np.cumsum(span) - span, span)
+    asked = np.unique(np.repeat(of_alt[it[here]], span) * _FAR + word)
+    noise = last - f + 1 - (np.searchsorted(asked, g * _FAR + last, "right") - np.searchsorted(asked, g * _FAR + f, "left"))
+    found = _starts(g) if len(g) else np.zeros(0, np.int64)
+    total = np.add.reduceat(UNIT_RANK / (1 + noise), found) if len(g) else np.zeros(0)
+    return g[found], total, np.diff(np.append(found, len(g)))
 
 
 def cover_density(items: DataFrame, postings: DataFrame, query_id: str) -> DataFrame:
@@ -152,26 +234,34 @@ def cover_density(items: DataFrame, postings: DataFrame, query_id: str) -> DataF
     A cover is a shortest stretch of a unit that satisfies the query; it counts 0.1 / (1 + the words in it that the query doesn't ask for). Of one word
     each occurrence is a cover, of several alternatives a stretch counts if none within it satisfies any. A unit with an excluded item in every
     alternative that it satisfies isn't matched.
+
+    A query's postings in a unit meet, sorted, in one shuffle, each with its array of places; batches of them are swept as arrays.
     """
-    found = occurrences(items, postings, query_id)
-    here = [query_id, "unit"]
-    need = items.filter("not excluded").groupBy(query_id, "alternative").agg(F.array_sort(F.collect_set("item")).alias("items"))
-    barred = found.filter("excluded").select(query_id, "alternative", "unit").distinct()
-    good = found.filter("not excluded").join(barred, [query_id, "alternative", "unit"], "left_anti")
-    rows = good.groupBy(query_id, "unit", "alternative").agg(F.array_sort(F.collect_list(F.struct("last", "first", "item"))).alias("places"), F.count_distinct("item").alias("_n"))
-    rows = rows.join(need, [query_id, "alternative"]).filter(F.col("_n") == F.size("items"))
-    covers = rows.select(*here, F.explode(_covers(F.col("places"), F.col("items"))).alias("c")).select(*here, "c.first", "c.last").distinct()
-    before = F.max("first").over(W.partitionBy(*here).orderBy("last", F.col("first").desc()).rowsBetween(W.unboundedPreceding, -1))
-    covers = covers.withColumn("_inner", before).filter("_inner is null or _inner < first").drop("_inner")
-    # Words asked for within a cover: those up to its end less those before it, counted in one pass over places and borders.
-    asked = good.join(rows.select(*here).distinct(), here, "left_semi").select(*here, F.explode(F.sequence("first", "last")).alias("at")).distinct()
-    border = covers.select(*here, "first", "last", F.explode(F.array(F.struct(F.col("first").alias("at"), F.lit(0).alias("o")), F.struct(F.col("last").alias("at"), F.lit(2).alias("o")))).alias("e"))
-    border = border.select(*here, F.col("e.at").alias("at"), F.col("e.o").alias("o"), "first", "last", F.lit(0).alias("one"))
-    word = asked.select(*here, "at", F.lit(1).alias("o"), F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("last"), F.lit(1).alias("one"))
-    count = F.sum("one").over(W.partitionBy(*here).orderBy("at", "o").rowsBetween(W.unboundedPreceding, 0))
-    seen = border.unionByName(word).withColumn("_c", count).filter("o <> 1").groupBy(*here, "first", "last").agg((F.max("_c") - F.min("_c")).alias("asked"))
-    noise = F.col("last") - F.col("first") + 1 - F.col("asked")
-    return seen.groupBy(*here).agg(F.sum(UNIT_RANK / (1 + noise)).alias("rank"), F.count("*").alias("covers"))
+    kind, here = dict(items.dtypes) | dict(postings.dtypes), [query_id, "unit"]
+    alternative = W.partitionBy(query_id, "alternative")
+    each = items.withColumn("need", F.count_if(~F.col("excluded")).over(alternative)).withColumn("slot", F.row_number().over(W.partitionBy(query_id, "alternative", "excluded").orderBy("item")) - 1)
+    each = each.select(query_id, "alternative", "item", "slot", "need", "excluded", F.size("terms").alias("n"), F.posexplode("terms").alias("k", "term"))
+    hits = each.join(postings.select("unit", "term", "positions"), "term").drop("term").repartition(*here).sortWithinPartitions(*here)
+
+    def run(batches):
+        left = None  # a batch's last group goes on in the next
+        for b in batches:
+            b = b if left is None else pa.Table.from_batches([left, b]).combine_chunks().to_batches()[0]
+            starts = _starts(*(b.column(c).dictionary_encode().indices.to_numpy(zero_copy_only=False) for c in here)) if b.num_rows else [0]
+            left = b.slice(starts[-1])
+            yield from ranks(b.slice(0, starts[-1]))
+        if left is not None:
+            yield from ranks(left)
+
+    def ranks(b):
+        if not b.num_rows:
+            return
+        starts = _starts(*(b.column(c).dictionary_encode().indices.to_numpy(zero_copy_only=False) for c in here))
+        found, rank, covers = _covered(b, np.repeat(np.arange(len(starts)), np.diff(np.append(starts, b.num_rows))))
+        at = pa.array(starts[found])
+        yield pa.RecordBatch.from_arrays([*(b.column(c).take(at) for c in here), pa.array(rank), pa.array(covers.astype(np.int64))], names=[*here, "rank", "covers"])
+
+    return hits.mapInArrow(run, f"`{query_id}` {kind[query_id]}, unit {kind['unit']}, rank double, covers bigint")
 
 
 def search(index: TextIndex, queries: DataFrame, query_id: str, query: Column, n: int = 30) -> DataFrame:

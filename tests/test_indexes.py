@@ -165,3 +165,66 @@ def test_covers_of_many_places_take_linear_time(spark):
     index.write(spark.createDataFrame([(1, "a x b " * 5000)], "id long, text string"), 0, "id", F.col("text"))
     got = ti.search(index, spark.createDataFrame([(1, "a b")], "q int, t string"), "q", F.col("t")).first()
     assert got.covers == 9999 and got["rank"] == pytest.approx(5000 * 0.05 + 4999 * 0.1)
+
+
+def moved(spark, name, run):
+    """Records that the stages of run() wrote for shuffles."""
+    sc = spark.sparkContext
+    sc.setJobGroup(name, name)
+    try:
+        run()
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    store, tracker = sc._jsc.sc().statusStore(), sc.statusTracker()
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    stages = {s for j in tracker.getJobIdsForGroup(name) for s in tracker.getJobInfo(j).stageIds}
+    return sum(store.lastStageAttempt(s).shuffleWriteRecords() for s in stages if tracker.getStageInfo(s))
+
+
+def test_no_word_is_shuffled_to_build_an_index_and_no_place_to_search_it(spark):
+    r = random.Random(9)
+    docs = spark.createDataFrame([(i, " ".join(f"w{r.randint(0, 40)}" for _ in range(300))) for i in range(60)], "id long, text string").localCheckpoint()
+    index = ti.TextIndex(spark, folder(spark, "moved"))
+    assert moved(spark, "build", lambda: index.write(docs, 0, "id", F.col("text"))) <= 3 * 60  # before, each of over 2,000 terms of documents, twice
+    queries = spark.createDataFrame([(0, "w1 w2"), (1, '"w3 w4"')], "qid int, q string")
+    got = []
+    assert moved(spark, "search", lambda: got.extend(ti.search(index, queries, "qid", F.col("q"), 1000).collect())) <= 4 * 60 + 120 + 40  # hits, ranks, and what parses two queries
+    assert {r.unit for r in got if r.qid == 0} == set(range(60))
+
+
+def test_units_that_repeat_and_long_ones_among_others(spark):
+    rows = [(1, "a b"), (1, "b c"), (2, "c a " * 40), (3, ""), (4, None), (5, "b"), (5, None)]
+    index = ti.TextIndex(spark, folder(spark, "twice"))
+    index.write(spark.createDataFrame(rows, "id long, text string").coalesce(1), 0, "id", F.col("text"))
+    assert state(index) == [(1, "a", [0]), (1, "b", [0, 1]), (1, "c", [1]), (2, "a", list(range(1, 80, 2))), (2, "c", list(range(0, 80, 2))), (5, "b", [0])]
+    assert {(r.unit, r.term, r.tf) for r in index.postings(places=False).collect()} == {(u, t, len(p)) for u, t, p in state(index)}
+
+
+def test_texts_are_inverted_a_few_words_at_a_time(monkeypatch):
+    import pyarrow as pa
+
+    texts = [["a", "b", "a"], [], ["b"] * 7, ["c", "a"], [], ["a"]]
+    monkeypatch.setattr(ti, "WORDS", 4)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(9, 15)), pa.array([["z"], *texts[1:]])], names=["unit", "words"])
+    whole = pa.RecordBatch.from_arrays([pa.array(range(9, 15)), pa.array(texts)], names=["unit", "words"])
+    for b, want in ((whole, texts), (batch.slice(1), texts[1:])):
+        parts = [p.to_pylist() for p in ti._inverted([b])]
+        got = {(u, r["term"]): p for rows in parts for r in rows for u, p in zip(r["units"], r["positions"], strict=True)}
+        units = b.column("unit").to_pylist()
+        assert got == {(u, t): [i for i, x in enumerate(w) if x == t] for u, w in zip(units, want, strict=True) for t in set(w)} and len(parts) > 1
+        assert all(r["tfs"] == [len(p) for p in r["positions"]] for rows in parts for r in rows)
+
+
+def test_a_unit_whose_hits_are_in_two_batches(spark):
+    r = random.Random(11)
+    docs = spark.createDataFrame([(i, " ".join(r.choice("abcd") for _ in range(20))) for i in range(30)], "id long, text string")
+    index = ti.TextIndex(spark, folder(spark, "batches"))
+    index.write(docs, 0, "id", F.col("text"))
+    queries = spark.createDataFrame([(0, 'a b "c d"'), (1, "a -b or c d")], "qid int, q string")
+    run = lambda: sorted(tuple(x) for x in ti.search(index, queries, "qid", F.col("q"), 100).withColumn("rank", F.round("rank", 9)).collect())
+    want = run()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        assert run() == want and want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
