@@ -84,9 +84,13 @@ def last_lines(messages: DataFrame, key: str, order: str, n: int = 8, line_chars
 
 
 def with_live_source(memories: DataFrame, transcripts: DataFrame, calls: DataFrame, ended) -> DataFrame:
-    """Memories without a source, and those whose transcript's call exists, isn't deleted and has `ended`."""
-    j = memories.join(transcripts, "transcript_id", "left").join(calls, "call_id", "left")
-    return j.filter(F.col("t").isNull() | (F.coalesce(~F.col("deleted"), F.lit(False)) & ended))
+    """Memories without a source, and those whose transcript's call exists, isn't deleted and has `ended`.
+
+    What is told of a transcript is found first, so that memories are joined once; those that name no transcript aren't dealt by their null.
+    """
+    told = transcripts.join(calls, "call_id", "left").withColumn("_live", F.coalesce(~F.col("deleted"), F.lit(False)) & ended)
+    named = memories.filter("transcript_id is not null").join(told, "transcript_id", "left").filter(F.col("t").isNull() | F.col("_live")).drop("_live")
+    return named.unionByName(memories.filter("transcript_id is null"), allowMissingColumns=True)
 
 
 def cascade(turns: DataFrame, prior: DataFrame, chunks_: DataFrame, key: str, chars: int = 3000) -> DataFrame:

@@ -167,3 +167,41 @@ def test_late_writes_join_once(spark, tmp_path):
     assert_same(spark, catalog.QUERIES["late_writes"], catalog.ORACLE["late_writes"], d)
     plan = catalog.QUERIES["late_writes"](spark, D)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join") == 1
+
+
+def test_memories_without_a_source_are_not_dealt_by_their_null(spark, tmp_path):
+    """Orders that repeat, or whose customer is missing; the memories meet one shuffled join, with their transcripts' keys only."""
+    d = _tables(
+        tmp_path,
+        orders="SELECT * REPLACE (CASE WHEN o_orderkey % 9 = 1 THEN NULL WHEN o_orderkey % 9 = 2 THEN -1 ELSE o_custkey END AS o_custkey) FROM '{D}/orders.parquet' UNION ALL SELECT * FROM '{D}/orders.parquet' WHERE o_orderkey % 5 = 1",
+        lineitem="SELECT * REPLACE (CASE WHEN l_orderkey % 11 = 3 THEN -l_orderkey ELSE l_orderkey END AS l_orderkey) FROM '{D}/lineitem.parquet'",
+    )
+    assert_same(spark, catalog.QUERIES["memory_sources"], catalog.ORACLE["memory_sources"], d)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = catalog.QUERIES["memory_sources"](spark, D)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("SortMergeJoin") == 2 and plan.count("Exchange hashpartitioning") == 4
+    dealt = memory_partitions(spark)
+    assert max(dealt) < 2 * sum(dealt) / len(dealt)
+
+
+def memory_partitions(spark):
+    """Rows by partition of the join, of memories most of which name no transcript."""
+    from pyspark.sql import functions as F
+
+    from talkgrain.operators import memory
+
+    m = spark.range(4000).select(F.when(F.col("id") % 4 == 0, F.col("id")).alias("transcript_id"), "id")
+    t = spark.range(4000).select(F.col("id").alias("transcript_id"), F.col("id").alias("t"), F.col("id").alias("call_id"))
+    c = spark.range(4000).select(F.col("id").alias("call_id"), F.lit(False).alias("deleted"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        out = memory.with_live_source(m, t, c, F.lit(True))
+        assert out.count() == 4000
+        return [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
