@@ -118,38 +118,40 @@ def scored(documents: DataFrame) -> DataFrame:
     """Adds quality (0 to 1) and warnings: how much of a page's text, headings and figures its blocks cover, and how few lines repeat."""
     from talkgrain.sources.html import to_markdown
 
-    md = to_markdown(F.col("blocks"))
-    flat = F.lower(tx.plain(md))
-    source, got = tx.terms(F.col("visible")), tx.terms(flat)
+    # What several parts or each heading is held against is bound once: a lambda would work it out anew for each element.
+    bound = lambda value, body: F.get(F.transform(F.array(value), body), F.lit(0))
     part = lambda n, d, empty: F.when(d > 0, n / d).otherwise(empty)
     numbers = F.array_distinct(F.regexp_extract_all(F.array_join("headings", " "), F.lit(r"\b[0-9][\w./:+-]*\b"), F.lit(0)))
-    lines = F.filter(F.transform(F.split(md, "\n"), lambda x: F.lower(tx.plain(x))), lambda x: x != "")
     heads = F.filter("blocks", lambda b: b["kind"] == "heading")
-    inside = lambda xs: F.size(F.filter(xs, lambda x: F.contains(flat, F.lower(tx.plain(x)))))
-    cover = {
-        "text": part(F.size(F.array_intersect(source, got)), F.size(source), F.lit(1.0)),
-        "heading": part(inside(F.col("headings")), F.size("headings"), F.lit(1.0)),
-        "numeric": part(inside(numbers), F.size(numbers), F.lit(1.0)),
-        "structure": F.when(F.size("headings") > 0, F.least(F.lit(1.0), F.size(heads) / F.size("headings"))).otherwise((F.size("blocks") > 0).cast("double")),
-        "unique": part(F.size(F.array_distinct(lines)), F.size(lines), F.lit(0.0)),
-    }
-    for k, v in cover.items():
-        documents = documents.withColumn(f"_{k}", v)
+
+    def parts(x: Column) -> Column:
+        inside = lambda xs: F.size(F.filter(xs, lambda h: F.contains(x["flat"], F.lower(tx.plain(h)))))
+        cover = {
+            "text": part(F.size(F.array_intersect(x["source"], x["got"])), F.size(x["source"]), F.lit(1.0)),
+            "heading": part(inside(F.col("headings")), F.size("headings"), F.lit(1.0)),
+            "numeric": part(inside(x["numbers"]), F.size(x["numbers"]), F.lit(1.0)),
+            "structure": F.when(F.size("headings") > 0, F.least(F.lit(1.0), F.size(heads) / F.size("headings"))).otherwise((F.size("blocks") > 0).cast("double")),
+            "unique": part(F.size(F.array_distinct(x["lines"])), F.size(x["lines"]), F.lit(0.0)),
+        }
+        return F.struct(*[v.alias(k) for k, v in cover.items()])
+
+    lines = lambda md: F.filter(F.transform(F.split(md, "\n"), lambda x: F.lower(tx.plain(x))), lambda x: x != "")
+    terms = lambda x: F.struct(x["flat"].alias("flat"), x["lines"].alias("lines"), tx.terms(x["flat"]).alias("got"), tx.terms(F.col("visible")).alias("source"), numbers.alias("numbers"))
+    texts = lambda md: F.struct(F.lower(tx.plain(md)).alias("flat"), lines(md).alias("lines"))
+    documents = documents.withColumn("_cover", bound(to_markdown(F.col("blocks")), lambda md: bound(texts(md), lambda x: bound(terms(x), parts))))
     # Weights and floors.
-    quality = 0.35 * F.col("_text") + 0.30 * F.col("_heading") + 0.15 * F.col("_numeric") + 0.10 * F.col("_structure") + 0.10 * F.col("_unique")
+    c = F.col("_cover")
+    quality = 0.35 * c["text"] + 0.30 * c["heading"] + 0.15 * c["numeric"] + 0.10 * c["structure"] + 0.10 * c["unique"]
     floors = {"heading": 0.8, "numeric": 0.9, "text": 0.55, "unique": 0.7}
-    warnings = F.array_compact(F.array(*[F.when(F.col(f"_{k}") < f, k) for k, f in floors.items()]))
-    return documents.withColumn("quality", F.round(F.least(F.lit(1.0), quality), 4)).withColumn("warnings", warnings).drop(*[f"_{k}" for k in cover])
+    warnings = F.array_compact(F.array(*[F.when(c[k] < f, k) for k, f in floors.items()]))
+    return documents.withColumn("quality", F.round(F.least(F.lit(1.0), quality), 4)).withColumn("warnings", warnings).drop("_cover")
 
 
 def best_documents(pages: DataFrame, page_id: str = "page_id") -> DataFrame:
     """Each page's document by the extractor whose result is best: by quality, then headings, then length, then the name. Pages need distinct page_ids."""
-    from functools import reduce
-
-    from talkgrain.sources.html import EXTRACTORS, page_documents
+    from talkgrain.sources.html import EXTRACTORS, parsed_pages
 
-    each = [scored(page_documents(pages, page_id, e)).withColumn("extractor", F.lit(e)) for e in sorted(EXTRACTORS)]
-    rows = reduce(DataFrame.unionByName, each)
+    rows = scored(parsed_pages(pages, page_id, sorted(EXTRACTORS)))
     length = F.aggregate("blocks", F.lit(0), lambda n, b: n + F.length(b["text"]))
     order = F.struct("quality", F.size("headings").alias("h"), length.alias("n"), "extractor")
     best = rows.groupBy(page_id).agg(F.max_by(F.struct(*[c for c in rows.columns if c != page_id]), order).alias("d"))

@@ -65,3 +65,17 @@ def test_containment_on_a_page_of_many_blocks():
     began = time.process_time()
     assert html.once(blocks) == blocks[:10_000]
     assert time.process_time() - began < 10
+
+
+def test_quality_of_a_page_of_many_headings(spark):
+    """As before its texts were bound once a page."""
+    pages = spark.createDataFrame([(1, "https://a.example/x", "<body><main>" + "".join(f"<h2>Part {i} of 1{i}</h2><p>Text {i} with [a](https://b.example/{i}) and `code`.</p>" for i in range(40)) + "</main></body>")], "page_id long, url string, html string")
+    scored = chunking.scored(html.page_documents(pages))
+    assert [(r.quality, r.warnings) for r in scored.collect()] == [(0.9897, [])]
+    assert html.plain("!\\[a\\](b) [x_y](http://c) <https://d.e> https://f#g *h* `i` |\x1cj") == "!\\a\\ x y h i j"
+
+
+def test_a_page_is_parsed_for_all_extractors_in_one_pass(spark):
+    pages = spark.createDataFrame([(1, None, "<body><p>x</p></body>"), (2, "u", None)], "page_id long, url string, html string")
+    plan = chunking.best_documents(pages)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
