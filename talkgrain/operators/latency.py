@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from talkgrain.functions.times import millis_between
+from talkgrain.session import settled
 
 CATEGORIES = ("direct", "rag", "tool")
 METRICS = (
@@ -98,3 +99,41 @@ def stage_deltas(marks: DataFrame, key: list[str], stages: list[str]) -> DataFra
     first = marks.groupBy(*key).pivot("stage", stages).agg(F.min("ts"))
     gaps = [F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), millis_between(F.col(a), F.col(b))).cast("double").alias(f"{a}_to_{b}_ms") for a, b in zip(stages, stages[1:], strict=False)]
     return first.select(*key, *gaps)
+
+
+def percentiles(rows: DataFrame, by: str, values: dict[str, str], shares: list[int]) -> DataFrame:
+    """by, and of each column in values its name_pN: exact percentiles by linear interpolation as percentile() has them, for groups of any size.
+
+    Equal values are counted, sorted by ranges over all tasks and numbered by the counts of the ranges before them; of a group only the values at the
+    asked positions come together.
+    """
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.col(c).cast("double").alias("value")) for c, n in values.items()]))
+    counted = rows.select(F.col(by).alias("by"), each.alias("x")).select("by", "x.*").groupBy("by", "name", "value").agg(F.count("value").alias("c"))
+    ranged = settled(counted.repartitionByRange("by", "name", "value").withColumn("range", F.spark_partition_id()))
+    group = W.partitionBy("by", "name")
+    totals = ranged.groupBy("range", "by", "name").agg(F.sum("c").alias("c"))  # a row for each range and group in it
+    totals = totals.select(
+        F.col("range").alias("_range"), F.col("by").alias("_by"), F.col("name").alias("_name"), F.sum("c").over(group).alias("n"),
+        (F.sum("c").over(group.orderBy("range").rowsBetween(W.unboundedPreceding, 0)) - F.col("c")).alias("before"),
+    )
+    here = W.partitionBy("range", "by", "name").orderBy("value").rowsBetween(W.unboundedPreceding, 0)
+    same = (F.col("range") == F.col("_range")) & F.col("by").eqNullSafe(F.col("_by")) & (F.col("name") == F.col("_name"))
+    placed = ranged.withColumn("_to", F.sum("c").over(here)).join(totals, same)
+    placed = placed.withColumn("last", F.col("before") + F.col("_to") - 1).withColumn("first", F.col("last") - F.col("c") + 1)
+    figures = {}
+    wanted = F.col("n") == 0
+    for s in shares:
+        at = (F.col("n") - 1) * F.lit(s / 100)
+        ends = F.floor(at), F.ceil(at)
+        holds = [(F.col("first") <= e) & (e <= F.col("last")) for e in ends]
+        wanted = wanted | holds[0] | holds[1]
+        for name in values.values():
+            figures[name, s] = [F.max(F.when((F.col("name") == name) & h, F.col("value"))) for h in holds] + [F.max(F.when(F.col("name") == name, at))]
+    cols = [f.alias(f"{n}_{s}_{i}") for (n, s), fs in figures.items() for i, f in enumerate(fs)]
+    found = placed.filter(wanted).groupBy("by").agg(*cols)
+
+    def between(n: str, s: int) -> Column:
+        low, high, at = (F.col(f"{n}_{s}_{i}") for i in range(3))
+        return F.when(low == high, low).otherwise((F.ceil(at) - at) * low + (at - F.floor(at)) * high).alias(f"{n}_p{s}")
+
+    return found.select(F.col("by").alias(by), *[between(n, s) for n in values.values() for s in shares])

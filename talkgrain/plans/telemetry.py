@@ -36,8 +36,7 @@ quantile_cont(l_extendedprice, 0.5) AS price_p50, quantile_cont(l_extendedprice,
 quantile_cont(l_discount, 0.5) AS discount_p50, quantile_cont(l_discount, 0.9) AS discount_p90 FROM lineitem GROUP BY l_returnflag""")
 def component_percentiles(spark, d):
     names = {"l_quantity": "quantity", "l_extendedprice": "price", "l_discount": "discount"}
-    figures = [latency.percentile(F.col(c), s / 100).alias(f"{n}_p{s}") for c, n in names.items() for s in (50, 90)]
-    return table(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("flag")).agg(*figures)
+    return latency.percentiles(table(spark, d, "lineitem").withColumnRenamed("l_returnflag", "flag"), "flag", names, [50, 90])
 
 
 @query("""SELECT user_id, round(coalesce(sum(value) FILTER (WHERE event_type = 'click'), 0), 6) AS s_click,

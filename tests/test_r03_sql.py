@@ -205,3 +205,21 @@ def memory_partitions(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_percentiles_of_large_groups(spark, tmp_path):
+    """A group's values are in many ranges, none of them whole in one task; groups without a value, without a name, of one value."""
+    from pyspark.sql import functions as F
+
+    from talkgrain.operators import latency
+
+    rows = spark.range(5000).select(F.when(F.col("id") % 3 > 0, F.col("id") % 3).alias("g"), (F.col("id") * 7919 % 4001 / 8).alias("a"), F.when(F.col("id") % 50 > 0, F.col("id") % 9).alias("b"))
+    rows = rows.union(spark.createDataFrame([(7, None, 3), (7, None, None), (8, 1.5, None)], "g long, a double, b long"))
+    got = latency.percentiles(rows, "g", {"a": "x", "b": "y"}, [0, 50, 90, 99, 100])
+    want = rows.groupBy("g").agg(*[latency.percentile(F.col(c), s / 100).alias(f"{n}_p{s}") for c, n in (("a", "x"), ("b", "y")) for s in (0, 50, 90, 99, 100)])
+    key = lambda df: sorted((tuple(r) for r in df.select(want.columns).collect()), key=str)
+    assert key(got) == key(want)
+    d = _tables(tmp_path, lineitem="SELECT * REPLACE (CASE WHEN l_orderkey % 4 > 0 THEN l_discount END AS l_discount, CASE WHEN l_orderkey % 5 > 0 THEN l_returnflag END AS l_returnflag) FROM '{D}/lineitem.parquet'")
+    assert_same(spark, catalog.QUERIES["component_percentiles"], catalog.ORACLE["component_percentiles"], d)
+    plan = catalog.QUERIES["component_percentiles"](spark, D)._jdf.queryExecution().optimizedPlan().toString()
+    assert "percentile(" not in plan  # which has a map of all of a group's values in one task
