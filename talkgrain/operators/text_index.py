@@ -1,8 +1,8 @@
 """A positional inverted index kept as a table, with upkeep by increments, and search in it by words, phrases and exclusions.
 
 The table is a log of generations. One holds the postings (unit, term, positions) of the units that came with it, dealt into folders by hash of the term, and a list
-of these units and of those deleted. A row has the postings of a term in some units that one task read together: texts are inverted where they are read, none of
-their words is shuffled. A posting counts if its generation is the last that names its unit, so adding, changing and deleting units never
+of these units and of those deleted. A row has the postings of a term in some units that one task read together, a block: texts are inverted where they are read, none of
+their words is shuffled, and all postings of a unit have the same block. A posting counts if its generation is the last that names its unit, so adding, changing and deleting units never
 rewrites what is there; compact() does. Writing a generation again replaces it, as a streaming sink must when a batch is retried.
 """
 
@@ -13,6 +13,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -26,7 +27,9 @@ PARTS = 32
 UNIT_RANK = 0.1
 #: Words that are inverted at a time; a longer text is alone.
 WORDS = 1 << 20
-_ROWS = "term string, units array<{kind}>, tfs array<int>, positions array<array<int>>"
+#: Units of a block after compact(), about.
+UNITS = 4096
+_ROWS = "block bigint, term string, units array<{kind}>, tfs array<int>, positions array<array<int>>"
 #: More than any place in a text.
 _FAR = 1 << 32
 
@@ -48,7 +51,8 @@ def _lists(starts: np.ndarray, values: pa.Array) -> pa.ListArray:
 
 
 def _inverted(batches):
-    """unit, words to term, units, tfs, positions, for a bounded number of words at a time."""
+    """unit, words to block, term, units, tfs, positions, for a bounded number of words at a time."""
+    block = (task.partitionId() if (task := TaskContext.get()) else 0) << 32
     for b in batches:
         words, ends = b.column("words"), b.column("words").offsets.to_numpy()
         lo = 0
@@ -63,15 +67,17 @@ def _inverted(batches):
             post = _starts(code, unit)
             terms = _starts(code[post])
             cols = coded.dictionary.take(pa.array(code[post][terms])), b.column("unit").slice(lo, hi - lo).take(pa.array(unit[post])), pa.array(np.diff(np.append(post, len(at))).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([cols[0], *(_lists(terms, c) for c in (*cols[1:], _lists(post, pa.array(at))))], names=["term", "units", "tfs", "positions"])
-            lo = hi
+            same = pa.array(np.full(len(terms), block))
+            yield pa.RecordBatch.from_arrays([same, cols[0], *(_lists(terms, c) for c in (*cols[1:], _lists(post, pa.array(at))))], names=["block", "term", "units", "tfs", "positions"])
+            lo, block = hi, block + 1
 
 
 def _packed(batches):
-    """Sorted postings (term, unit, tf, positions) to rows of a term, units, tfs, positions."""
+    """Sorted postings (block, term, unit, tf, positions) to rows of a block, term, units, tfs, positions."""
     for b in batches:
-        terms = _starts(b.column("term").dictionary_encode().indices.to_numpy(zero_copy_only=False))
-        yield pa.RecordBatch.from_arrays([b.column("term").take(pa.array(terms)), *(_lists(terms, b.column(c)) for c in ("unit", "tf", "positions"))], names=["term", "units", "tfs", "positions"])
+        rows = _starts(*(b.column(c).dictionary_encode().indices.to_numpy(zero_copy_only=False) for c in ("block", "term")))
+        cols = [*(b.column(c).take(pa.array(rows)) for c in ("block", "term")), *(_lists(rows, b.column(c)) for c in ("unit", "tf", "positions"))]
+        yield pa.RecordBatch.from_arrays(cols, names=["block", "term", "units", "tfs", "positions"])
 
 
 def _part(term: Column) -> Column:
@@ -98,7 +104,7 @@ class TextIndex:
         else:
             more = there.join(twice, "unit", "left_semi").select("unit", F.posexplode("words").alias("position", "term"))
             more = more.groupBy("unit", "term").agg(F.array_sort(F.collect_list("position")).alias("positions"))
-            more = more.select("term", F.array("unit").alias("units"), F.array(F.size("positions")).alias("tfs"), F.array("positions").alias("positions"))
+            more = more.select(F.xxhash64("unit").alias("block"), "term", F.array("unit").alias("units"), F.array(F.size("positions")).alias("tfs"), F.array("positions").alias("positions"))
             found = there.join(twice, "unit", "left_anti").mapInArrow(_inverted, kind).unionByName(more)
         found.withColumn("part", _part(F.col("term"))).write.mode("overwrite").partitionBy("part").parquet(f"{self.path}/postings/gen={gen}")
         rows.groupBy("unit").agg(F.min("gone").alias("gone")).write.mode("overwrite").parquet(f"{self.path}/units/gen={gen}")
@@ -117,16 +123,30 @@ class TextIndex:
 
     def postings(self, terms: DataFrame | None = None, places: bool = True) -> DataFrame:
         """unit, term, tf and, unless told not to, positions: those of live units; of the terms(term) only, if given, from the folders that can hold them."""
-        if not exists(self.spark, f"{self.path}/postings"):
-            return self.spark.createDataFrame([], f"unit {self.kind}, term string, tf bigint" + ", positions array<int>" * places)
-        p = self.spark.read.schema(_ROWS.format(kind=self.kind) + ", part int, gen bigint").parquet(f"{self.path}/postings")
-        if terms is not None:
-            parts = [r[0] for r in terms.select(_part(F.col("term"))).distinct().collect()]  # at most PARTS numbers
-            p = p.filter(F.col("part").isin(parts)).join(terms.select("term").distinct(), "term", "left_semi")
         each = ["units", "tfs", "positions"][: 2 + places]
-        p = p.select("term", "gen", F.inline(F.arrays_zip(*each)).alias("unit", "tf", *each[2:])).withColumn("tf", F.col("tf").cast("bigint"))
-        generations = len(self.generations())
-        return (p if generations == 1 and not self._deletes() else p.join(self.live(), ["unit", "gen"], "left_semi")).select("unit", "term", "tf", *each[2:])
+        p = self._rows(terms).select("term", "gen", F.inline(F.arrays_zip(*each)).alias("unit", "tf", *each[2:])).withColumn("tf", F.col("tf").cast("bigint"))
+        return (p if self._all_live() else p.join(self.live(), ["unit", "gen"], "left_semi")).select("unit", "term", "tf", *each[2:])
+
+    def blocks(self, terms: DataFrame) -> DataFrame:
+        """block, term, units, tfs: as postings() without places; units of a term in a block may be in several rows."""
+        p = self._rows(terms)
+        if not self._all_live():
+            p = p.select("block", "term", "gen", F.inline(F.arrays_zip("units", "tfs")).alias("unit", "tf")).join(self.live(), ["unit", "gen"], "left_semi")
+            p = p.withColumns({"units": F.array("unit"), "tfs": F.array("tf")})
+        return p.select("block", "term", "units", "tfs")
+
+    def _rows(self, terms: DataFrame | None) -> DataFrame:
+        kind = _ROWS.format(kind=self.kind) + ", part int, gen bigint"
+        if not exists(self.spark, f"{self.path}/postings"):
+            return self.spark.createDataFrame([], kind)
+        p = self.spark.read.schema(kind).parquet(f"{self.path}/postings")
+        if terms is None:
+            return p
+        parts = [r[0] for r in terms.select(_part(F.col("term"))).distinct().collect()]  # at most PARTS numbers
+        return p.filter(F.col("part").isin(parts)).join(terms.select("term").distinct(), "term", "left_semi")
+
+    def _all_live(self) -> bool:
+        return not exists(self.spark, f"{self.path}/units") or (len(self.generations()) == 1 and not self._deletes())
 
     def generations(self) -> list[int]:
         jvm = self.spark.sparkContext._jvm
@@ -143,8 +163,9 @@ class TextIndex:
         if not gens:
             return
         new = f"{self.path}.{uuid.uuid4().hex}"
-        p = self.postings().withColumn("tf", F.col("tf").cast("int")).withColumn("part", _part(F.col("term")))
-        p = p.repartition("part", F.pmod(F.xxhash64("unit"), F.lit(4))).sortWithinPartitions("part", "term").drop("part")
+        n = max(1, -(-self.live().count() // UNITS))
+        p = self.postings().withColumn("tf", F.col("tf").cast("int")).withColumns({"part": _part(F.col("term")), "block": F.pmod(F.xxhash64("unit"), F.lit(n))})
+        p = p.repartition("part", F.pmod("block", F.lit(4))).sortWithinPartitions("part", "block", "term").drop("part")
         p.mapInArrow(_packed, _ROWS.format(kind=self.kind)).withColumn("part", _part(F.col("term"))).write.partitionBy("part").parquet(f"{new}/postings/gen={gens[-1]}")
         self.live().select("unit", F.lit(False).alias("gone")).write.parquet(f"{new}/units/gen={gens[-1]}")
         delete(self.spark, self.path)

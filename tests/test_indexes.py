@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from talkgrain.operators import retrieval, text_index as ti, vector_index as vi
+from talkgrain.operators import matches, retrieval, text_index as ti, vector_index as vi
 from talkgrain.session import shared_dir
 
 TERM = re.compile(r"[\w-]+")
@@ -247,3 +247,74 @@ def test_a_probe_goes_to_few_cells_of_lists(spark, monkeypatch):
     for q in range(0, 1500, 30):
         best = np.maximum(u @ u[q], u @ u[q + 1500])
         assert [r.vec_id for r in sorted(every, key=lambda r: r.dense_pos) if r.q == q] == np.argsort(-np.round(best, 9), kind="stable")[:10].tolist()
+
+
+def test_lexical_search_shuffles_no_pairs_of_queries_and_units(spark):
+    docs = spark.createDataFrame([(i, f"common words everywhere unit{i} {'again ' * (i % 7)}") for i in range(2000)], "doc_id long, text string")
+    items = spark.createDataFrame([(i, f"common again everywhere words unit{i}") for i in range(50)], "item_id long, text string")
+    index = ti.TextIndex(spark, folder(spark, "pairs"))
+    index.write(docs, 0, "doc_id", F.col("text"))
+    got = []
+    args = (items, docs, "item_id", F.col("text"), "doc_id", F.col("text"))
+    rows = moved(spark, "lexical", lambda: got.extend(retrieval.lexical(*args, n=3, index=index).collect()))
+    want = {(i, d) for i in range(50) for d in sorted(range(2000), key=lambda d: (-(d % 7 + (d == i)), d))[:3]}
+    assert {(r.item_id, r.doc_id) for r in got} == want
+    assert rows < 50 * 2000 / 10  # before, each query with each unit once a task
+
+
+def test_fusing_shuffles_candidates_only(spark):
+    units = spark.range(5000).select("id", *[F.concat(F.lit("text "), "id").alias(c) for c in ("body", "identity", "retrieval_text", "product", "answer")], F.lit(3).alias("authority"))
+    lex = spark.createDataFrame([(1, 7, 0.1, 1), (2, 4999, 0.1, 1)], "q long, id long, rank double, lex_pos int")
+    vec = spark.createDataFrame([(1, 8, 0.5, 1)], "q long, id long, similarity double, dense_pos int")
+    queries = spark.createDataFrame([(1, "text 7", ["text 7"]), (2, "none", [])], "q long, query string, aliases array<string>")
+    got, least = [], spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        rows = moved(spark, "fuse", lambda: got.extend(retrieval.fuse(lex, vec, queries, units, "q", "id").collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", least)
+    assert {(r.q, r.id, *r.matched_by) for r in got} == {(1, 7, "lexical", "alias"), (1, 8, "dense"), (2, 4999, "lexical")}
+    assert rows < 1000  # before, all 5,000 texts
+
+
+def test_matches_by_tiles(spark, monkeypatch):
+    r = random.Random(3)
+    asked = [(q, r.choice("abcdefgh")) for q in [None, *range(30)] for _ in range(r.randint(1, 6))]  # terms of a query may come twice
+    docs = [(f"u{u}" if u else None, t, r.randint(1, 4)) for u in range(60) for t in r.sample("abcdefghxyz", r.randint(1, 9))]
+    rows = [(hash(u) % 9, t, [u], [tf]) for u, t, tf in docs] + [(99, "a", ["v1", "v2", "v1"], [1, 5, 2]), (99, "b", [], [])]
+    docs += [("v1", "a", 1), ("v2", "a", 5), ("v1", "a", 2)]
+    total = {}
+    for q, t in asked:
+        for u, term, tf in docs:
+            if t == term:
+                total[q, u] = total.get((q, u), 0) + tf
+    asked = spark.createDataFrame(asked, "query long, term string")
+    blocks = spark.createDataFrame(rows, "block long, term string, units array<string>, tfs array<int>")
+    monkeypatch.setattr(matches, "ASKED", 10)
+    monkeypatch.setattr(matches, "POSTINGS", 40)
+    assert {(m.query, m.unit): m.matched for m in matches.matches(asked, blocks).collect()} == total
+    first = lambda rows, n: {q: sorted(((-s, u or "", u) for (p, u), s in rows.items() if p == q))[:n] for q, _ in rows}
+    found = matches.matches(asked, blocks, 4).collect()
+    assert first({(m.query, m.unit): m.matched for m in found}, 4) == first(total, 4)
+    assert matches.matches(asked, blocks.limit(0), 4).collect() == matches.matches(asked.limit(0), blocks).collect() == []
+    monkeypatch.setattr(matches, "CELLS", 100)
+    whole = matches._sums(asked.toArrow(), blocks.toArrow(), 4).to_pylist()
+    assert len(whole) == len({(m["query"], m["unit"]) for m in whole}) and first({(m["query"], m["unit"]): m["matched"] for m in whole}, 9) == first(total, 4)
+
+
+def test_blocks_hold_all_postings_of_a_unit(spark):
+    index = ti.TextIndex(spark, folder(spark, "blocks"))
+    index.write(spark.createDataFrame([(i, f"a b{i % 3} b{i % 3} c") for i in range(50)] + [(7, "d")], "id long, text string").repartition(3), 0, "id", F.col("text"))
+    asked = spark.createDataFrame([(t,) for t in ("a", "b0", "b1", "d", "none")], "term string")
+
+    def held():
+        rows = index.blocks(asked).select("block", "term", F.inline(F.arrays_zip("units", "tfs"))).collect()
+        assert len({(r.block, r.units) for r in rows}) == len({r.units for r in rows})
+        assert sorted((r.units, r.term, r.tfs) for r in rows) == sorted(map(tuple, index.postings(asked, places=False).collect()))
+        return len(rows)
+
+    assert held() == 50 + 17 + 17 + 1
+    index.write(spark.createDataFrame([(1, "b0", False), (2, "", True)], "id long, text string, gone boolean"), 1, "id", F.col("text"), F.col("gone"))
+    assert held() == 48 + 18 + 16 + 1
+    index.compact()
+    assert held() == 48 + 18 + 16 + 1
